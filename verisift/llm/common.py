@@ -35,6 +35,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value worked out once, even where `then` names it inside a lambda."""
+    return F.transform(F.array(value), then)[0]
+
+
 def words_of(text: Column) -> Column:
     """Array of words; null and empty texts give an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import langid, piece_codec, topk_search, warc
+from verisift.llm import decontam, langid, piece_codec, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -27,6 +27,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.label_by_rules(pages)), ["page_id"])
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +50,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("metadata.page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", F.col("response.refers_to_page").alias("refers_to"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -70,9 +84,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict:
     return {
+        "op2_url_filter": op2_url_filter,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_warc": op8_warc,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_top_k": op10_top_k,
     }
 
