@@ -43,9 +43,10 @@ def template_words(text: Column) -> Column:
 
 
 def _windows(words: Column, size: int) -> Column:
-    """Hashes of all windows of `size` words, in order."""
-    every = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, size))))
-    return let(words, every)
+    """All runs of `size` words as an array of structs (runs past the end have nulls). Zipped shifts, not a lambda for each
+    word: the words are cut out once and what follows the explode is compiled code."""
+    shifts = lambda w: F.arrays_zip(*[(w if k == 0 else F.slice(w, k + 1, F.greatest(F.size(w), F.lit(1)))).alias(f"w{k}") for k in range(size)])
+    return let(words, shifts)
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -71,7 +72,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = None
     for size in sizes:
-        rows = use.select("doc_id", _windows(template_words(F.col("text")), size).alias("h")).select("doc_id", F.posexplode("h").alias("doc_at", "h"))
+        rows = use.select("doc_id", F.posexplode(_windows(template_words(F.col("text")), size)).alias("doc_at", "w"))
+        rows = rows.filter(F.col(f"w.w{size - 1}").isNotNull()).select("doc_id", "doc_at", F.xxhash64(*[F.col(f"w.w{k}") for k in range(size)]).alias("h"))
         one = rows.join(small(bench.filter(F.col("size") == size)), "h").select("doc_id", "doc_at", "item_id", "item_at", "size")
         met = one if met is None else met.unionByName(one)
     if met is None:
