@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import decontam, jaccard_join, langid, piece_codec, substring_dedup, topk_search, url_filter, warc
+from verisift.llm import decontam, jaccard_join, langid, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -44,6 +44,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.find_classes(_table(spark, sf_dir, "documents"), 4, 85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), spans=False)
     return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -92,6 +97,7 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_quality": op6_quality,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
