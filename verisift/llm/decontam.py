@@ -23,23 +23,33 @@ MARK, NAME, UNIT, NUM = "", "", "", ""  # private-use characters, so
 _GAP = f"[^\\p{{L}}\\p{{N}}{MARK}-{NUM}]+"
 
 
-def _marked(text: Column) -> Column:
-    """Lower-cased text with numbers cut from units and names marked."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9])(?=\\p{L})", "$1 ")
-    t = F.regexp_replace(t, "(?<=[\\p{L}\\p{N},;:] )(\\p{Lu}\\p{Ll}+)", f"{MARK}$1")
-    return F.lower(t)
+_NAMES = "(?<=[\\p{L}\\p{N},;:] )(\\p{Lu}\\p{Ll}+\\p{L}*)"
+
+
+def _cut_units(text: Column) -> Column:
+    return F.regexp_replace(text, "([0-9])(?=\\p{L})", "$1 ")
+
+
+def _by_digits(text: Column, with_digits, without) -> Column:
+    """Texts without a digit skip the passes for numbers and units."""
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike("[0-9]"), with_digits(t)).otherwise(without(t)))
 
 
 def value_words(text: Column) -> Column:
-    return F.array_remove(F.split(_marked(text), _GAP), "")
+    """Lower-cased words, numbers cut from units and names marked."""
+    marked = lambda t: F.lower(F.regexp_replace(t, _NAMES, f"{MARK}$1"))
+    return F.array_remove(F.split(_by_digits(text, lambda t: marked(_cut_units(t)), marked), _GAP), "")
 
 
 def template_words(text: Column) -> Column:
     """Template words; one for each of value_words()."""
-    t = F.regexp_replace(_marked(text), f"{MARK}\\p{{L}}+", NAME)
-    t = F.regexp_replace(t, f"(?<=[0-9] )(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, "[0-9]+", NUM)
-    return F.array_remove(F.split(t, _GAP), "")
+    named = lambda t: F.lower(F.regexp_replace(t, _NAMES, NAME))
+
+    def full(t: Column) -> Column:
+        t = F.regexp_replace(named(_cut_units(t)), f"(?<=[0-9] )(?:{UNITS})(?![\\p{{L}}\\p{{N}}])", UNIT)
+        return F.regexp_replace(t, "[0-9]+", NUM)
+
+    return F.array_remove(F.split(_by_digits(text, full, named), _GAP), "")
 
 
 def _windows(words: Column, size: int) -> Column:
