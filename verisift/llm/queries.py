@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import decontam, jaccard_join, langid, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
+from verisift.llm import decontam, jaccard_join, langid, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -27,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.fit(url_filter.label_by_rules(pages)), ["page_id"])
@@ -93,6 +97,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_url_filter": op2_url_filter,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
