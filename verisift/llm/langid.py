@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verisift.llm.common import _LOWER, _SPACE, text_blocks
 
@@ -115,16 +116,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return model
 
 
-SCHEMA = "lang_pred string, score double, rejected boolean"
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """`keep` columns with lang_pred, score (best cosine, 0 to 1) and rejected for every row; only the text is looked at.
 
     Null texts and texts without a letter get `und`, score 0 and are rejected; so does everything if nothing was
     learned. Texts that are too far from every centroid keep their nearest language and are marked as rejected."""
     use = docs.select(F.col(text_col).cast("string").alias("__text"), *[docs[c] for c in keep])
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in use.schema.fields[1:]], SCHEMA])
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    schema = T.StructType([*use.schema.fields[1:], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verisift.llm.common import hash_runs, hash_words, materialise, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
 
@@ -125,10 +126,10 @@ def _with_part(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_part_of(np.ascontiguousarray(ids), parts), pa.int32()), *batch.columns], names=["part", "doc_id", "text"])
+            ids = np.ascontiguousarray(batch.column(0).fill_null(_NULL_ID).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(_part_of(ids, parts), pa.int32()), *batch.columns], names=["__part", *batch.schema.names])
 
-    return docs.mapInArrow(run, "part int, doc_id long, text string")
+    return docs.mapInArrow(run, T.StructType([T.StructField("__part", T.IntegerType()), *docs.schema.fields]))
 
 
 def _part_windows(texts: pa.Table, hits: pa.Table, window: int, block: int):
@@ -182,16 +183,18 @@ def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return a[new], b[new], np.bincount(number, minlength=int(new.sum())) > 1, number
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, *, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, *, carry: list[str] | None = None, whole: bool = False, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row, then the columns in `carry`.
+    whole: a text that loses nothing is kept as it is, white space and null included.
 
     Each word covered by a window of `window` consecutive words whose words also start anywhere else, in the same text
     or another, is removed; windows are judged on the input. Null texts have no words and give ''; rows with equal or
     null ids are texts of their own; empty tables give no rows; columns besides doc_id and text are ignored."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    carry = carry or []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     block = (window + 1) // 2
     parts = parts_for(text_bytes(docs), part_bytes, least_parts)
-    sent = docs.mapInArrow(_send_anchors(block, parts), _ANCHOR_SCHEMA)
+    sent = docs.select("doc_id", "text").mapInArrow(_send_anchors(block, parts), _ANCHOR_SCHEMA)
     hits = materialise(sent.groupBy("range").applyInArrow(_answer_anchors(parts), "part int, doc_ids binary, places binary"), "anchors")
     split = _with_part(docs, parts)
 
@@ -215,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, part_bytes: int = P
         bits = np.split(many[number], np.cumsum(size)[:-1])
         return pa.table({"part": pa.array(rows["part"], pa.int32()), "range": pa.array(rows["range"], pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
-    windows = split.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(send, _WINDOW_SCHEMA)
+    windows = split.select("__part", "doc_id", "text").groupBy("__part").cogroup(hits.groupBy("part")).applyInArrow(send, _WINDOW_SCHEMA)
     answers = windows.groupBy("range").applyInArrow(answer, "part int, range int, bits binary")
     marks = hits.select("part", "doc_ids", "places", F.lit(None).cast("int").alias("range"), F.lit(None).cast("binary").alias("bits"))
     both = marks.unionByName(answers.select("part", F.lit(None).cast("binary").alias("doc_ids"), F.lit(None).cast("binary").alias("places"), "range", "bits"))
@@ -248,10 +251,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, part_bytes: int = P
                 n_gone.append(int(lost.sum()))
                 words = raw[s[x] : e[y - 1]].split() if y > x else []
                 kept.append(b" ".join([w for w, g in zip(words, lost.tolist(), strict=True) if not g] if lost.any() else words))
-        ids = texts.column("doc_id")
-        return pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    return split.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+        made = {"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+        if whole:
+            made["kept"] = pc.if_else(pc.equal(made["n_removed"], 0), texts.column("text"), made["kept"])
+        return pa.table(made | {f"c{i}": texts.column(f"c{i}") for i in range(len(carry))})
+
+    long, text = T.LongType(), T.StringType()
+    schema = T.StructType([T.StructField("doc_id", long), T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("kept", text), *docs.schema.fields[2:]])
+    done = split.groupBy("__part").cogroup(both.groupBy("part")).applyInArrow(finish, schema)
+    return done.select("doc_id", "n_words", "n_removed", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
