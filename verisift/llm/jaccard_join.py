@@ -30,6 +30,8 @@ PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 2_000_000, 64
 #: Members compared at a time within a tile; pairs tried for each two components in the first round, and growth per round.
 BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 8
 BITMAP_WORDS = 32
+#: Bits of each shingle hash in the sets that are intersected.
+SET_BITS = 48
 #: Candidate documents up to which they are broadcast to the second reading of the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -166,17 +168,16 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(own[keep])})
 
 
-def _arrays(k: int):
+def _arrays(k: int, whole: bool):
+    """Of each text its id and size, and its whole set (sorted, SET_BITS bits of each hash, packed) or its bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_blocks(batch.column(1)):
                 h, edge = shingle_sets(data, offsets, k)
-                n = len(edge) - 1
-                sets = [h[edge[i] : edge[i + 1]] for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())],
-                    names=["doc", "n", "h", "bits"],
-                )
+                sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                kept = [pack_sorted(x >> np.uint64(64 - SET_BITS)) if whole else bitmap(x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n", "h" if whole else "bits"])
 
     return run
 
@@ -191,7 +192,7 @@ def _check(percent: int):
                 a, b = rows.column(0).to_pylist(), rows.column(1).to_pylist()
                 ok = []
                 for x, y in zip(rows.column(2), rows.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                    x, y = unpack_sorted(x.as_py()), unpack_sorted(y.as_py())
                     both = np.concatenate([x, y])
                     both.sort(kind="stable")
                     i = int((both[1:] == both[:-1]).sum())
@@ -201,11 +202,29 @@ def _check(percent: int):
     return run
 
 
+def _bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(batch.num_rows, -1) for i in (4, 5))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            ok = pa.array(np.minimum((na + nb - apart) // 2, np.minimum(na, nb)) >= needed_overlap(na, nb, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("doc").alias("a"), F.col("h").alias("ha"))
-    right = sets.select(F.col("doc").alias("b"), F.col("h").alias("hb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(_check(percent), "a long, b long")
+    """The pairs (a, b) whose sets link. Few pairs are broadcast to the sets, so that each set moves once."""
+    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    right = sets.select(F.col("doc").alias("b"), F.col("h").alias("hb")).join(small, "b")
+    hubs = F.broadcast(pairs.select("a").distinct()) if pairs.count() <= BROADCAST_IDS else pairs.select("a").distinct()
+    left = sets.join(hubs, sets["doc"] == hubs["a"], "left_semi").select(F.col("doc").alias("a"), F.col("h").alias("ha"))
+    return right.join(left, "a").select("a", "b", "ha", "hb").mapInArrow(_check(percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -255,7 +274,9 @@ def _compare(percent: int):
 def _apart(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, ca, cb, bound: pairs that share a tile, lie in different components and may link."""
     m = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("y")).filter("lo <> hi")
+    #: Tiles with the very same members are one.
+    open_ = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
     m = m.join(open_.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key")
     m = m.join(sets.select("doc", "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
     pair = lambda i, side: F.struct(F.least("at", i).alias("i"), F.greatest("at", i).alias("j"), side.alias("side"))
@@ -286,25 +307,36 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
     members = materialise(members, "members")
     many = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("star")).filter("size > 1")
     members = materialise(members.join(many, "key").select("key", "doc", "star"), "shared")
-    ids = members.select("doc").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").mapInArrow(_arrays(shingle), "doc long, n long, h binary, bits binary")
-    sets = materialise(sets, "arrays")
+
+    def read(ids: DataFrame, whole: bool) -> DataFrame:
+        """Sets or bitmaps of the documents in ids (column doc), from their texts."""
+        ids = materialise(ids.select("doc").distinct(), "ids")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        schema = "doc long, n long, h binary" if whole else "doc long, n long, bits binary"
+        return materialise(docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").mapInArrow(_arrays(shingle, whole), schema), "read")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+
+    marks = read(members, False)
     stars = members.filter("doc <> star").groupBy("doc", "star").agg(F.count("*").alias("n"))
     best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("star")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("a"), F.col("doc").alias("b"))
-    links = materialise(verify(best, sets, percent), "found")
-    tested, tries, seen = best, FIRST_TRIES, members.select("key", "doc")
-    tested = materialise(tested, "tested")
+    best = materialise(best, "best")
+    hopeful = materialise(_bounded(best, marks, percent), "hopeful")
+    links = materialise(verify(hopeful, read(ends(hopeful), True), percent), "found")
     comp = components(links)
-    while True:
-        pairs = _apart(seen, comp, sets, percent).groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("bound").alias("bound"))
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "open")
-        if pairs.isEmpty():
-            break
+    #: All pairs still to be looked at; later rounds only take away from them.
+    pairs = _apart(members.select("key", "doc"), comp, marks, percent).groupBy("a", "b").agg(F.max("bound").alias("bound"))
+    pairs = materialise(pairs.join(best, ["a", "b"], "left_anti"), "open")
+    sets, tries = read(ends(pairs), True), FIRST_TRIES
+    while not pairs.isEmpty():
+        of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
+        now = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+        now = now.filter("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
         w = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.col("bound").desc(), "a", "b"))
-        pick = materialise(pairs.withColumn("r", w).filter(F.col("r") <= tries).select("a", "b"), "pick")
-        found = materialise(verify(pick, sets, percent), "found")
-        links, tested, tries = links.unionByName(found), tested.unionByName(pick), tries * MORE_TRIES
+        now = materialise(now.withColumn("r", w).select("a", "b", "bound", (F.col("r") <= tries).alias("picked")), "now")
+        found = materialise(verify(now.filter("picked").select("a", "b"), sets, percent), "found")
+        links, pairs, tries = links.unionByName(found), now.filter("NOT picked").select("a", "b", "bound"), tries * MORE_TRIES
         comp = components(links)
     graph = components(links.unionByName(own))
     out = info.join(graph.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
