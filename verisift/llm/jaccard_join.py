@@ -274,6 +274,9 @@ def _compare(percent: int):
 def _apart(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, ca, cb, bound: pairs that share a tile, lie in different components and may link."""
     m = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    tile = Window.partitionBy("key")
+    m = m.select("key", "doc", "comp").repartition("key").withColumns({"lo": F.min("comp").over(tile), "hi": F.max("comp").over(tile)}).filter("lo <> hi").drop("lo", "hi")
+    m = materialise(m, "apart")
     open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("y")).filter("lo <> hi")
     #: Tiles with the very same members are one.
     open_ = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
@@ -303,10 +306,10 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
     known = materialise(known, "reps")
     own = known.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     members = tiles.filter("range >= 0").groupBy("range").applyInArrow(_shared, "key long, doc long")
-    members = members.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "doc").select("key", F.col("rep").alias("doc")).distinct()
-    members = materialise(members, "members")
-    many = members.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("star")).filter("size > 1")
-    members = materialise(members.join(many, "key").select("key", "doc", "star"), "shared")
+    members = members.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "doc").select("key", F.col("rep").alias("doc"))
+    tile = Window.partitionBy("key")  # dealt out by key once, for the distinct rows and for both windows
+    members = members.repartition("key").distinct().withColumns({"size": F.count("*").over(tile), "star": F.min("doc").over(tile)})
+    members = materialise(members.filter("size > 1").select("key", "doc", "star"), "shared")
 
     def read(ids: DataFrame, whole: bool) -> DataFrame:
         """Sets or bitmaps of the documents in ids (column doc), from their texts."""
