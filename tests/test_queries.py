@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from verisift.operators import tables
 from verisift.plans import catalog
 from verisift.streaming import usage
 
@@ -37,18 +38,10 @@ def test_streams(spark):
     batch = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.coalesce(1).write.mode("overwrite").parquet(folder)
     stream = spark.readStream.schema(batch.schema).parquet(folder)
-    q = usage.usage_daily_stream(stream).writeStream.format("memory").queryName("daily").outputMode("complete").start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    daily = usage.usage_daily_stream(stream).writeStream.format("memory").queryName("daily").outputMode("complete")
+    assert daily.trigger(availableNow=True).start().awaitTermination(60)
     assert spark.table("daily").agg(F.sum("calls")).first()[0] == batch.count()
-    q = usage.token_bucket_stream(stream, 0.001, 2.999).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
-    try:
-        assert q.awaitTermination(60)
-    finally:
-        q.stop()
-    from verisift.operators import tables
-
+    bucket = usage.token_bucket_stream(stream, 0.001, 2.999).writeStream.format("memory").queryName("bucket").outputMode("append")
+    assert bucket.trigger(availableNow=True).start().awaitTermination(60)
     want = {r["event_id"]: r["allowed"] for r in tables.token_bucket(batch, 0.001, 2.999).collect()}
     assert {r["event_id"]: r["allowed"] for r in spark.table("bucket").collect()} == want
