@@ -15,7 +15,7 @@ def usage_daily_stream(events: DataFrame, late: str = "1 day", surface: str = "e
     return g.agg(F.count("*").alias("calls"), F.sum("value").alias("total_value")).select(F.col("w.start").alias("day"), "surface", "calls", "total_value")
 
 
-def token_bucket_stream(events: DataFrame, per_minute: float, burst: float) -> DataFrame:
+def token_bucket_stream(events: DataFrame, per_minute: float, burst: float, late: str = "1 hour") -> DataFrame:
     """allowed for each call (event_id, user_id, ts), with tokens and last time as keyed state; idle keys are let go."""
     full, rate = float(per_minute + burst), per_minute / 60.0
 
@@ -34,7 +34,9 @@ def token_bucket_stream(events: DataFrame, per_minute: float, burst: float) -> D
             left -= ok
             out.append((event_id, key[0], ok))
         state.update((left, last))
-        state.setTimeoutDuration(300_000)
+        idle = max(300.0, (full - left) / rate if rate else 300.0)  # by then the bucket is full again, as a new one is
+        state.setTimeoutTimestamp(max(int((last + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
 
-    return events.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "left double, last double", "append", "ProcessingTimeTimeout")
+    calls = events.select("event_id", "user_id", "ts").withWatermark("ts", late)
+    return calls.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "left double, last double", "append", "EventTimeTimeout")
