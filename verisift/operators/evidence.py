@@ -32,7 +32,7 @@ def build_segments(text: Column, headings: Column | None = None) -> Column:
         def each(all_: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
                 before = F.slice(all_, 1, i + 1)
-                above = F.element_at(F.filter(before, lambda y: y["label"].isNotNull()), -1)["label"] if headings is not None else F.lit(None).cast("string")
+                above = F.try_element_at(F.filter(before, lambda y: y["label"].isNotNull()), F.lit(-1))["label"] if headings is not None else F.lit(None).cast("string")
                 number = F.size(F.filter(before, lambda y: y["label"].isNull())) if headings is not None else i + 1
                 place = F.concat(F.lit("p["), number.cast("string"), F.lit("]"))
                 where = F.when(above.isNull(), place).otherwise(F.concat(above, F.lit(" > "), place))
