@@ -27,14 +27,32 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files of a query go when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps don't depend on executors that made it."""
+    """Write df to the shared folder and read it back: later steps don't depend on executors that made it.
+
+    The shuffle files of the write are let go once it has ended, as nothing reads them again."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by materialise() that nothing reads any more: all made from it has been written."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, then) -> Column:
     """then(value) with the value worked out once, even where `then` names it inside a lambda."""
     return F.transform(F.array(value), then)[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verisift.llm.common import _LOWER, hash_runs, hash_words, materialise, mix, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
+from verisift.llm.common import _LOWER, discard, hash_runs, hash_words, materialise, mix, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
 
 #: Ratio of a band's largest to its smallest size.
 BAND = 1.5
@@ -310,6 +310,7 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
     tile = Window.partitionBy("key")  # dealt out by key once, for the distinct rows and for both windows
     members = members.repartition("key").distinct().withColumns({"size": F.count("*").over(tile), "star": F.min("doc").over(tile)})
     members = materialise(members.filter("size > 1").select("key", "doc", "star"), "shared")
+    discard(tiles)
 
     def read(ids: DataFrame, whole: bool) -> DataFrame:
         """Sets or bitmaps of the documents in ids (column doc), from their texts."""
@@ -326,7 +327,9 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
     best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("star")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("a"), F.col("doc").alias("b"))
     best = materialise(best, "best")
     hopeful = materialise(_bounded(best, marks, percent), "hopeful")
-    links = materialise(verify(hopeful, read(ends(hopeful), True), percent), "found")
+    sets = read(ends(hopeful), True)
+    links = materialise(verify(hopeful, sets, percent), "found")
+    discard(sets)
     comp = components(links)
     #: All pairs still to be looked at; later rounds only take away from them.
     pairs = _apart(members.select("key", "doc"), comp, marks, percent).groupBy("a", "b").agg(F.max("bound").alias("bound"))
