@@ -7,7 +7,7 @@ share a tile: no link is lost. Which tiles are shared at all is found from packe
 
 In shared tiles a set is first held against the tiles' smallest member that it meets most often; sets that are then
 still apart are compared tile by tile: bit counts of two bitmaps bound the overlap from above, and only pairs that can
-still link go on to the exact intersection. Pairs already connected are not compared again.
+still link (by wider bitmaps, last) go on to the exact intersection. Pairs already connected are not compared again.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ KEY_BITS = 48
 PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 2_000_000, 64
 #: Members compared at a time within a tile; pairs tried for each two components in the first round, and growth per round.
 BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 8
-BITMAP_WORDS = 32
+#: 64-bit words of a bitmap: narrow ones go with the members of tiles, wide ones (a bit for each shingle) with pairs.
+BITMAP_WORDS, MOST_WORDS = 32, 4096
 #: Bits of each shingle hash in the sets that are intersected.
 SET_BITS = 48
 #: Candidate documents up to which they are broadcast to the second reading of the texts; more are joined by shuffle.
@@ -90,12 +91,25 @@ def tile_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(h >> np.uint64(7)) % np.uint64(BITMAP_WORDS * 64)] = 1
+def bitmap(h: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(h >> np.uint64(7)) % np.uint64(words * 64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def wide_words(n: int) -> int:
+    """Words of the wide bitmap of a set of n: a power of two, so that one can be folded to another's width."""
+    return min(MOST_WORDS, max(BITMAP_WORDS, 1 << max(0, -(-n // 64) - 1).bit_length()))
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that two bitmaps differ in, the wider one folded to the width of the other."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    while len(large) > len(small):
+        large = large[: len(large) // 2] | large[len(large) // 2 :]
+    return int(np.bitwise_count(small ^ large).sum())
+
+
 _TILE_SCHEMA = "range int, keys binary, counts binary, owners binary"
 
 
@@ -169,15 +183,18 @@ def _shared(group: pa.Table) -> pa.Table:
 
 
 def _arrays(k: int, whole: bool):
-    """Of each text its id and size, and its whole set (sorted, SET_BITS bits of each hash, packed) or its bitmap."""
+    """Of each text its id and size, and its whole set (sorted, SET_BITS bits of each hash, packed) or its bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_blocks(batch.column(1)):
                 h, edge = shingle_sets(data, offsets, k)
                 sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-                kept = [pack_sorted(x >> np.uint64(64 - SET_BITS)) if whole else bitmap(x).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(kept, pa.binary())], names=["doc", "n", "h" if whole else "bits"])
+                if whole:
+                    kept = {"h": [pack_sorted(x >> np.uint64(64 - SET_BITS)) for x in sets]}
+                else:
+                    kept = {"bits": [bitmap(x).tobytes() for x in sets], "wide": [bitmap(x, wide_words(len(x))).tobytes() for x in sets]}
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(v, pa.binary()) for v in kept.values()]], names=["doc", "n", *kept])
 
     return run
 
@@ -203,19 +220,20 @@ def _check(percent: int):
 
 
 def _bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose bitmaps allow a link."""
+    """The rows of pairs (long columns, of them a and b) whose wide bitmaps allow a link."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(batch.num_rows, -1) for i in (4, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            na, nb, x, y = (batch.column(len(names) + i) for i in range(4))
+            na, nb = na.to_numpy(), nb.to_numpy()
+            apart = np.array([bits_apart(np.frombuffer(v.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u8")) for v, w in zip(x, y, strict=True)], np.int64)
             ok = pa.array(np.minimum((na + nb - apart) // 2, np.minimum(na, nb)) >= needed_overlap(na, nb, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in range(len(names))], names=names)
 
-    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("wide").alias("xa"))
+    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("xb"))
+    return pairs.join(left, "a").join(right, "b").select(*names, "na", "nb", "xa", "xb").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +334,7 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
         """Sets or bitmaps of the documents in ids (column doc), from their texts."""
         ids = materialise(ids.select("doc").distinct(), "ids")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        schema = "doc long, n long, h binary" if whole else "doc long, n long, bits binary"
+        schema = "doc long, n long, h binary" if whole else "doc long, n long, bits binary, wide binary"
         return materialise(docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").mapInArrow(_arrays(shingle, whole), schema), "read")
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -334,6 +352,7 @@ def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int
     #: All pairs still to be looked at; later rounds only take away from them.
     pairs = _apart(members.select("key", "doc"), comp, marks, percent).groupBy("a", "b").agg(F.max("bound").alias("bound"))
     pairs = materialise(pairs.join(best, ["a", "b"], "left_anti"), "open")
+    pairs = materialise(_bounded(pairs, marks, percent), "hopeful")
     sets, tries = read(ends(pairs), True), FIRST_TRIES
     while not pairs.isEmpty():
         of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
