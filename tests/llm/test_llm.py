@@ -107,6 +107,16 @@ def test_jaccard_brute_force(spark, docs):
     assert kept == {d for d, (_, c) in links_of(rows, 4, 85).items() if c == d}
 
 
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in ((10, 12), (2000, 2300), (2040, 2060), (9000, 10500), (300_000, 340_000)):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = np.unique(both), np.unique(np.concatenate([both[: n // 2], rng.integers(0, 1 << 63, m - n // 2, dtype=np.uint64)]))
+        marks = [jaccard_join.bitmap(v, jaccard_join.wide_words(len(v))) for v in (x, y)]
+        apart = jaccard_join.bits_apart(*marks)
+        assert 0 < apart <= len(np.setxor1d(x, y)) and apart == jaccard_join.bits_apart(*marks[::-1])
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "A train of 12 wagons leaves the old town at 9 and meets Anna near the river after 12 minutes of slow driving"), (2, None), (3, "too short")], "item_id long, text string")
     texts = {
