@@ -6,8 +6,7 @@ and are told apart by their corpus frequency. Corpus-wide counts of neighbouring
 and the attention layer learns what they leave open.
 
 All training documents take part: each part of the corpus counts its words and neighbouring ids, and trains the network
-further from a common start on every SHARE-th of its windows; counts are summed and weights averaged over parts. For
-scoring, a text is cut into overlapping windows; each token is scored once, in the window that gives it most context.
+further from a common start on all its windows; counts are summed and weights averaged over parts. For scoring, a text is cut into overlapping windows; each token is scored once, in the window that gives it most context.
 The score of a word is a mixture of the network and, for words known from training, their share of all tokens.
 
 Beside it stands a unigram base score over words, whose counts are exchanged as packed word lists: each part asks for
@@ -39,8 +38,7 @@ WINDOW, STRIDE, BATCH, SMALL = 32, 28, 1024, 128
 COUNTED = 0.35
 #: Documents for the choice of the head and the common start, at most (about: drawn by a hash of the id).
 START_TEXTS, START_STEPS = 600, 400
-#: Each part trains on one in so many of its windows.
-SHARE, TRAIN_BATCH = 16, 32
+TRAIN_BATCH = 32
 PART_BYTES, LEAST_PARTS, FAN_IN = 6 << 20, 64, 16
 _codecs: dict[int, PieceCodec] = {}
 
@@ -348,8 +346,7 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
             near += t.neighbours(train)
             on = np.repeat(train, np.diff(t.edge)) & (t.y == TAIL)
             tail += np.bincount(t.ids[on], minlength=len(symbol))
-            first, stop, begin = t.windows(np.flatnonzero(train))
-            chosen.append((t, [a[part % SHARE :: SHARE] for a in (first, stop, begin)]))
+            chosen.append((t, t.windows(np.flatnonzero(train))))
         net, prior, used = Network.from_flat(weights), Prior(near), 0
         for t, (first, stop, begin) in chosen:
             net.train(prior, t, first, stop, begin, 0.001)
