@@ -41,9 +41,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the ids (unsigned 32-bit little-endian) and digests of ids and decoded text."""
-    made = piece_codec.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"), spans=False)
-    return made.select("doc_id", "n_tokens", "ids_le", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, the ids (unsigned 32-bit little-endian) and digests of ids, byte spans and decoded text."""
+    made = piece_codec.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+    return made.select("doc_id", "n_tokens", "ids_le", F.sha2("ids_le", 256).alias("ids_sha256"), piece_codec.spans_digest().alias("spans_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -13,7 +13,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁".encode()  # the visible stand-in for a space
 _CACHE_WORDS = 400_000
@@ -221,3 +222,8 @@ def encode_documents(docs: DataFrame, model_path: str, *, spans: bool = True, te
                 )
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+
+
+def spans_digest() -> Column:
+    """SHA-256 of a row's span begins, followed by its span ends."""
+    return F.sha2(F.concat("span_begin_le", "span_end_le"), 256)

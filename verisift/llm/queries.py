@@ -54,8 +54,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), spans=False)
-    return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    made = piece_codec.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), piece_codec.spans_digest().alias("spans_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
