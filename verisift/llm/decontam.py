@@ -4,6 +4,7 @@ A text is brought to template form: names (capitalised words within a sentence),
 placeholders, everything else is lower-cased words without punctuation. Windows of consecutive template words are
 hashed and joined with those of the benchmark. For windows that meet, the words behind the placeholders are compared:
 within one alignment of a document and an item, the same benchmark value must always stand for the same document value.
+Thin windows, which are mostly placeholders, would meet too much by template; they are hashed and joined by their values.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from verisift.llm.common import let, materialise
 
 WINDOW = 8
-#: Words of a window that must not be placeholders; windows that must meet in one alignment (or all, if the item has fewer).
+#: Words that must not be placeholders in a window met by template (others need equal values); windows that must meet in
+#: one alignment (or all, if the item has fewer).
 LEAST_PLAIN, LEAST_WINDOWS = 4, 2
 #: Benchmark windows, and hit documents, up to which they are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS, BROADCAST_HITS = 500_000, 500_000
@@ -41,6 +43,11 @@ def value_words(text: Column) -> Column:
     return F.array_remove(F.split(_by_digits(text, lambda t: marked(_cut_units(t)), marked), _GAP), "")
 
 
+def bare_words(text: Column) -> Column:
+    """The words of value_words() without marks: a word may stand as a name in one place and not in another."""
+    return F.array_remove(F.split(_by_digits(text, lambda t: F.lower(_cut_units(t)), F.lower), _GAP), "")
+
+
 def template_words(text: Column) -> Column:
     """Template words; one for each of value_words()."""
     named = lambda t: F.lower(F.regexp_replace(t, _NAMES, NAME))
@@ -60,34 +67,38 @@ def _windows(words: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, n_windows, item_at, h of windows with enough plain words; an item shorter than a window is one."""
+    """item_id, size, item_at, thin, h of all windows; an item shorter than a window is one. A window with too few plain
+    words is thin: its h is made of its values, not of its template."""
     size = lambda w: F.least(F.size(w), F.lit(window))
     plain = lambda x: F.size(F.filter(x, lambda t: ~t.isin(NAME, UNIT, NUM)))
-    at = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size(w)), lambda i: F.struct(i.alias("item_at"), F.slice(w, i + 1, size(w)).alias("words")))
-    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", F.explode(let(template_words(F.col("text")), at)).alias("x"))
-    rows = items.withColumn("size", F.size("x.words")).filter((F.col("size") > 0) & (plain(F.col("x.words")) >= F.least(F.lit(LEAST_PLAIN), F.col("size"))))
-    return rows.select("item_id", "size", "x.item_at", F.xxhash64("x.words").alias("h"))
+    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", template_words(F.col("text")).alias("kinds"), bare_words(F.col("text")).alias("values"))
+    cut = lambda c, i: F.slice(c, i + 1, size("kinds"))
+    at = F.transform(F.sequence(F.lit(0), F.size("kinds") - size("kinds")), lambda i: F.struct(i.alias("item_at"), cut("kinds", i).alias("words"), cut("values", i).alias("values")))
+    rows = items.select("item_id", F.explode(at).alias("x")).withColumn("size", F.size("x.words")).filter("size > 0")
+    rows = rows.withColumn("thin", plain(F.col("x.words")) < F.least(F.lit(LEAST_PLAIN), F.col("size")))
+    return rows.select("item_id", "size", "x.item_at", "thin", F.when(F.col("thin"), F.xxhash64("x.values")).otherwise(F.xxhash64("x.words")).alias("h"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, shift (place in the document less place in the item), n_windows met, n_same (with equal values),
-    consistent (slots map one value to one value), item_windows, contaminated.
+    consistent (slots of windows met by template map one value to one value), item_windows, contaminated.
 
     Documents with a null id count as one document. Null or empty texts and items meet nothing; repeated documents or
     items of one id count as one; an item shorter than the window counts as a single window of all its words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     bench = materialise(benchmark_windows(items, window), "bench")
-    n, sizes = bench.count(), sorted(r["size"] for r in bench.select("size").distinct().collect())
+    n, sizes = bench.count(), sorted((r["size"], r["thin"]) for r in bench.select("size", "thin").distinct().collect())
     small = F.broadcast if n <= BROADCAST_WINDOWS else lambda x: x
     use = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = None
-    for size in sizes:
-        rows = use.select("doc_id", F.posexplode(_windows(template_words(F.col("text")), size)).alias("doc_at", "w"))
+    for size, thin in sizes:
+        words = (bare_words if thin else template_words)(F.col("text"))
+        rows = use.select("doc_id", F.posexplode(_windows(words, size)).alias("doc_at", "w"))
         rows = rows.filter(F.col(f"w.w{size - 1}").isNotNull()).select("doc_id", "doc_at", F.xxhash64(*[F.col(f"w.w{k}") for k in range(size)]).alias("h"))
-        one = rows.join(small(bench.filter(F.col("size") == size)), "h").select("doc_id", "doc_at", "item_id", "item_at", "size")
+        one = rows.join(small(bench.filter((F.col("size") == size) & (F.col("thin") == thin))), "h").select("doc_id", "doc_at", "item_id", "item_at", "size", "thin")
         met = one if met is None else met.unionByName(one)
     if met is None:
-        met = use.limit(0).select("doc_id", F.lit(0).alias("doc_at"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("item_at"), F.lit(0).alias("size"))
+        met = use.limit(0).select("doc_id", F.lit(0).alias("doc_at"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("item_at"), F.lit(0).alias("size"), F.lit(False).alias("thin"))
     met = materialise(met.distinct(), "met")
     ids = met.select("doc_id").distinct()
     ids = F.broadcast(ids) if met.count() <= BROADCAST_HITS else ids
@@ -96,20 +107,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     whole = items.select(F.col("item_id").alias("i"), value_words(F.col("text")).alias("item_words"))
     both = met.join(words, F.col("doc_id").eqNullSafe(F.col("d"))).join(whole, F.col("item_id") == F.col("i"))
     cut = lambda c, at: F.slice(c, F.col(at) + 1, F.col("size"))
+    bare = lambda w: F.transform(w, lambda x: F.translate(x, MARK, ""))
     kinds, mine, its = cut("kinds", "doc_at"), cut("words", "doc_at"), cut("item_words", "item_at")
     slots = F.filter(F.arrays_zip(kinds.alias("k"), mine.alias("m"), its.alias("t")), lambda x: x["k"].isin(NAME, UNIT, NUM) | x["k"].contains(NUM))
-    rows = both.select("doc_id", "item_id", "doc_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), (mine == its).alias("same"), slots.alias("slots"))
+    rows = both.select("doc_id", "item_id", "doc_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), F.when(F.col("thin"), bare(mine) == bare(its)).otherwise(mine == its).alias("same"), "thin", slots.alias("slots"))
     rows = rows.groupBy("doc_id", "item_id", "shift").agg(
         F.countDistinct("doc_at").alias("n_windows"),
         F.countDistinct(F.when(F.col("same"), F.col("doc_at"))).alias("n_same"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        F.countDistinct(F.when(~F.col("thin"), F.col("doc_at"))).alias("n_plain"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("thin"), F.col("slots"))))).alias("slots"),
     )
     pair = F.array_distinct(F.transform("slots", lambda x: F.concat_ws(MARK, x["t"], x["m"])))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x["t"]))) == F.size(pair)
-    total = bench.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    rows = rows.select("doc_id", "item_id", "shift", "n_windows", "n_same", consistent.alias("consistent")).join(total, "item_id")
-    enough = F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))
-    return rows.withColumn("contaminated", (F.col("n_same") >= enough) | (F.col("consistent") & (F.col("n_windows") >= enough)))
+    total = bench.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"), F.countDistinct(F.when(~F.col("thin"), F.col("item_at"))).alias("item_plain"))
+    rows = rows.select("doc_id", "item_id", "shift", "n_windows", "n_same", "n_plain", consistent.alias("consistent")).join(total, "item_id")
+    enough = lambda c: F.least(F.lit(LEAST_WINDOWS), F.col(c))
+    by_template = F.col("consistent") & (F.col("n_plain") > 0) & (F.col("n_plain") >= enough("item_plain"))
+    return rows.withColumn("contaminated", (F.col("n_same") >= enough("item_windows")) | by_template).drop("n_plain", "item_plain")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
