@@ -36,7 +36,7 @@ TAIL, START, STATES = HEAD, HEAD + 1, HEAD + 2
 WINDOW, STRIDE, BATCH, SMALL = 32, 28, 1024, 128
 #: Share of the word counts in the mixture that scores a known word.
 COUNTED = 0.35
-#: Documents for the choice of the head and the common start, at most (about: drawn by a hash of the id).
+#: Documents for the common start, at most (about: drawn by a hash of the id).
 START_TEXTS, START_STEPS = 600, 400
 TRAIN_BATCH = 32
 PART_BYTES, LEAST_PARTS, FAN_IN = 6 << 20, 64, 16
@@ -279,17 +279,43 @@ def _by_range(words: list[bytes], parts: int) -> tuple[list[bytes], np.ndarray]:
     return [words[i] for i in order.tolist()], np.searchsorted(r[order], np.arange(parts + 1))
 
 
+def _id_counts(train: DataFrame, blob: bytes) -> np.ndarray:
+    """How often each subword id stands in all given texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(blob)
+        n, words = np.zeros(codec.bare.vocab_size(), np.int64), Counter()
+
+        def spend() -> None:
+            flat, edge = _subwords(codec, list(words))
+            n[:] += np.bincount(flat, weights=np.repeat(np.fromiter(words.values(), float, len(words)), np.diff(edge)), minlength=len(n)).astype(np.int64)
+            words.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                words.update((text.as_py() or "").encode().lower().split())
+                if len(words) > 200_000:
+                    spend()
+        if words:
+            spend()
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["id", "n"])
+
+    out = np.zeros(_codec(blob).bare.vocab_size(), np.int64)
+    for r in train.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
 def _start(train: DataFrame, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each subword id, and the weights of the common start, from a bounded sample of whole texts."""
+    """Symbol of each subword id, by counts over all texts, and the weights of the common start, from a bounded sample."""
     n = train.count()
     drawn = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) <= F.lit(min(1.0, START_TEXTS / max(n, 1)) * 1_000_003))
     texts = [r["text"] for r in drawn.orderBy("doc_id", "text").select("text").collect()]
     codec = _codec(blob)
     size = codec.bare.vocab_size()
     symbol = np.full(size + 1, TAIL, np.int32)
-    seen = Texts(texts, codec, symbol)
-    n_id = np.bincount(seen.ids[seen.ids >= 0], minlength=size)
-    symbol[np.argsort(-n_id, kind="stable")[: HEAD - 1]] = np.arange(1, HEAD)
+    symbol[np.argsort(-_id_counts(train, blob), kind="stable")[: HEAD - 1]] = np.arange(1, HEAD)
     seen = Texts(texts, codec, symbol)
     net, prior = Network(), Prior(seen.neighbours(np.ones(len(texts), bool)))
     first, stop, begin = seen.windows()
