@@ -23,6 +23,8 @@ WORD_DIM, SHAPE_DIM, META_DIM = 512, 12, 96
 #: Labelled and unlabelled documents the views are fitted on, at most (about: drawn by a hash of the id).
 FIT_LABELLED, FIT_UNLABELLED = 6000, 4000
 ROUNDS, GIVEN_PER_ROUND = 4, 0.1
+#: Parts of the fitting rows, each scored by fits on the others, that show if a view can teach.
+FOLDS = 3
 KEEP_FROM = 0.5
 
 
@@ -116,11 +118,24 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, unlabelled_t: np.ndarr
         weights = [np.ones(len(ys)), *[np.full(len(i), 0.5) for i, _ in given[k]]]
         return fit_logistic(np.concatenate(rows), np.concatenate(labels), np.concatenate(weights))
 
+    fold = np.random.default_rng(5).permutation(len(ys)) % FOLDS
+
+    def held_out_auc(k: int) -> float:
+        """AUC of a view on its fitting rows, each scored by a fit without its fold (with the view's pseudo-labels)."""
+        z = np.zeros(len(ys))
+        for f in range(FOLDS):
+            use = fold != f
+            rows = [base[k][use], *[pools[k][i] for i, _ in given[k]]]
+            labels = [ys[use], *[np.full(len(i), v) for i, v in given[k]]]
+            weights = [np.ones(int(use.sum())), *[np.full(len(i), 0.5) for i, _ in given[k]]]
+            z[~use] = base[k][~use] @ fit_logistic(np.concatenate(rows), np.concatenate(labels), np.concatenate(weights))
+        return _auc(ys, z)
+
     w = [fit_view(0), fit_view(1)]
     for _ in range(ROUNDS if 0 < ys.sum() < len(ys) else 0):
         for k in (0, 1):
             at = np.flatnonzero(free)
-            if not len(at) or _auc(ys, base[k] @ w[k]) < 0.7:  # a view that can't tell good from bad teaches nothing
+            if not len(at) or held_out_auc(k) < 0.7:  # a view that can't tell good from bad teaches nothing
                 continue
             z = pools[k][at] @ w[k]
             n = max(1, int(GIVEN_PER_ROUND * len(at) / 2))
