@@ -113,7 +113,7 @@ def test_bitmaps_never_exceed_the_difference():
     for n, m in ((10, 12), (2000, 2300), (2040, 2060), (9000, 10500), (300_000, 340_000)):
         both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         x, y = np.unique(both), np.unique(np.concatenate([both[: n // 2], rng.integers(0, 1 << 63, m - n // 2, dtype=np.uint64)]))
-        marks = [jaccard_join.bitmap(v, jaccard_join.wide_words(len(v))) for v in (x, y)]
+        marks = [jaccard_join.bitmap(v) for v in (x, y)]
         apart = jaccard_join.bits_apart(*marks)
         assert 0 < apart <= len(np.setxor1d(x, y)) and apart == jaccard_join.bits_apart(*marks[::-1])
 

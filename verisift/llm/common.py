@@ -45,12 +45,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialise() that nothing reads any more: all made from it has been written."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by materialise() that nothing reads any more: all made from them has been written."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """df, marked for broadcast if its `rows` rows (of a few longs each) are at most `limit`."""
+    return F.broadcast(df) if rows <= limit else df
 
 
 def let(value: Column, then) -> Column:
@@ -73,6 +78,32 @@ def parts_for(total_bytes: int, each: int, least: int) -> int:
     return max(least, -(-total_bytes // each))
 
 
+def give_back() -> None:
+    """Hand freed memory of this Python worker back to the system; an idle worker otherwise holds on to it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """A mapInArrow function that gives its memory back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 # --- word hashing over raw UTF-8 bytes -------------------------------------------------------------------------
 
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -141,7 +172,7 @@ def hash_runs(g: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _power(_inverse(base), len(g) + 1)[: len(g) - k + 1])
 
 
-def text_blocks(batch_col, limit: int = 1 << 20):
+def text_blocks(batch_col, limit: int = 1 << 18):
     """Cut an Arrow string column into blocks of about `limit` bytes: (first row, bytes as numpy, offsets). Nulls count as empty."""
     import pyarrow as pa
 

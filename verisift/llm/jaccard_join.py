@@ -1,39 +1,38 @@
 """N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
-A text's set is its distinct word shingles (64-bit hashes). Sets of equal content are one class at once. Classes are
-laid out in tiles: a size band, which fixes a number of parts; a part of the hash space; and the content of the set in
-that part. Two sets that link differ in fewer elements than the band has parts, so that they agree in some part and
-share a tile: no link is lost. Which tiles are shared at all is found from packed, sorted hash lists.
-
-In shared tiles a set is first held against the tiles' smallest member that it meets most often; sets that are then
-still apart are compared tile by tile: bit counts of two bitmaps bound the overlap from above, and only pairs that can
-still link (by wider bitmaps, last) go on to the exact intersection. Pairs already connected are not compared again.
+A text's set is its distinct word shingles (64-bit hashes). Sets of equal content are one class, a node of the graph.
+A band holds the sizes from one power of two to the next. A set's tiles, in the band of the larger set of a pair, are
+pairs of elements that are neighbours in the set's hash order (both ends of the order count as elements). Sets with i
+elements in common and d in only one of them share i + 1 - d such pairs at least, so that of a set's pairs, ordered by
+a hash, one of the first few is shared by any set that links to it: a bounded prefix of the pairs is enough, and no
+link is lost. Which tiles are shared at all is found from packed, sorted hash lists.
+
+Each set is first held against the smallest member of its tiles that it meets most often; sets that are then still
+apart are compared tile by tile: bit counts of two bitmaps bound the overlap from above, and only pairs that can still
+link go on to the exact intersection. Pairs already connected are not compared again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verisift.llm.common import _LOWER, discard, hash_runs, hash_words, materialise, mix, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
+from verisift.llm.common import _LOWER, discard, give_back, hash_runs, hash_words, lean, materialise, mix, pack, pack_sorted, parts_for, small, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
 
-#: Ratio of a band's largest to its smallest size.
-BAND = 1.5
 KEY_BITS = 48
-PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 2_000_000, 64
+PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 1_000_000, 64
 #: Members compared at a time within a tile; pairs tried for each two components in the first round, and growth per round.
 BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 8
-#: 64-bit words of a bitmap: narrow ones go with the members of tiles, wide ones (a bit for each shingle) with pairs.
-BITMAP_WORDS, MOST_WORDS = 32, 4096
-#: Bits of each shingle hash in the sets that are intersected.
-SET_BITS = 48
-#: Candidate documents up to which they are broadcast to the second reading of the texts; more are joined by shuffle.
+#: 64-bit words of a bitmap: two to four bits for each shingle, within these.
+LEAST_WORDS, MOST_WORDS = 4, 4096
+#: Sets compared with one hub in one group of the exact check.
+HUB_SHARE = 256
+#: Rows (of a few longs) up to which a table is broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -67,187 +66,228 @@ def needed_overlap(x, y, percent: int):
 
 
 def band_of(n: int) -> int:
-    return int(math.floor(math.log(n) / math.log(BAND) + 1e-9))
+    return n.bit_length() - 1
 
 
-def band_parts(band: int, percent: int) -> int:
-    """Parts of a band: one more than the most elements in which two linked sets can differ, if the larger is in it."""
-    top = int(math.ceil(BAND ** (band + 1)))
-    return int((100 - percent) * 2 * top // (100 + percent)) + 1
+def prefixes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(band, pairs of neighbours needed) of a set of n: in its own band, and in the next if a larger set there can link.
 
+    Of a set's n + 1 pairs at most 2n + m - 3i are not shared with a linked set of m elements, i of them common."""
+    out = [(band_of(n), 2 * n * (100 - percent) // 100 + 1)]
+    least = 2 << band_of(n)
+    if 100 * n >= percent * least:
+        out.append((band_of(n) + 1, 2 * n + least + (-3 * percent * (n + least) // (100 + percent)) + 1))
+    return out
 
-def tile_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the tiles of a set: of its own band, and of the next one if a larger set there could still link to it."""
-    n = len(h)
-    bands = {band_of(n), band_of(max(n, 100 * n // percent))}
+
+def tile_keys(h: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
+    """Keys of the tiles of a sorted set that is not empty."""
+    ends = np.concatenate([np.zeros(1, np.uint64), h, np.full(1, ~np.uint64(0))])
+    g = mix(mix(ends[:-1] + np.uint64(salt)) * np.uint64(3) + ends[1:])
     out = []
-    for band in sorted(bands):
-        parts = band_parts(band, percent)
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(band)), dtype=np.uint64)])
-        edge = np.searchsorted(part, np.arange(parts + 1))
-        content = total[edge[1:]] - total[edge[:-1]]
-        out.append(mix(mix(content + np.arange(parts, dtype=np.uint64)) + np.uint64(band)) >> np.uint64(64 - KEY_BITS))
+    for band, k in prefixes(len(h), percent):
+        k = min(k, len(g))
+        first = g[g <= np.partition(g, k - 1)[k - 1]]
+        out.append(mix(first + np.uint64(band)) >> np.uint64(64 - KEY_BITS))
     return np.unique(np.concatenate(out))
 
 
-def bitmap(h: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+def bitmap_words(n: int) -> int:
+    """Words of the bitmap of a set of n: a power of two, so that one can be folded to another's width."""
+    return min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, -(-n // 32) - 1).bit_length()))
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    words = bitmap_words(len(h))
     bits = np.zeros(words * 64, np.uint8)
     bits[(h >> np.uint64(7)) % np.uint64(words * 64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def wide_words(n: int) -> int:
-    """Words of the wide bitmap of a set of n: a power of two, so that one can be folded to another's width."""
-    return min(MOST_WORDS, max(BITMAP_WORDS, 1 << max(0, -(-n // 64) - 1).bit_length()))
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap at a smaller width."""
+    while len(x) > words:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
 
 
 def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
     """Bits that two bitmaps differ in, the wider one folded to the width of the other."""
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    while len(large) > len(small):
-        large = large[: len(large) // 2] | large[len(large) // 2 :]
-    return int(np.bitwise_count(small ^ large).sum())
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum())
+
+
+def _digests(h: np.ndarray, edge: np.ndarray, salt: int) -> list[bytes]:
+    """16 bytes for each set: 8 name its node, 8 more tell if two sets were given one name."""
+    key = salt.to_bytes(4, "little")
+    return [hashlib.blake2b(h[x:y].tobytes(), digest_size=16, key=key).digest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
-_TILE_SCHEMA = "range int, keys binary, counts binary, owners binary"
+_ROW = "range int, doc_id long, th long, n long, node long, check long, bits binary, keys binary, counts binary, owners binary"
+_ROW_TYPES = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 4]
+_ROW_NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def _tiles(k: int, percent: int, parts: int):
-    """Rows of range -1 hold (id, size, set key) of documents; others the tile keys of one hash range with their owners."""
-    names = ["range", "keys", "counts", "owners"]
+def _rows(columns: list) -> pa.RecordBatch:
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _ROW_TYPES, strict=True)], names=_ROW_NAMES)
 
-    def batch_of(rows):
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
+
+def _tiles(k: int, percent: int, parts: int, salt: int):
+    """Rows of range -1: a document each, its bitmap with the first copy of a set; others: the tile keys of one hash
+    range with the nodes that own them."""
 
     def flush(keys, owners):
         key, own = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, own = key[order], own[order]
-        u, first, n = np.unique(key, return_index=True, return_counts=True)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        u, at = key[first], np.append(first, len(key))
         edge = np.searchsorted(((u >> np.uint64(KEY_BITS - 24)) * np.uint64(parts)) >> np.uint64(24), np.arange(parts + 1))
-        at = np.concatenate([first, [len(key)]])
-        return batch_of([(i, pack_sorted(u[x:y]), pack(n[x:y].astype(np.uint32)), pack(own[at[x] : at[y]])) for i, x, y in zip(range(parts), edge[:-1], edge[1:], strict=True) if y > x])
+        n = np.diff(at).astype(np.uint32)
+        full = [(i, x, y) for i, x, y in zip(range(parts), edge[:-1], edge[1:], strict=True) if y > x]
+        return _rows([[i for i, _, _ in full], *[None] * 6, [pack_sorted(u[x:y]) for _, x, y in full], [pack(n[x:y]) for _, x, y in full], [own[at[x] : at[y]].tobytes() for _, x, y in full]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, seen, held = [], [], set(), 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, data, offsets in text_blocks(batch.column(1)):
+            for first, data, offsets in text_blocks(batch.column(2)):
                 h, edge = shingle_sets(data, offsets, k)
-                own, sizes = ids[first : first + len(edge) - 1], np.diff(edge)
-                digests = []
-                for i, n in enumerate(sizes):
-                    digest = hashlib.blake2b(h[edge[i] : edge[i + 1]].tobytes(), digest_size=16).digest() if n else bytes(16)
-                    digests.append(digest)
-                    if n and digest not in seen:  # a copy within the task adds nothing
-                        seen.add(digest)
-                        t = tile_keys(h[edge[i] : edge[i + 1]], percent)
+                sizes = np.diff(edge)
+                names = _digests(h, edge, salt)
+                both = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                bits: list[bytes | None] = []
+                for i, n in enumerate(sizes.tolist()):
+                    bits.append(None)
+                    if n and names[i] not in seen:  # a copy within the task adds nothing
+                        seen.add(names[i])
+                        one = h[edge[i] : edge[i + 1]]
+                        t = tile_keys(one, percent, salt)
+                        bits[-1] = bitmap(one).tobytes()
                         keys.append(t)
-                        owners.append(np.full(len(t), own[i], np.int64))
+                        owners.append(np.full(len(t), both[i, 0], np.int64))
                         held += len(t)
-                yield batch_of([(-1, np.ascontiguousarray(own).tobytes(), sizes.astype(np.int64).tobytes(), b"".join(digests))])
+                m = len(sizes)
+                yield _rows([np.full(m, -1), batch.column(0).slice(first, m), batch.column(1).slice(first, m), sizes, both[:, 0], both[:, 1], bits, None, None, None])
                 if held >= HELD_KEYS:
                     yield flush(keys, owners)
                     keys, owners, seen, held = [], [], set(), 0
         if held:
             yield flush(keys, owners)
 
-    return run
+    return lean(run)
 
 
-def _unpack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            d = [r["owners"][i : i + 16] for i in range(0, len(r["owners"]), 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], "<i8")), pa.array(np.frombuffer(r["counts"], "<i8")), pa.array(d, pa.binary())], names=["doc_id", "n", "set_key"])
+_SHARED = "key long, doc long, star long, n long"
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Keys of one range with two owners or more, and all their owners."""
+    """Of the tiles of one range with two owners or more: how often each owner meets a tile's smallest owner as `star`;
+    and, of tiles with three or more, all owners (key, doc), tiles with the very same owners being one."""
     rows = group.to_pydict()
     keys = [unpack_sorted(x) for x in rows["keys"]]
-    counts = [unpack(x).astype(np.int64) for x in rows["counts"]]
-    key = np.concatenate([np.repeat(k, n) for k, n in zip(keys, counts, strict=True)])
-    own = np.concatenate([unpack(x) for x in rows["owners"]])
+    key = np.concatenate([np.repeat(k, unpack(n).astype(np.int64)) for k, n in zip(keys, rows["counts"], strict=True)])
+    own = np.frombuffer(b"".join(rows["owners"]), np.int64)
+    del rows, keys
     order = np.lexsort((own, key))
     key, own = key[order], own[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
     key, own = key[new], own[new]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-    n = np.diff(np.concatenate([first, [len(key)]]))
+    n = np.diff(np.append(first, len(key)))
     keep = np.repeat(n > 1, n)
-    return pa.table({"key": pa.array(key[keep].view(np.int64)), "doc": pa.array(own[keep])})
-
-
-def _arrays(k: int, whole: bool):
-    """Of each text its id and size, and its whole set (sorted, SET_BITS bits of each hash, packed) or its bitmaps."""
+    key, own, first, n = key[keep], own[keep], first[n > 1], n[n > 1]
+    at = np.cumsum(n) - n
+    pair = np.stack([own, np.repeat(own[at], n)], axis=1)[np.repeat(own[at], n) != own] if len(n) else np.zeros((0, 2), np.int64)
+    order = np.lexsort((pair[:, 0], pair[:, 1]))
+    pair = pair[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]).any(axis=1)
+    met = np.diff(np.append(np.flatnonzero(new), len(pair)))
+    pair = pair[new]
+    if len(n):  # tiles with the same members: two sums over them, and their number
+        u = own.view(np.uint64)
+        _, one = np.unique(np.stack([np.add.reduceat(mix(u), at), np.add.reduceat(mix(u ^ np.uint64(77)), at), n.astype(np.uint64)], axis=1), axis=0, return_index=True)
+        chosen = np.zeros(len(n), bool)
+        chosen[one] = True
+        keep = np.repeat(chosen & (n > 2), n)
+        key, own = key[keep], own[keep]
+    made = pa.table({"key": pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(key.view(np.int64))]), "doc": np.concatenate([pair[:, 0], own]), "star": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(len(own), pa.int64())]), "n": pa.concat_arrays([pa.array(met.astype(np.int64)), pa.nulls(len(own), pa.int64())])})
+    del key, own, pair, order, new, keep
+    give_back()
+    return made
+
+
+def _check(k: int, percent: int):
+    """Rows (a, salt, side, doc, text) in order: a hub's text (side 0), then texts held against it (side 1). The pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for first, data, offsets in text_blocks(batch.column(1)):
+            a, side, doc = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            found: list[tuple[int, int]] = []
+            for first, data, offsets in text_blocks(batch.column(4)):
                 h, edge = shingle_sets(data, offsets, k)
-                sets = [h[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-                if whole:
-                    kept = {"h": [pack_sorted(x >> np.uint64(64 - SET_BITS)) for x in sets]}
-                else:
-                    kept = {"bits": [bitmap(x).tobytes() for x in sets], "wide": [bitmap(x, wide_words(len(x))).tobytes() for x in sets]}
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(v, pa.binary()) for v in kept.values()]], names=["doc", "n", *kept])
-
-    return run
-
-
-def _check(percent: int):
-    """Pairs (a, b, na, nb, ha, hb) that link, by exact intersection of sorted arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                a, b = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                ok = []
-                for x, y in zip(rows.column(2), rows.column(3), strict=True):
-                    x, y = unpack_sorted(x.as_py()), unpack_sorted(y.as_py())
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    i = int((both[1:] == both[:-1]).sum())
-                    ok.append(100 * i >= percent * (len(x) + len(y) - i))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, o in zip(a, ok, strict=True) if o], pa.int64()), pa.array([p for p, o in zip(b, ok, strict=True) if o], pa.int64())], names=["a", "b"])
+                for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), first):
+                    if side[i] == 0:
+                        hub, of = a[i], h[x:y].copy()
+                    elif hub == a[i]:
+                        both = np.concatenate([of, h[x:y]])
+                        both.sort(kind="stable")
+                        common = int((both[1:] == both[:-1]).sum())
+                        if 100 * common >= percent * (len(both) - common):
+                            found.append((a[i], doc[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _bounded(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The rows of pairs (long columns, of them a and b) whose wide bitmaps allow a link."""
-    names = pairs.columns
+    """a, b, bound: the distinct pairs whose bitmaps allow a link. Marks move once each, and not beside each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, x, y = (batch.column(len(names) + i) for i in range(4))
-            na, nb = na.to_numpy(), nb.to_numpy()
-            apart = np.array([bits_apart(np.frombuffer(v.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u8")) for v, w in zip(x, y, strict=True)], np.int64)
-            ok = pa.array(np.minimum((na + nb - apart) // 2, np.minimum(na, nb)) >= needed_overlap(na, nb, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in range(len(names))], names=names)
-
-    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("wide").alias("xa"))
-    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("xb"))
-    return pairs.join(left, "a").join(right, "b").select(*names, "na", "nb", "xa", "xb").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Few pairs are broadcast to the sets, so that each set moves once."""
-    small = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
-    right = sets.select(F.col("doc").alias("b"), F.col("h").alias("hb")).join(small, "b")
-    hubs = F.broadcast(pairs.select("a").distinct()) if pairs.count() <= BROADCAST_IDS else pairs.select("a").distinct()
-    left = sets.join(hubs, sets["doc"] == hubs["a"], "left_semi").select(F.col("doc").alias("a"), F.col("h").alias("ha"))
-    return right.join(left, "a").select("a", "b", "ha", "hb").mapInArrow(_check(percent), "a long, b long")
+            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+            apart = np.array([bits_apart(np.frombuffer(v.as_py(), "<u8"), np.frombuffer(w.as_py(), "<u8")) for v, w in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            bound = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
+            ok = bound >= needed_overlap(na, nb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, b, bound)], names=["a", "b", "bound"])
+
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    sized = pairs.select("a", "b").join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
+    sized = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    return sized.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(lean(run), "a long, b long, bound long")
+
+
+class Texts:
+    """Where the text of a node stands: (doc_id, hash of the text) of one row of its class."""
+
+    def __init__(self, docs: DataFrame, firsts: DataFrame, repeated: bool, shingle: int, percent: int):
+        self.docs, self.firsts, self.repeated, self.shingle, self.percent = docs, firsts, repeated, shingle, percent
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets link, by exact intersection of sorted arrays. A hub (a) with many partners is dealt
+        out over several groups; each text moves once for each group that it is in."""
+        pairs = materialise(pairs.select("a", "b"), "pairs")
+        hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares"))
+        right = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("salt"), F.lit(1).alias("side"), F.col("b").alias("doc"))
+        left = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("doc"))
+        want = materialise(left.unionByName(right).join(self.firsts.select(F.col("node").alias("doc"), "d", F.col("th").alias("t")), "doc"), "wanted")
+        rows = self.docs.join(small(want, want.count(), BROADCAST_IDS), [self.docs["__d"] == want["d"], self.docs["th"] == want["t"]]).select("a", "salt", "side", "doc", "text")
+        if self.repeated:  # rows equal in id and text: one is enough
+            rows = rows.dropDuplicates(["a", "salt", "side", "doc"])
+        rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+        found = materialise(rows.mapInArrow(_check(self.shingle, self.percent), "a long, b long"), "found")
+        discard(pairs, want)
+        return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc, comp: for every document with a link the smallest one it can reach. Label spreading with short cuts; each
-    round is a written table, so nothing depends on executors of earlier rounds."""
+    """doc, comp: for every document with a link (a, b) the smallest one it can reach; none for no links. Null ends are not
+    allowed; repeated links and links to oneself add nothing. Label spreading with short cuts; each round is a written
+    table, so nothing depends on executors of earlier rounds."""
     both = materialise(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "links")
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("doc"), F.least("x", "m").alias("comp"))
     labels = materialise(labels, "labels")
@@ -257,8 +297,10 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("further"))
         step = step.join(up, "comp", "left").select("doc", "was", F.least("comp", "further").alias("comp"))
         step = materialise(step, "labels")
+        discard(labels)
         labels = step.select("doc", "comp")
         if step.filter("comp <> was").isEmpty():
+            discard(both)
             return labels
 
 
@@ -266,115 +308,136 @@ def _compare(percent: int):
     """Within one pair of blocks of a tile: pairs in different components whose bitmaps allow a link, by their bound."""
 
     def run(group: pa.Table) -> pa.Table:
-        side = np.array(group.column("side").to_pylist(), np.int8)
+        side = group.column("side").to_numpy()
         doc, comp, n = (group.column(c).to_numpy() for c in ("doc", "comp", "n"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(len(doc), -1)
+        bits = [np.frombuffer(x, "<u8") for x in group.column("bits").to_pylist()]
+        words = min(map(len, bits))
+        bits = np.stack([fold(x, words) for x in bits])
         i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
         for x in i:
             m = j[(comp[j] != comp[x]) & ((doc[j] > doc[x]) | (side[j] == 1))]
-            if not len(m):
-                continue
-            need = needed_overlap(n[x], n[m], percent)
-            m = m[need <= np.minimum(n[x], n[m])]
+            m = m[needed_overlap(n[x], n[m], percent) <= np.minimum(n[x], n[m])]
             if not len(m):
                 continue
             apart = np.bitwise_count(bits[x] ^ bits[m]).sum(axis=1).astype(np.int64)
             bound = (n[x] + n[m] - apart) // 2  # each bit that differs stands for an element that only one set has
-            ok = bound >= needed_overlap(n[x], n[m], percent)
-            out += [(min(doc[x], doc[y]), max(doc[x], doc[y]), min(comp[x], comp[y]), max(comp[x], comp[y]), int(v)) for y, v in zip(m[ok], bound[ok], strict=True)]
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "ca", "cb", "bound"), cols, strict=True)})
+            m = m[bound >= needed_overlap(n[x], n[m], percent)]
+            out.append(np.stack([np.minimum(doc[x], doc[m]), np.maximum(doc[x], doc[m])], axis=1))
+        cols = np.concatenate([np.zeros((0, 2), np.int64), *out])
+        return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
 
     return run
 
 
-def _apart(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, ca, cb, bound: pairs that share a tile, lie in different components and may link."""
+def _apart(members: DataFrame, comp: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs that share a tile, lie in different components and may link."""
     m = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    tile = Window.partitionBy("key")
-    m = m.select("key", "doc", "comp").repartition("key").withColumns({"lo": F.min("comp").over(tile), "hi": F.max("comp").over(tile)}).filter("lo <> hi").drop("lo", "hi")
-    m = materialise(m, "apart")
+    m = materialise(m.select("key", "doc", "comp"), "apart")
     open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("y")).filter("lo <> hi")
     #: Tiles with the very same members are one.
-    open_ = open_.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-    m = m.join(open_.select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "key")
-    m = m.join(sets.select("doc", "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
+    open_ = materialise(open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "tiles")
+    m = m.join(small(open_, open_.count(), BROADCAST_IDS), "key")
+    m = m.join(marks.select(F.col("node").alias("doc"), "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
     pair = lambda i, side: F.struct(F.least("at", i).alias("i"), F.greatest("at", i).alias("j"), side.alias("side"))
     side = lambda i: F.when(i == F.col("at"), 2).otherwise(F.when(F.col("at") < i, 0).otherwise(1))
     m = m.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, side(i)))))
     m = m.select("key", "to.i", "to.j", "to.side", "doc", "comp", "n", "bits")
-    return m.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long, ca long, cb long, bound long")
+    return m.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
-def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: the smallest doc_id it can reach by links of `percent` or more.
+def _id(c: Column) -> Column:
+    """A document id for joins: a null one has the smallest number."""
+    return F.coalesce(c, F.lit(-(1 << 63)))
+
 
-    Rows of one id count as nodes that are linked with each other; a null id is one node of the same kind. Null and
-    empty texts, and those without words, have no shingles and link to nothing. An empty table gives no rows; columns
-    besides doc_id and text are ignored."""
-    null_id = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(null_id)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__d": _id(F.col("doc_id").cast("long")), "th": F.xxhash64(F.col("text").cast("string"))})
+
+
+def classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
+    """doc_id, th (a hash of the text), n, comp, component_id for each row of docs, written: comp names the component.
+
+    Every row is a node of its own; rows whose sets are equal link, whatever their ids. component_id is the smallest
+    doc_id in the component that is not null, and null if there is none. Null and empty texts, and those without words,
+    have no shingles (n = 0), no comp, and their own doc_id as component_id. An empty table gives no rows; columns besides
+    doc_id and text are ignored. percent: 50 to 100, else ValueError."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100: below, a bounded prefix of tiles would lose links")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(text_bytes(docs), part_bytes, least_parts)
-    tiles = materialise(docs.mapInArrow(_tiles(shingle, percent, parts), _TILE_SCHEMA), "tiles")
-    info = materialise(tiles.filter("range = -1").select("keys", "counts", "owners").mapInArrow(_unpack_sets, "doc_id long, n long, set_key binary"), "sets")
-    #: The class of equal sets of each document: its smallest id. Rows of one id are tied by an extra link each.
-    firsts = info.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    known = info.filter("n > 0").select("doc_id", "set_key").join(firsts, "set_key").select("doc_id", "rep").distinct()
-    known = materialise(known, "reps")
-    own = known.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    members = tiles.filter("range >= 0").groupBy("range").applyInArrow(_shared, "key long, doc long")
-    members = members.join(known.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep")), "doc").select("key", F.col("rep").alias("doc"))
-    tile = Window.partitionBy("key")  # dealt out by key once, for the distinct rows and for both windows
-    members = members.repartition("key").distinct().withColumns({"size": F.count("*").over(tile), "star": F.min("doc").over(tile)})
-    members = materialise(members.filter("size > 1").select("key", "doc", "star"), "shared")
-    discard(tiles)
-
-    def read(ids: DataFrame, whole: bool) -> DataFrame:
-        """Sets or bitmaps of the documents in ids (column doc), from their texts."""
-        ids = materialise(ids.select("doc").distinct(), "ids")
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        schema = "doc long, n long, h binary" if whole else "doc long, n long, bits binary, wide binary"
-        return materialise(docs.join(ids, docs["doc_id"] == ids["doc"], "left_semi").mapInArrow(_arrays(shingle, whole), schema), "read")
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
-
-    marks = read(members, False)
-    stars = members.filter("doc <> star").groupBy("doc", "star").agg(F.count("*").alias("n"))
+    salt = 0
+    while True:
+        tiles = materialise(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_tiles(shingle, percent, parts, salt), _ROW), "tiles")
+        info = tiles.filter("range = -1").select("doc_id", "th", "n", "node", "check")
+        #: Of each node the row that stands for it, its smallest id, and whether two sets were given the node's name.
+        firsts = info.filter("n > 0").groupBy("node").agg(F.min(F.struct(_id(F.col("doc_id")).alias("d"), "th")).alias("at"), F.min("doc_id").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        firsts = materialise(firsts.select("node", "at.d", "at.th", "least", "lo", "hi"), "nodes")
+        if firsts.filter("lo <> hi").isEmpty():
+            break
+        salt += 1  # so rare that all is named anew
+        discard(tiles, firsts)
+    repeated = not info.filter("n > 0").groupBy("doc_id", "th").count().filter("count > 1").isEmpty()
+    texts = Texts(_read(docs), firsts, repeated, shingle, percent)
+    shared = materialise(tiles.filter("range >= 0").select("range", "keys", "counts", "owners").groupBy("range").applyInArrow(_shared, _SHARED), "shared")
+    stars = materialise(shared.filter("key IS NULL").groupBy("doc", "star").agg(F.sum("n").alias("n")), "stars")
+    members = shared.filter("key IS NOT NULL").select("key", "doc")
+    ids = stars.select("doc").union(stars.select("star")).distinct()
+    marks = tiles.filter("range = -1 AND bits IS NOT NULL").select("node", "n", "bits")
+    marks = materialise(marks.join(ids, marks["node"] == ids["doc"], "left_semi").dropDuplicates(["node"]), "marks")
     best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("star")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("a"), F.col("doc").alias("b"))
     best = materialise(best, "best")
-    hopeful = materialise(_bounded(best, marks, percent), "hopeful")
-    sets = read(ends(hopeful), True)
-    links = materialise(verify(hopeful, sets, percent), "found")
-    discard(sets)
+    links = texts.verify(_bounded(best, marks, percent))
     comp = components(links)
     #: All pairs still to be looked at; later rounds only take away from them.
-    pairs = _apart(members.select("key", "doc"), comp, marks, percent).groupBy("a", "b").agg(F.max("bound").alias("bound"))
-    pairs = materialise(pairs.join(best, ["a", "b"], "left_anti"), "open")
-    pairs = materialise(_bounded(pairs, marks, percent), "hopeful")
-    sets, tries = read(ends(pairs), True), FIRST_TRIES
-    while not pairs.isEmpty():
-        of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
+    of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
+
+    def placed(pairs: DataFrame) -> DataFrame:
+        """Pairs in different components, with these (ca < cb)."""
         now = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-        now = now.filter("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
+        return now.filter("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
+
+    met = placed(stars.select(F.col("star").alias("a"), F.col("doc").alias("b"))).select("a", "b")
+    pairs = met.unionByName(_apart(members, comp, marks, percent)).distinct().join(best, ["a", "b"], "left_anti")
+    pairs = materialise(_bounded(pairs, marks, percent), "open")
+    discard(shared, stars, marks)
+    tries = FIRST_TRIES
+    while not pairs.isEmpty():
         w = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.col("bound").desc(), "a", "b"))
-        now = materialise(now.withColumn("r", w).select("a", "b", "bound", (F.col("r") <= tries).alias("picked")), "now")
-        found = materialise(verify(now.filter("picked").select("a", "b"), sets, percent), "found")
-        links, pairs, tries = links.unionByName(found), now.filter("NOT picked").select("a", "b", "bound"), tries * MORE_TRIES
+        now = materialise(placed(pairs).withColumn("r", w).select("a", "b", "bound", (F.col("r") <= tries).alias("picked")), "now")
+        discard(pairs)
+        links, pairs, tries = links.unionByName(texts.verify(now.filter("picked"))), now.filter("NOT picked").select("a", "b", "bound"), tries * MORE_TRIES
         comp = components(links)
-    graph = components(links.unionByName(own))
-    out = info.join(graph.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    real = F.when(F.col("doc_id") != null_id, F.col("doc_id"))
-    reach = F.when((F.col("n") > 0) & F.col("comp").isNotNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(reach != null_id, reach).alias("component_id"))
+    nodes = firsts.select("node", "least").join(comp, firsts["node"] == comp["doc"], "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    nodes = materialise(nodes, "graph")
+    ids = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    nodes = materialise(nodes.select("node", "comp").join(ids, "comp"), "classes")
+    full = info.filter("n > 0").join(nodes, "node").select("doc_id", "th", "n", "comp", "component_id")
+    out = materialise(full.unionByName(info.filter("n = 0").select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))), "found")
+    discard(tiles, firsts, nodes)
+    return out
 
 
-def keep_one(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The rows of docs that are alone or have the smallest doc_id of their component; all columns as they were.
+def find_classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: the smallest doc_id it can reach by links of `percent` or more.
+
+    Odd rows: see classes()."""
+    found = classes(docs, shingle, percent, part_bytes=part_bytes, least_parts=least_parts)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
-    Of rows with equal ids all stay or go together; rows with a null id stay."""
-    found = find_classes(docs, shingle, percent)
-    gone = materialise(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+def keep_one(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id (null ids last, then the smallest hash of the text);
+    rows without shingles all stay. All columns stay as they were; of rows equal in id and text any one stays."""
+    found = classes(docs, shingle, percent).filter("n > 0").select(_id(F.col("doc_id")).alias("__d"), F.col("th").alias("__t"), "comp", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th")).alias("rank"))
+    best = materialise(found.groupBy("comp").agg(F.min("rank").alias("best"), F.count("*").alias("size")).filter("size > 1"), "best")
+    placed = materialise(found.join(best, "comp").select("__d", "__t", (F.col("rank") > F.col("best")).alias("gone")), "placed")
+    gone = materialise(placed.filter("gone").select("__d", "__t").distinct(), "gone")
+    twice = materialise(placed.filter("NOT gone").groupBy("__d", "__t").count().filter("count > 1").select("__d", "__t"), "twice")
+    at = lambda side: [left["__d"] == side["__d"], left["th"] == side["__t"]]
+    left = _read(docs)
+    left = left.join(small(gone, gone.count(), BROADCAST_IDS), at(gone), "left_anti")
+    if n := twice.count():
+        few = small(twice, n, BROADCAST_IDS)
+        left = left.join(few, at(twice), "left_anti").unionByName(left.join(few, at(twice), "left_semi").dropDuplicates(["__d", "th"]))
+    return left.select(*docs.columns)
