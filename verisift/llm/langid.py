@@ -9,17 +9,17 @@ short, that the centroids measuring them were not fitted on.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verisift.llm.common import _LOWER, _SPACE, text_blocks
+from verisift.llm.common import _LOWER, _SPACE, lean, text_blocks
 
 DIM = 1 << 12
 #: Labelled texts per language that the centroids are fitted on, at most (about: drawn by a hash of the row).
@@ -34,7 +34,7 @@ _SHOWN = np.where(np.arange(256) >= 128, _LOWER, 0).astype(np.uint8)
 _SHOWN[97:123] = np.arange(97, 123)
 _SHOWN[65:91] = np.arange(97, 123)
 _SHOWN[_SPACE] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def count_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -118,13 +118,14 @@ def _limits(langs: list[str], seen: list[tuple[str, int, float]]) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = FIT_TEXTS) -> Model:
     """Learn centroids from rows with a non-null language and text. At most about `per_language` whole texts of each
-    language are gathered (as count vectors), drawn by a hash of the text; the bound is this parameter."""
+    language are gathered (as count vectors), drawn by a hash of the text, copies once; the bound is this parameter."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros((0, LENGTHS)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    drawn = drawn.dropDuplicates(["lang", "text"])  # copies of a drawn text are one
     drawn = drawn.withColumn("half", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).cast("int"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +134,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
                 c = count_vectors(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(c)), batch.column(2).slice(at, len(c)), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in c], pa.binary())], names=["lang", "half", "counts"])
 
-    got = sorted((r["lang"], bytes(r["counts"]), r["half"]) for r in drawn.mapInArrow(vectors, "lang string, half int, counts binary").collect())
+    got = sorted((r["lang"], bytes(r["counts"]), r["half"]) for r in drawn.mapInArrow(lean(vectors), "lang string, half int, counts binary").collect())
     langs = sorted({x for x, _, _ in got})
     counts = np.array([np.frombuffer(b, "<u2") for _, b, _ in got], np.float32)
     names, half = np.array([x for x, _, _ in got]), np.array([x for _, _, x in got])
@@ -151,7 +152,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * int(right.sum()), pa.string()), pa.array(_length(c)[right], pa.int32()), pa.array(cos[right].astype(float))], names=["lang", "length", "cos"])
 
     model = _learn(langs, names, counts)
-    model.limits = _limits(langs, [tuple(r) for r in drawn.mapInArrow(measure, "lang string, length int, cos double").collect()])
+    model.limits = _limits(langs, [tuple(r) for r in drawn.mapInArrow(lean(measure), "lang string, length int, cos double").collect()])
     return model
 
 
@@ -159,7 +160,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """`keep` columns with lang_pred, score (best cosine, 0 to 1) and rejected for every row; only the text is looked at.
 
     Null texts and texts without a letter get `und`, score 0 and are rejected; so does everything if nothing was
-    learned. Texts that are too far from every centroid keep their nearest language and are marked as rejected."""
+    learned. Texts that are too far from every centroid keep their nearest language and are marked as rejected. Repeated and null ids are rows of
+    their own, an empty table gives no rows, and a kept column named like a result is a ValueError."""
+    if taken := {"lang_pred", "score", "rejected"} & set(keep):
+        raise ValueError(f"columns to keep have names of results: {sorted(taken)}")
     use = docs.select(F.col(text_col).cast("string").alias("__text"), *[docs[c] for c in keep])
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     schema = T.StructType([*use.schema.fields[1:], *made])
@@ -182,7 +186,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
                 ]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).slice(at, n) for i in range(len(keep))], *made], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return use.mapInArrow(run, schema)
+    return use.mapInArrow(lean(run), schema)
 
 
 def fold(doc_id: Column, mod: int) -> Column:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verisift.llm.common import lean, text_blocks
+
 SPACE = "▁".encode()  # the visible stand-in for a space
 _CACHE_WORDS = 400_000
 
@@ -206,8 +208,8 @@ def encode_documents(docs: DataFrame, model_path: str, *, spans: bool = True, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(blob)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at, _, offsets in text_blocks(batch.column(1)):
+                rows = batch.slice(at, len(offsets) - 1)
                 made = codec.encode_many(rows.column(1).to_pylist(), spans)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -221,7 +223,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, spans: bool = True, te
                     names=["doc_id", "n_tokens", "ids_le", "span_begin_le", "span_end_le", "decoded"],
                 )
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def spans_digest() -> Column:

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verisift.llm.common import hash_runs, hash_words, materialise, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
+from verisift.llm.common import give_back, hash_runs, hash_words, lean, materialise, pack, pack_sorted, parts_for, text_blocks, text_bytes, unpack, unpack_sorted, word_spans
 
 WINDOW = 35
 #: Bits of a rolling run's hash that travel. Runs that only share these bits cost work in step 2, not correctness.
 PROBE_BITS = 40
 #: Text bytes for each part of the corpus and each hash range, about; rolling runs held before they are sent on.
-PART_BYTES, HELD_RUNS, LEAST_PARTS = 6 << 20, 2_000_000, 64
+PART_BYTES, HELD_RUNS, LEAST_PARTS = 6 << 20, 1_000_000, 64
 _NULL_ID = -(1 << 63)
 
 
@@ -82,13 +82,14 @@ def _send_anchors(block: int, parts: int):
         if n:
             yield flush(*held)
 
-    return run
+    return lean(run)
 
 
 def _answer_anchors(parts: int):
     """Blocks of one hash range whose hash occurs at least twice among all runs, by part of the corpus."""
 
     def run(group: pa.Table) -> pa.Table:
+        give_back()
         rows = group.to_pydict()
         probes = [unpack_sorted(x) for x in rows["probes"]]
         often = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows["repeated"], probes, strict=True)]
@@ -129,7 +130,7 @@ def _with_part(docs: DataFrame, parts: int) -> DataFrame:
             ids = np.ascontiguousarray(batch.column(0).fill_null(_NULL_ID).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(_part_of(ids, parts), pa.int32()), *batch.columns], names=["__part", *batch.schema.names])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("__part", T.IntegerType()), *docs.schema.fields]))
+    return docs.mapInArrow(lean(run), T.StructType([T.StructField("__part", T.IntegerType()), *docs.schema.fields]))
 
 
 def _part_windows(texts: pa.Table, hits: pa.Table, window: int, block: int):
@@ -199,6 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, carry: list[str] |
     split = _with_part(docs, parts)
 
     def send(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        give_back()
         got = [(h1, h2) for *_, h1, h2 in _part_windows(texts, marks, window, block)]
         h1, h2, again, _ = _distinct(np.concatenate([np.zeros(0, np.uint64), *[x[0] for x in got]]), np.concatenate([np.zeros(0, np.uint64), *[x[1] for x in got]]))
         edge = np.searchsorted(_ranges(h1 >> np.uint64(64 - PROBE_BITS), parts), np.arange(parts + 1))
@@ -208,6 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, carry: list[str] |
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("range", "part", "h1", "h2", "repeated"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
     def answer(group: pa.Table) -> pa.Table:
+        give_back()
         rows = group.to_pydict()
         h1 = [unpack_sorted(x) for x in rows["h1"]]
         size = [len(x) for x in h1]
@@ -227,6 +230,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, *, carry: list[str] |
     def finish(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
+        give_back()  # of the group before
+
         blocks = list(_part_windows(texts, told.filter(pc.is_null(told.column("range"))), window, block))
         h1, _, _, number = _distinct(np.concatenate([np.zeros(0, np.uint64), *[x[-2] for x in blocks]]), np.concatenate([np.zeros(0, np.uint64), *[x[-1] for x in blocks]]))
         edge = np.searchsorted(_ranges(h1 >> np.uint64(64 - PROBE_BITS), parts), np.arange(parts + 1))
