@@ -220,3 +220,41 @@ def test_quality(spark):
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0) for i in range(0, 300, 2)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.score(docs, quality.fit(docs, labels)).collect()}
     assert all(got[i]["keep"] == bool(i % 3) for i in range(300)) and 0 <= got[999]["score"] <= 1
+
+
+def test_jaccard_odd_rows(spark):
+    """Null and repeated ids are rows of their own; a chain of near copies without a common middle is one component."""
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[:i] + [f"x{j}" for j in range(i)] + words[i:]) for i in range(0, 6)]
+    rows = [(5, "a b c d e f"), (5, "k l m n o p"), (1, "a b c d e f"), (7, "k l m n o p"), (None, "u v w x y z"), (9, "u v w x y z"), (None, None), (None, ""), (3, " \t"), (8, "q r"), (8, "q r")]
+    rows += [(100 + i, t) for i, t in enumerate(chain)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, comp int, node string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.find_classes(docs, 4, 85, least_parts=3).collect())
+    plain = links_of(list(enumerate(t for _, t in rows)), 4, 85)
+    least = {}
+    for i, (_, c) in plain.items():
+        least[c] = min([x for x in (least.get(c), rows[i][0]) if x is not None], default=None)
+    assert got == sorted((str(rows[i][0]), n, str(least[c])) for i, (n, c) in plain.items())
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard_join.keep_one(docs, 4, 85).collect())
+    groups = {}
+    for i, (n, c) in plain.items():
+        groups.setdefault(c if n else -i - 1, []).append((rows[i][0] is None, rows[i][0] or 0, str(rows[i][1])))
+    ids = [min(g)[:2] for g in groups.values()]
+    assert sorted(x for x, _ in kept) == sorted(str(None if null else d) for null, d in ids)
+    assert jaccard_join.find_classes(docs.limit(0), 4, 85, least_parts=3).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_join.find_classes(docs, 4, 40)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 80, 95])
+def test_tiles_lose_no_link(percent):
+    """Sets that link share a tile, whatever their sizes."""
+    rng = np.random.default_rng(percent)
+    for _ in range(600):
+        n = int(rng.integers(1, 90))
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        drop = x[rng.random(len(x)) > rng.uniform(0, 0.5)]
+        y = np.unique(np.concatenate([drop, rng.integers(0, 1 << 63, int(rng.integers(0, n)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+            assert len(np.intersect1d(jaccard_join.tile_keys(x, percent), jaccard_join.tile_keys(y, percent)))

@@ -26,8 +26,8 @@ from verisift.llm.common import _LOWER, discard, give_back, hash_runs, hash_word
 
 KEY_BITS = 48
 PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 1_000_000, 64
-#: Members compared at a time within a tile; pairs tried for each two components in the first round, and growth per round.
-BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 8
+#: Members compared at a time within a tile; pairs tried for each component in the first round, and growth per round.
+BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 64
 #: 64-bit words of a bitmap: two to four bits for each shingle, within these.
 LEAST_WORDS, MOST_WORDS = 4, 4096
 #: Sets compared with one hub in one group of the exact check.
@@ -304,8 +304,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _compare(percent: int):
-    """Within one pair of blocks of a tile: pairs in different components whose bitmaps allow a link, by their bound."""
+def _compare(percent: int, most: int):
+    """Within one pair of blocks of a tile: for each member the pairs with members of other components whose bitmaps allow a
+    link, at most `most` of the highest bound; more: it had others."""
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -316,34 +317,42 @@ def _compare(percent: int):
         i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
         for x in i:
-            m = j[(comp[j] != comp[x]) & ((doc[j] > doc[x]) | (side[j] == 1))]
+            m = j[comp[j] != comp[x]]
             m = m[needed_overlap(n[x], n[m], percent) <= np.minimum(n[x], n[m])]
             if not len(m):
                 continue
             apart = np.bitwise_count(bits[x] ^ bits[m]).sum(axis=1).astype(np.int64)
             bound = (n[x] + n[m] - apart) // 2  # each bit that differs stands for an element that only one set has
-            m = m[bound >= needed_overlap(n[x], n[m], percent)]
-            out.append(np.stack([np.minimum(doc[x], doc[m]), np.maximum(doc[x], doc[m])], axis=1))
-        cols = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        return pa.table({"a": cols[:, 0], "b": cols[:, 1]})
+            ok = bound >= needed_overlap(n[x], n[m], percent)
+            m, bound = m[ok], bound[ok]
+            more = len(m) > most
+            if more:
+                top = np.argpartition(-bound, most - 1)[:most]
+                m, bound = m[top], bound[top]
+            out.append(np.stack([np.minimum(doc[x], doc[m]), np.maximum(doc[x], doc[m]), bound, np.full(len(m), more)], axis=1))
+        cols = np.concatenate([np.zeros((0, 4), np.int64), *out])
+        return pa.table({c: cols[:, k] for k, c in enumerate(("a", "b", "bound", "more"))})
 
     return run
 
 
-def _apart(members: DataFrame, comp: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs that share a tile, lie in different components and may link."""
+def _apart(members: DataFrame, comp: DataFrame, marks: DataFrame, percent: int, most: int) -> DataFrame:
+    """a, b, bound, more: pairs that share a tile, lie in different components and may link, for each place in a tile the
+    best `most`; more (0 or 1) is 1 where others were left out."""
     m = members.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     m = materialise(m.select("key", "doc", "comp"), "apart")
     open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("y")).filter("lo <> hi")
     #: Tiles with the very same members are one.
     open_ = materialise(open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "tiles")
-    m = m.join(small(open_, open_.count(), BROADCAST_IDS), "key")
-    m = m.join(marks.select(F.col("node").alias("doc"), "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
+    n = m.join(small(open_, open_.count(), BROADCAST_IDS), "key").join(marks.select(F.col("node").alias("doc"), "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
     pair = lambda i, side: F.struct(F.least("at", i).alias("i"), F.greatest("at", i).alias("j"), side.alias("side"))
     side = lambda i: F.when(i == F.col("at"), 2).otherwise(F.when(F.col("at") < i, 0).otherwise(1))
-    m = m.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, side(i)))))
-    m = m.select("key", "to.i", "to.j", "to.side", "doc", "comp", "n", "bits")
-    return m.groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    n = n.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, side(i)))))
+    n = n.select("key", "to.i", "to.j", "to.side", "doc", "comp", "n", "bits")
+    made = n.groupBy("key", "i", "j").applyInArrow(_compare(percent, most), "a long, b long, bound long, more long")
+    made = materialise(made.groupBy("a", "b").agg(F.max("bound").alias("bound"), F.max("more").alias("more")), "may")
+    discard(m, open_)
+    return made
 
 
 def _id(c: Column) -> Column:
@@ -388,26 +397,41 @@ def classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PA
     best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("star")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("a"), F.col("doc").alias("b"))
     best = materialise(best, "best")
     links = texts.verify(_bounded(best, marks, percent))
-    comp = components(links)
-    #: All pairs still to be looked at; later rounds only take away from them.
+    comp, tried = components(links), best
+
+    def join_up(pairs: DataFrame) -> None:
+        """Check pairs until none is left between two components: in each round the best few of each component."""
+        nonlocal links, comp, tried
+        tries = FIRST_TRIES
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "open")
+        while not pairs.isEmpty():
+            of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
+            now = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+            now = materialise(now.filter("ca <> cb"), "now")
+            discard(pairs)
+            sides = now.select(F.col("ca").alias("c"), "a", "b", "bound").unionByName(now.select(F.col("cb").alias("c"), "a", "b", "bound"))
+            rank = F.row_number().over(Window.partitionBy("c").orderBy(F.col("bound").desc(), "a", "b"))
+            picked = materialise(sides.withColumn("r", rank).filter(F.col("r") <= tries).select("a", "b").distinct(), "picked")
+            found = texts.verify(picked)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                comp = components(links)
+            tried, tries = tried.unionByName(picked), tries * MORE_TRIES
+            pairs = materialise(now.join(picked, ["a", "b"], "left_anti").select("a", "b", "bound"), "open")
+            discard(now)
+
+    #: First what the tiles' smallest members leave open, which is all of tiles of two; then the tiles of three and more.
     of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
-
-    def placed(pairs: DataFrame) -> DataFrame:
-        """Pairs in different components, with these (ca < cb)."""
-        now = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-        return now.filter("ca <> cb").withColumns({"ca": F.least("ca", "cb"), "cb": F.greatest("ca", "cb")})
-
-    met = placed(stars.select(F.col("star").alias("a"), F.col("doc").alias("b"))).select("a", "b")
-    pairs = met.unionByName(_apart(members, comp, marks, percent)).distinct().join(best, ["a", "b"], "left_anti")
-    pairs = materialise(_bounded(pairs, marks, percent), "open")
+    met = stars.select(F.col("star").alias("a"), F.col("doc").alias("b")).join(tried, ["a", "b"], "left_anti")
+    met = met.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    join_up(_bounded(met, marks, percent))
+    most, more = 1, True
+    while more:  # ends when no member of a tile had more pairs than were listed
+        may = _apart(members, comp, marks, percent, most)
+        more, most = not may.filter("more = 1").isEmpty(), most * MORE_TRIES
+        join_up(may.select("a", "b", "bound"))
+        discard(may)
     discard(shared, stars, marks)
-    tries = FIRST_TRIES
-    while not pairs.isEmpty():
-        w = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.col("bound").desc(), "a", "b"))
-        now = materialise(placed(pairs).withColumn("r", w).select("a", "b", "bound", (F.col("r") <= tries).alias("picked")), "now")
-        discard(pairs)
-        links, pairs, tries = links.unionByName(texts.verify(now.filter("picked"))), now.filter("NOT picked").select("a", "b", "bound"), tries * MORE_TRIES
-        comp = components(links)
     nodes = firsts.select("node", "least").join(comp, firsts["node"] == comp["doc"], "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     nodes = materialise(nodes, "graph")
     ids = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
