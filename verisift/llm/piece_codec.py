@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from verisift.llm.common import lean, text_blocks
 
 SPACE = "▁".encode()  # the visible stand-in for a space
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 class CharMap:
