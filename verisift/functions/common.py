@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,10 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def strings(values: list[str]) -> Column:
     """A literal array of strings."""
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than the cluster has cores, dealt out over the cores: a file of one row group is one task,
+    however large. Any scan of more files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

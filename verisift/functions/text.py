@@ -27,28 +27,29 @@ NEGATION_CUES = [
     "ceased", "cease", "stopped", "halted", "lacks", "lacking", "absent", "fails", "failed", "contrary", "instead", "rather",
 ]
 MIN_TERM = 3
-_SPACES = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
+#: White space and control characters but LF; a stretch of them becomes one space. Single spaces are not touched.
+_GAP = "\\x00-\\x09\\x0B-\\x1F\\x20\\x7F\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+_GAPS, _GAPS_AND_LINES = (f"[{c}&&[^ ]][{c}]*| [{c}]+" for c in (_GAP, _GAP + "\\x0A"))
 
 
 def normalize_text(x: Column) -> Column:
     """Line ends to LF, control characters and white-space runs to one space, trimmed."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), "[\\x00-\\x08\\x0B-\\x1F\\x7F]", " ")
-    return F.trim(F.regexp_replace(x, _SPACES, " "))
+    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), _GAPS_AND_LINES, " "))
 
 
 def normalize_lines(x: Column) -> Column:
     """Normalised, non-empty lines of a text as an array."""
-    lines = F.split(F.regexp_replace(F.coalesce(x, F.lit("")), "\\r\\n?", "\n"), "\n")
-    return F.filter(F.transform(lines, normalize_text), lambda s: s != "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), "\\r\\n?", "\n"), _GAPS, " ")
+    return F.array_remove(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), "")
 
 
-def _plain(x: Column) -> Column:
+def plain(x: Column) -> Column:
     x = F.regexp_replace(F.lower(x), "[\\u2018\\u2019\\u02BC`]", "'")
     return F.regexp_replace(x, "[^\\p{L}\\p{N}'\\s]+", " ")
 
 
 def tokenize(x: Column) -> Column:
-    return F.array_remove(F.split(_plain(F.coalesce(x, F.lit(""))), "\\s+"), "")
+    return F.array_remove(F.split(plain(F.coalesce(x, F.lit(""))), "\\s+"), "")
 
 
 def variants(token: Column) -> Column:
@@ -63,13 +64,23 @@ def match_term(token: Column, terms: list[str]) -> Column:
     return F.when(F.length(token) >= MIN_TERM, F.get(F.filter(variants(token), lambda v: F.array_contains(known, v)), F.lit(0)))
 
 
+def term_forms(terms: list[str]) -> dict[str, str]:
+    """Every token that matches a term, with the term: a term itself, or one with a suffix; the first variant that is a
+    term counts."""
+    forms = {t: t for t in terms}
+    for suffix in SUFFIXES:
+        for t in terms:
+            forms.setdefault(t + suffix, t)
+    return forms
+
+
 def split_sentences(line: Column) -> Column:
-    return F.filter(F.transform(F.split(line, "(?<=[.!?;])\\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.array_remove(F.transform(F.split(line, "(?<=[.!?;])\\s+"), lambda s: F.trim(s)), "")
 
 
 def has_negation_cue(x: Column) -> Column:
     cues = "|".join(re.escape(c).replace("\\ ", " ") for c in NEGATION_CUES)
-    text = F.trim(F.regexp_replace(_plain(F.coalesce(x, F.lit(""))), "\\s+", " "))
+    text = F.trim(F.regexp_replace(plain(F.coalesce(x, F.lit(""))), "\\s+", " "))
     return text.rlike(f"(?<![A-Za-z0-9_])(?:{cues})(?![A-Za-z0-9_])")
 
 

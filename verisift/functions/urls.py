@@ -31,26 +31,78 @@ BLOCKS_V4 = [
 ]
 
 
+#: Scheme, user info, host (bracketed or not), port, path and query of an absolute http(s) URL.
+_FORM = "(?i)^(https?):/*(?:([^/?#]*)@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
+
+
+def url_parts(url: Column) -> Column:
+    """scheme, user (null without one), host, port (text, null for none or the default), path (at least `/`, dot segments
+    resolved), query of an http(s) URL; a null struct for anything else, an empty host or an impossible port. Hosts are
+    lower-cased, numeric ones written as four decimal parts; a null URL gives null."""
+    raw = F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$|[\\t\\n\\r]", "")
+    part = lambda k: F.regexp_extract(raw, _FORM, k)
+
+    def of(p: Column) -> Column:
+        number = p["number"]
+        octet = lambda bits: F.shiftright(number, bits).bitwiseAND(255).cast("string")
+        host = F.when(number.isNotNull(), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(p["host"])
+        bad = (p["host"] == "") | p["host"].rlike("[\\s<>^|%]") | (p["host"].rlike("(^|\\.)(0[xX][0-9a-fA-F]*|[0-9]+)\\.?$") & number.isNull())
+        port = p["port"].try_cast("int")
+        odd_port = (p["port"] != "") & (port.isNull() | ~p["port"].rlike("^[0-9]+$") | (port > 65535))
+        default = F.when(p["scheme"] == "http", 80).otherwise(443)
+        made = F.struct(
+            p["scheme"].alias("scheme"),
+            F.when(F.regexp_replace(p["user"], ":", "") != "", p["user"]).alias("user"),
+            host.alias("host"),
+            F.when(port != default, port.cast("string")).alias("port"),
+            _resolved(F.regexp_replace(p["path"], " ", "%20")).alias("path"),
+            p["query"].alias("query"),
+        )
+        return F.when(~bad & ~odd_port & raw.rlike(_FORM), made)
+
+    host = F.regexp_replace(F.lower(part(3)), "\\.$", "")
+    named = F.when(F.lower(part(3)).rlike("^[^0-9]+\\.$"), F.lower(part(3))).otherwise(host)
+    return let(F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), named.alias("host"), parse_ipv4(host).alias("number"), part(4).alias("port"), part(5).alias("path"), part(6).alias("query")), of)
+
+
+def _resolved(path: Column) -> Column:
+    """A path with `.` and `..` segments worked out; empty becomes `/`."""
+    plain = lambda x: F.regexp_replace(F.lower(x), "%2e", ".")
+    last = F.lit("")
+    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    done = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(plain(x) == "..", up(a)).when(plain(x) == ".", a).otherwise(F.concat(a, F.array(x))))
+    ends = plain(F.element_at(F.split(path, "/"), -1)).isin(".", "..")
+    text = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(ends & (F.size(done) > 0), "/").otherwise(last))
+    return F.when(~path.rlike("(?i)(^|/)(\\.|%2e){1,2}(/|$)"), F.when(path == "", "/").otherwise(path)).otherwise(text)
+
+
 def host_of(url: Column) -> Column:
-    """Lower-cased host without user info and port, or the raw text if there is none."""
-    found = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """Lower-cased host without user info and port (in brackets if it is an IPv6 address), or the raw text if there is none."""
+    found = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)", 1)
     return F.when(found != "", F.lower(found)).otherwise(url)
 
 
 def cache_key(url: Column) -> Column:
     """Canonical form: lower-cased scheme and host; no fragment, user info, default port or tracking parameters; other
-    parameters sorted; one closing slash dropped unless the path is the root. Null for what isn't an http(s) URL."""
-    form = "^\\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\\d*))?([^?#]*)(?:\\?([^#]*))?"
-    part = lambda k: F.regexp_extract(F.trim(url), form, k)
-    scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
-    default = F.when(scheme == "http", "80").otherwise("443")
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~F.array_contains(strings(TRACKING), name(p))))
-    rooted = F.when(path == "", "/").otherwise(path)
-    short = F.when((F.length(rooted) > 1) & rooted.endswith("/"), F.substring(rooted, F.lit(1), F.length(rooted) - 1)).otherwise(rooted)
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    full = F.concat(scheme, F.lit("://"), host, F.when((port == "") | (port == default), "").otherwise(F.concat(F.lit(":"), port)), short, tail)
-    return F.when(scheme.isin("http", "https") & (host != ""), full)
+    parameters decoded, sorted by name and then value, and encoded as a form; dot segments resolved and one closing slash
+    dropped unless the path is the root. Null for what isn't an http(s) URL."""
+
+    def of(p: Column) -> Column:
+        plain = lambda x: F.coalesce(F.try_url_decode(x), F.regexp_replace(x, "\\+", " "))
+        pairs = F.transform(F.filter(F.split(p["query"], "&"), lambda x: x != ""), lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("name"), plain(F.when(F.contains(x, F.lit("=")), F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("")).alias("value")))
+        kept = F.array_sort(F.filter(pairs, lambda x: ~F.lower(x["name"]).startswith("utm_") & ~F.array_contains(strings(TRACKING), F.lower(x["name"]))))
+        tail = F.array_join(F.transform(kept, lambda x: F.concat(F.url_encode(x["name"]), F.lit("="), F.url_encode(x["value"]))), "&")
+        path = F.when((F.length(p["path"]) > 1) & p["path"].endswith("/"), F.substring(p["path"], F.lit(1), F.length(p["path"]) - 1)).otherwise(p["path"])
+        return F.when(p.isNotNull(), F.concat(p["scheme"], F.lit("://"), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")), path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
+
+    return let(url_parts(url), of)
+
+
+def safe_url(url: Column) -> Column:
+    """The URL without user info, query and fragment, for messages."""
+    made = let(url_parts(url), lambda p: F.concat(p["scheme"], F.lit("://"), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")), p["path"]))
+    return F.coalesce(made, F.lit("[unparseable-url]"))
 
 
 def parse_ipv4(host: Column) -> Column:
@@ -95,4 +147,94 @@ def classify_host(host: Column) -> Column:
 
 
 def classify_port(port: Column) -> Column:
-    return F.when(port.between(1, 65535) & port.isin(PORTS), F.lit(None).cast("string")).otherwise("port not allowed")
+    """Why the port must not be connected to, or null; a null port is invalid."""
+    return F.when(~F.coalesce(port.between(1, 65535), F.lit(False)), "invalid port").when(~port.isin(PORTS), F.format_string("port %d is not allowed", port))
+
+
+# --- IPv6 -----------------------------------------------------------------------------------------------------
+
+_GROUP = "^[0-9a-fA-F]{1,4}$"
+_DOTTED = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}"
+
+
+def expand_ipv6(address: Column) -> Column:
+    """The 8 groups of an address as numbers, or null. A zone is cut off. Groups of an embedded IPv4 address count as zero
+    after `::`; without `::` such an address is not accepted."""
+    bare = F.substring_index(address, "%", 1)
+    tail = F.substring_index(bare, ":", -1)
+    dotted = F.contains(tail, F.lit("."))
+    text = F.when(dotted, F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.lit("0:0"))).otherwise(bare)
+    cut = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def of(p: Column) -> Column:
+        at = F.instr(p["text"], "::")
+        twice = F.contains(F.substring(p["text"], at + 1, F.length(p["text"])), F.lit("::"))
+        head = F.when(at > 0, cut(F.substring(p["text"], F.lit(1), at - 1))).otherwise(F.split(p["text"], ":"))
+        rest = F.when(at > 0, cut(F.substring(p["text"], at + 2, F.length(p["text"])))).otherwise(F.array().cast("array<string>"))
+
+        def join(s: Column) -> Column:
+            fill = 8 - F.size(s["h"]) - F.size(s["r"])
+            groups = F.when(at > 0, F.concat(s["h"], F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), s["r"])).otherwise(s["h"])
+            ok = F.forall(groups, lambda g: g.rlike(_GROUP)) & F.when(at > 0, (fill >= 0) & ~twice).otherwise((F.size(s["h"]) == 8) & ~p["dotted"])
+            return F.when(ok & (~p["dotted"] | p["v4"].isNotNull()), F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+        return let(F.struct(head.alias("h"), rest.alias("r")), join)
+
+    return let(F.struct(text.alias("text"), dotted.alias("dotted"), F.when(dotted, parse_ipv4(tail)).alias("v4")), of)
+
+
+def classify_ipv6(address: Column) -> Column:
+    """Why the address must not be fetched, or null."""
+
+    def of(g: Column) -> Column:
+        zero = lambda k: F.forall(F.slice(g, 1, k), lambda x: x == 0)
+        first = g[0]
+        inner = classify_ipv4(g[6].cast("long") * 65536 + g[7])
+        return (
+            F.when(g.isNull(), "unparseable IPv6 address")
+            .when(zero(7) & (g[7] == 1), "IPv6 loopback (::1)")
+            .when(zero(8), "IPv6 unspecified (::)")
+            .when(first.bitwiseAND(0xFFC0) == 0xFE80, "IPv6 link-local (fe80::/10)")
+            .when(first.bitwiseAND(0xFE00) == 0xFC00, "IPv6 unique-local (fc00::/7)")
+            .when(first.bitwiseAND(0xFF00) == 0xFF00, "IPv6 multicast (ff00::/8)")
+            .when(zero(5) & (g[5] == 0xFFFF) & inner.isNotNull(), F.concat(F.lit("IPv4-mapped "), inner))
+        )
+
+    return let(expand_ipv6(address), of)
+
+
+def classify_ip(address: Column) -> Column:
+    """Why the IP address must not be fetched, or null; what is no IP address must not be fetched either."""
+    bare = F.substring_index(address, "%", 1)
+    plain = F.regexp_replace(bare, _DOTTED + "$", "0:0")
+    groups = F.size(F.filter(F.split(plain, ":"), lambda x: x != ""))
+    v6 = ~plain.contains(":::") & ~plain.rlike("::.*::|[^0-9a-fA-F:]|[0-9a-fA-F]{5}|^:[^:]|[^:]:$") & F.when(plain.contains("::"), groups <= 7).otherwise(groups == 8) & ~address.rlike("%$")
+    return F.when(address.rlike(f"^{_DOTTED}$"), classify_ipv4(parse_ipv4(address))).when(plain.contains(":") & v6, classify_ipv6(address)).otherwise("not a valid IP address")
+
+
+def validate_url(url: Column, addresses: Column) -> Column:
+    """code and reason why the URL must not be fetched, the first that holds, or a null struct if it may be. `addresses`
+    is what its host resolved to; null counts as nothing resolved. A null URL isn't a URL."""
+    no = lambda code, reason: F.struct(F.lit(code).alias("code"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    scheme = F.lower(F.regexp_extract(F.trim(url), "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+
+    def of(p: Column) -> Column:
+        bare = F.regexp_replace(p["host"], "^\\[|\\]$", "")
+        port = F.coalesce(p["port"].cast("int"), F.when(p["scheme"] == "https", 443).otherwise(80))
+        literal = bare.rlike("^[0-9.]+$") | bare.contains(":") | bare.startswith("0x")
+        known = F.coalesce(addresses, F.array().cast("array<string>"))
+        bad = F.get(F.filter(F.transform(known, classify_ip), lambda r: r.isNotNull()), F.lit(0))
+        return (
+            F.when(F.coalesce(scheme, F.lit("")) == "", no("INVALID_URL", "not a valid absolute URL"))
+            .when(~scheme.isin("http", "https"), no("INVALID_URL", F.concat(F.lit("unsupported scheme "), scheme)))
+            .when(p.isNull(), no("INVALID_URL", "not a valid absolute URL"))
+            .when(p["user"].isNotNull(), no("BLOCKED_URL", "URLs containing credentials are not allowed"))
+            .when(classify_host(bare).isNotNull(), no("BLOCKED_URL", classify_host(bare)))
+            .when(classify_port(port).isNotNull(), no("BLOCKED_URL", classify_port(port)))
+            .when(literal & classify_ip(bare).isNotNull(), no("BLOCKED_URL", classify_ip(bare)))
+            .when(literal, F.lit(None))
+            .when(F.size(known) == 0, no("INVALID_URL", "hostname did not resolve"))
+            .when(bad.isNotNull(), no("BLOCKED_URL", F.concat(F.lit("resolved "), bad)))
+        )
+
+    return let(url_parts(url), of)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.functions import classify, text, urls
+from verisift.functions.common import spread
 from verisift.operators import evidence, tables
 from verisift.sources import html
 
@@ -92,8 +93,8 @@ segs AS (SELECT doc_id, paragraph, text, row_number() OVER (PARTITION BY doc_id
 
 @query(f"WITH {_LINES} SELECT doc_id, CAST(segment AS INTEGER) AS segment, CAST(paragraph AS INTEGER) AS paragraph, 'p[' || paragraph || ']' AS context, text FROM segs")
 def segments_with_paragraph(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(evidence.build_segments(F.col("text"))).alias("segment", "s"))
-    return s.select("doc_id", "segment", "s.paragraph", "s.context", "s.text")
+    s = spread(table(spark, d, "documents")).select("doc_id", F.posexplode_outer(evidence.build_segments(F.col("text"))).alias("segment", "s"))
+    return s.filter("s IS NOT NULL").select("doc_id", "segment", "s.paragraph", "s.context", "s.text")
 
 
 _CUE = "(^|[^a-z0-9_])(" + "|".join(c.replace("'", "''") for c in text.NEGATION_CUES) + ")($|[^a-z0-9_])"
@@ -102,8 +103,8 @@ _NEG = "regexp_matches(" + _PLAIN.format(x="text") + ", '" + _CUE + "')"
 
 @query(f"WITH {_LINES} SELECT doc_id, count(*) AS sentences, count_if({_NEG}) AS negated FROM segs GROUP BY doc_id")
 def negation_sentences(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.explode(evidence.build_segments(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(text.has_negation_cue(F.col("s.text"))).alias("negated"))
+    s = spread(table(spark, d, "documents")).select("doc_id", F.explode_outer(evidence.build_segments(F.col("text"))).alias("s"))
+    return s.filter("s IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("sentences"), F.count_if(text.has_negation_cue(F.col("s.text"))).alias("negated"))
 
 
 # --- evidence -------------------------------------------------------------------------------------------------
@@ -139,18 +140,18 @@ best AS (SELECT doc_id, CAST(rank AS INTEGER) AS rank, CAST(segment AS INTEGER)
 
 @query(evidence_sql(QUESTION) + "SELECT doc_id, rank, segment, round(score, 6) AS score, round(coverage, 6) AS coverage FROM best")
 def evidence_topk(spark, d):
-    r = evidence.candidates(evidence.rank(table(spark, d, "documents"), QUESTION), "doc_id")
+    r = evidence.candidates(evidence.rank(spread(table(spark, d, "documents")), QUESTION), "doc_id")
     return r.select("doc_id", "rank", "segment", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
 @query(evidence_sql(QUESTION, max_chars=60) + "SELECT doc_id, rank, relevance, context, excerpt FROM best")
 def evidence_excerpts(spark, d):
-    return evidence.candidates(evidence.rank(table(spark, d, "documents"), QUESTION, max_chars=60), "doc_id").select("doc_id", "rank", "relevance", "context", "excerpt")
+    return evidence.candidates(evidence.rank(spread(table(spark, d, "documents")), QUESTION, max_chars=60), "doc_id").select("doc_id", "rank", "relevance", "context", "excerpt")
 
 
 @query(evidence_sql(QUESTIONS[2]) + "SELECT d.doc_id, CASE WHEN f.r = 'contradictory' THEN 'contradicts' WHEN f.r IS NOT NULL THEN 'supports' END AS stance FROM documents d LEFT JOIN (SELECT doc_id, arg_min(relevance, rank) AS r FROM best WHERE relevance <> 'context' GROUP BY doc_id) f USING (doc_id)")
 def source_stance(spark, d):
-    return evidence.rank(table(spark, d, "documents"), QUESTIONS[2]).select("doc_id", evidence.stance(F.col("candidates")).alias("stance"))
+    return evidence.rank(spread(table(spark, d, "documents")), QUESTIONS[2]).select("doc_id", evidence.stance(F.col("candidates")).alias("stance"))
 
 
 def _verdict_sql(question: str, wh: int) -> str:
@@ -161,7 +162,7 @@ SELECT source, n_sources, n_support, n_contradict, CASE WHEN {wh} >= 2 AND n_sup
 
 
 def _verdict(spark, d, question: str, wh: int) -> DataFrame:
-    docs = evidence.rank(table(spark, d, "documents"), question).select("source", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("host"), evidence.stance(F.col("candidates")).alias("stance"))
+    docs = evidence.rank(spread(table(spark, d, "documents")), question).select("source", F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("host"), evidence.stance(F.col("candidates")).alias("stance"))
     return evidence.assess(docs, wh, "source").select("source", "n_sources", "n_support", "n_contradict", "status")
 
 
@@ -177,10 +178,10 @@ def multi_part_abstain(spark, d):
 
 @query(evidence_sql(QUESTION, k=12) + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, rank) AS INTEGER) AS place, segment, CASE WHEN m >= 0.5 AND rank > 1 AND relevance <> 'contradictory' THEN 'direct' ELSE relevance END AS relevance FROM (SELECT *, (segment % 7) / 7.0 AS m FROM best) QUALIFY place <= 5")
 def rerank_scored(spark, d):
-    r = evidence.rank(table(spark, d, "documents"), QUESTION, k=12)
+    r = evidence.rank(spread(table(spark, d, "documents")), QUESTION, k=12)
     r = r.withColumn("model", F.transform("candidates", lambda c: (c["segment"] % 7) / F.lit(7.0)))
-    r = evidence.rerank(r, "model", 5).select("doc_id", F.posexplode("candidates").alias("p", "c"))
-    return r.select("doc_id", (F.col("p") + 1).alias("place"), "c.segment", "c.relevance")
+    r = evidence.rerank(r, "model", 5).select("doc_id", F.posexplode_outer("candidates").alias("p", "c"))
+    return r.filter("c IS NOT NULL").select("doc_id", (F.col("p") + 1).alias("place"), "c.segment", "c.relevance")
 
 
 # --- pages ----------------------------------------------------------------------------------------------------
@@ -189,19 +190,19 @@ def rerank_scored(spark, d):
 @query("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title,
  regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language FROM pages""")
 def page_title_language(spark, d):
-    return html.extract_documents(table(spark, d, "pages"), ["page_id"]).select("page_id", "title", "language")
+    return html.extract_documents(spread(table(spark, d, "pages")), ["page_id"]).select("page_id", "title", "language")
 
 
 @query()
 def page_extract(spark, d):
-    got = html.extract_documents(table(spark, d, "pages"), ["page_id"])
+    got = html.extract_documents(spread(table(spark, d, "pages")), ["page_id"])
     return got.select("page_id", "title", "language", "publisher", "word_count", "content_hash", F.size("headings").alias("n_headings"), F.size("links").alias("n_links"))
 
 
 @query()
 def page_verdict(spark, d):
     """The flagship: pages to documents to ranked evidence to a verdict for each host."""
-    docs = html.extract_documents(table(spark, d, "pages"), ["page_id", "url"])
+    docs = html.extract_documents(spread(table(spark, d, "pages")), ["page_id", "url"])
     r = evidence.rank(docs, QUESTIONS[2], headings="headings", text_col="main_text")
     s = r.select(urls.host_of(F.col("url")).alias("host"), F.col("page_id").alias("pos"), evidence.stance(F.col("candidates")).alias("stance"))
     return evidence.assess(s, 0, "host")
@@ -254,7 +255,7 @@ b AS (SELECT id, arg_max(allow, length(r.path) * 2 + allow::INT) AS allow FROM u
 SELECT id, path, coalesce(allow, true) AS allowed FROM u LEFT JOIN b USING (id)""")
 def robots_verdict(spark, d):
     u = table(spark, d, "pages").select(F.col("page_id").alias("id"), urls.host_of(F.col("url")).alias("origin"), F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1).alias("path"))
-    return tables.robots_verdict(u, spark.createDataFrame(RULES, "origin string, allow boolean, path string"))
+    return tables.robots_verdict(u, spark.createDataFrame(RULES, "origin string, allow boolean, path string")).select("id", "path", "allowed")
 
 
 # --- keyed table, usage ---------------------------------------------------------------------------------------
