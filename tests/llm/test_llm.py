@@ -258,3 +258,29 @@ def test_tiles_lose_no_link(percent):
         both = len(np.intersect1d(x, y))
         if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
             assert len(np.intersect1d(jaccard_join.tile_keys(x, percent), jaccard_join.tile_keys(y, percent)))
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    """Each gzip member of an archive is read, whatever its records are cut into; broken ones are errors."""
+    import gzip
+
+    one = lambda i: f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {9 + len(str(i))}\r\n\r\npage-id: {i}\r\n\r\n".encode()
+    many = b"".join(gzip.compress(one(i)) for i in range(5)) + b"\0" * 7
+    assert [f["warc-record-id"] for f, _ in warc.parse_records(warc.unpacked(many, 3))] == [f"<r{i}>" for i in range(5)]
+    (tmp_path / "part-0.warc.gz").write_bytes(many)
+    (tmp_path / "part-1.warc").write_bytes(b"".join(map(one, range(5, 700))))
+    assert sorted(r["page_id"] for r in warc.read_records(spark, str(tmp_path)).collect()) == list(range(700))
+    for broken in (many[:30], one(1)[:40], b"nonsense\r\n\r\n"):
+        with pytest.raises((ValueError, EOFError, zlib.error)):
+            list(warc.parse_records(warc.unpacked(broken)))
+
+
+def test_leaks_are_judged_row_by_row(spark):
+    item = "one plain question about nothing much that has more than enough words in it"
+    docs = spark.createDataFrame([(None, item, 1), (None, "clean", 2), (4, item, 3), (4, "clean too", 4), (5, None, 5)], "doc_id long, text string, k int")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["k"] for r in kept.collect()) == [2, 4, 5]
+
+
+def test_letters_are_letters():
+    assert not langid._LETTER.search("½ ² 5 Ⅷ _") and langid._LETTER.search("5 ß")

@@ -133,7 +133,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs whose doc_id isn't contaminated, all columns as they were."""
-    bad = materialise(judge(docs, benchmark, window).select(F.col("doc_id").alias("__bad")), "bad")
+    """The rows of docs that aren't contaminated, all columns as they were. Each row is judged by itself, under a hash of its
+    id and text: rows of one id, or without one, don't share a verdict unless their texts are equal."""
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(3))
+    bad = materialise(judge(docs.select(own.alias("doc_id"), "text"), benchmark, window).select(F.col("doc_id").alias("__bad")), "bad")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_HITS else bad
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    keyed = docs.withColumn("__own", own)
+    return keyed.join(bad, keyed["__own"] == bad["__bad"], "left_anti").select(*docs.columns)

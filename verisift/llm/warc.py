@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Pages per archive file at most.
-RECORDS_PER_FILE = 4000
+#: Pages per archive file, and bytes, at most (unless one page has more): a file is read by one task.
+RECORDS_PER_FILE, FILE_BYTES = 4000, 128 << 20
 LEAST_SHARED = 100  # bytes a payload needs for a later copy to become a revisit
 NO_PAGE = (1 << 63) - 1
 
@@ -104,25 +104,57 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     )
     gap = F.lit(CRLF + CRLF)
     out = p.select(F.concat(main, gap, request, gap, metadata).alias("value"))
-    writer = out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE)
+    longest = (pages.agg(F.max(F.octet_length("html")).alias("n")).first()["n"] or 0) + 4096
+    writer = out.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, FILE_BYTES // longest)))
     (writer.option("compression", "gzip") if packed else writer).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of one archive."""
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
-            at += 2
+def unpacked(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an archive in pieces: of all gzip members, one after the other, if it is packed."""
+    if raw[:2] != b"\x1f\x8b":
+        yield from (raw[at : at + step] for at in range(0, len(raw), step))
+        return
+    while raw.strip(b"\0"):  # zero bytes may fill up the end
+        member, left = zlib.decompressobj(31), raw
+        while not member.eof:
+            piece, left = member.decompress(left, step), member.unconsumed_tail
+            if not piece and not left and not member.eof:
+                raise ValueError("a gzip member ends early")
+            yield piece
+        raw = member.unused_data
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of each record of one archive, given in pieces; no more than a record
+    and a piece are held. What is no record, or ends early, is a ValueError."""
+    held = bytearray()
+    pieces = iter(pieces)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while held.startswith(b"\r\n"):
+            del held[:2]
+        if len(held) < 3 and more():
             continue
-        head_end = data.index(b"\r\n\r\n", at)
-        head = data[at:head_end].decode().split(CRLF)
+        if not held:
+            return
+        while (head_end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError("a WARC header ends early")
+        head = bytes(held[:head_end]).decode().split(CRLF)
         if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError("no WARC record where one must begin")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[head_end + 4 : head_end + 4 + size]
-        at = head_end + 4 + size
+        end = head_end + 4 + int(fields["content-length"])
+        while len(held) < end:
+            if not more():
+                raise ValueError("a WARC block ends early")
+        yield fields, bytes(held[head_end + 4 : end])
+        del held[:end]
 
 
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, target_uri string, date string, refers_to_id string, refers_to_page long, stated_digest string, payload_bytes long, payload_digest string, page_id long, payload string"
@@ -130,7 +162,8 @@ RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, tar
 
 def read_records(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
     """One row per record. Payload size and digest of a response are measured from its bytes; those of a revisit come
-    from its stored HTTP header and digest. payloads: also return the payload text."""
+    from its stored HTTP header and digest. payloads: also return the payload text. Packed archives may have any number of
+    gzip members; one that is broken is a ValueError."""
 
     def number(x: str | None) -> int | None:
         return int(x) if x else None
@@ -157,9 +190,9 @@ def read_records(spark: SparkSession, path: str, *, payloads: bool = False) -> D
         for batch in batches:
             for data in batch.column(0):
                 raw, rows = data.as_py(), []
-                for f, block in parse_records(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw):
+                for f, block in parse_records(unpacked(raw)):
                     rows.append(row(f, block))
-                    if len(rows) == 500:
+                    if len(rows) == 500 or payloads:  # a batch with payloads is one record
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows = []
                 if rows:
