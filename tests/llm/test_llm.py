@@ -284,3 +284,12 @@ def test_leaks_are_judged_row_by_row(spark):
 
 def test_letters_are_letters():
     assert not langid._LETTER.search("½ ² 5 Ⅷ _") and langid._LETTER.search("5 ß")
+
+
+def test_components_in_one_task_and_spread(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    got = [sorted(map(tuple, jaccard_join.components(links, n).select("doc", "comp").collect())) for n in (1000, 10)]
+    assert got[0] == got[1] and dict(got[0])[1040] == 1000
+    assert jaccard_join.components(links.limit(0)).count() == 0

@@ -28,10 +28,14 @@ KEY_BITS = 48
 PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 1_000_000, 64
 #: Members compared at a time within a tile; pairs tried for each component in the first round, and growth per round.
 BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 64
+#: Pairs listed for each place in a tile, in the first round and then (no block has more members).
+FEW, ALL = 1, BLOCK
 #: 64-bit words of a bitmap: two to four bits for each shingle, within these.
 LEAST_WORDS, MOST_WORDS = 4, 4096
 #: Sets compared with one hub in one group of the exact check.
 HUB_SHARE = 256
+#: Links up to which components are found in one task, which holds some 50 bytes for each; more are spread over the cluster.
+LINKS_AT_ONCE = 500_000
 #: Rows (of a few longs) up to which a table is broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -284,10 +288,27 @@ class Texts:
         return found
 
 
-def components(links: DataFrame) -> DataFrame:
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, comp of a bounded number of links, all in one task: labels spread along links, with short cuts, till they stand."""
+    links = [np.stack([x.column(i).to_numpy() for i in (0, 1)]) for x in batches]
+    ids, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    label, was = np.arange(len(ids)), None
+    while was is None or (label != was).any():
+        was = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["doc", "comp"])
+
+
+def components(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """doc, comp: for every document with a link (a, b) the smallest one it can reach; none for no links. Null ends are not
-    allowed; repeated links and links to oneself add nothing. Label spreading with short cuts; each round is a written
-    table, so nothing depends on executors of earlier rounds."""
+    allowed; repeated links and links to oneself add nothing. Up to `at_once` links, counted first, one task does; beyond,
+    labels spread with short cuts, each round a written table, so that nothing depends on executors of earlier rounds."""
+    if links.count() <= at_once:
+        return materialise(links.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(lean(_union), "doc long, comp long"), "labels")
     both = materialise(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "links")
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("doc"), F.least("x", "m").alias("comp"))
     labels = materialise(labels, "labels")
@@ -425,10 +446,10 @@ def classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PA
     met = stars.select(F.col("star").alias("a"), F.col("doc").alias("b")).join(tried, ["a", "b"], "left_anti")
     met = met.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     join_up(_bounded(met, marks, percent))
-    most, more = 1, True
+    most, more = FEW, True
     while more:  # ends when no member of a tile had more pairs than were listed
         may = _apart(members, comp, marks, percent, most)
-        more, most = not may.filter("more = 1").isEmpty(), most * MORE_TRIES
+        more, most = not may.filter("more = 1").isEmpty(), ALL
         join_up(may.select("a", "b", "bound"))
         discard(may)
     discard(shared, stars, marks)
