@@ -26,8 +26,8 @@ from verisift.llm.common import _LOWER, discard, give_back, hash_runs, hash_word
 
 KEY_BITS = 48
 PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 1_000_000, 64
-#: Members compared at a time within a tile; pairs tried for each component in the first round, and growth per round.
-BLOCK, FIRST_TRIES, MORE_TRIES = 512, 4, 64
+#: Members compared at a time within a tile; pairs tried for each component in the rounds before the one that takes all.
+BLOCK, TRIES = 512, (4, 256)
 #: Pairs listed for each place in a tile, in the first round and then (no block has more members).
 FEW, ALL = 1, BLOCK
 #: 64-bit words of a bitmap: two to four bits for each shingle, within these.
@@ -102,16 +102,17 @@ def bitmap_words(n: int) -> int:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit is the parity of the elements hashed to it, so that common elements cancel out between two bitmaps: bits that
+    differ stand for elements of only one set, and few of those meet, however full the bitmaps are."""
     words = bitmap_words(len(h))
-    bits = np.zeros(words * 64, np.uint8)
-    bits[(h >> np.uint64(7)) % np.uint64(words * 64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    bits = np.bincount(((h >> np.uint64(7)) % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def fold(x: np.ndarray, words: int) -> np.ndarray:
     """A bitmap at a smaller width."""
     while len(x) > words:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
 
@@ -421,23 +422,28 @@ def classes(docs: DataFrame, shingle: int, percent: int, *, part_bytes: int = PA
     comp, tried = components(links), best
 
     def join_up(pairs: DataFrame) -> None:
-        """Check pairs until none is left between two components: in each round the best few of each component."""
+        """Check pairs until none is left between two components: the best few of each component, more, then all."""
         nonlocal links, comp, tried
-        tries = FIRST_TRIES
+        rounds = iter(TRIES)
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "open")
         while not pairs.isEmpty():
             of = lambda c, to: comp.select(F.col("doc").alias(c), F.col("comp").alias(to))
             now = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
             now = materialise(now.filter("ca <> cb"), "now")
             discard(pairs)
-            sides = now.select(F.col("ca").alias("c"), "a", "b", "bound").unionByName(now.select(F.col("cb").alias("c"), "a", "b", "bound"))
-            rank = F.row_number().over(Window.partitionBy("c").orderBy(F.col("bound").desc(), "a", "b"))
-            picked = materialise(sides.withColumn("r", rank).filter(F.col("r") <= tries).select("a", "b").distinct(), "picked")
+            if tries := next(rounds, None):
+                sides = now.select(F.col("ca").alias("c"), "a", "b", "bound").unionByName(now.select(F.col("cb").alias("c"), "a", "b", "bound"))
+                rank = F.row_number().over(Window.partitionBy("c").orderBy(F.col("bound").desc(), "a", "b"))
+                picked = materialise(sides.withColumn("r", rank).filter(F.col("r") <= tries).select("a", "b").distinct(), "picked")
+            else:
+                picked = now.select("a", "b")
             found = texts.verify(picked)
             if not found.isEmpty():
                 links = links.unionByName(found)
                 comp = components(links)
-            tried, tries = tried.unionByName(picked), tries * MORE_TRIES
+            tried = tried.unionByName(picked)
+            if not tries:
+                return
             pairs = materialise(now.join(picked, ["a", "b"], "left_anti").select("a", "b", "bound"), "open")
             discard(now)
 
