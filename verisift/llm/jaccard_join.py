@@ -28,6 +28,8 @@ KEY_BITS = 48
 PART_BYTES, HELD_KEYS, LEAST_PARTS = 6 << 20, 1_000_000, 64
 #: Members compared at a time within a tile; pairs tried for each component in the rounds before the one that takes all.
 BLOCK, TRIES = 512, (4, 256)
+#: Smallest tiles of a set that its places in tiles carry, so that most pairs are listed in the first tile they share only.
+FIRST_TILES = 6
 #: Pairs listed for each place in a tile, in the first round and then (no block has more members).
 FEW, ALL = 1, BLOCK
 #: 64-bit words of a bitmap: two to four bits for each shingle, within these.
@@ -328,7 +330,8 @@ def components(links: DataFrame, at_once: int = LINKS_AT_ONCE) -> DataFrame:
 
 def _compare(percent: int, most: int):
     """Within one pair of blocks of a tile: for each member the pairs with members of other components whose bitmaps allow a
-    link, at most `most` of the highest bound; more: it had others."""
+    link, at most `most` of the highest bound; more: it had others. Pairs seen to share a tile of a smaller key are left to
+    that one: a pair is always listed in the smallest tile it shares, and elsewhere only if that is not among those carried."""
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
@@ -336,10 +339,14 @@ def _compare(percent: int, most: int):
         bits = [np.frombuffer(x, "<u8") for x in group.column("bits").to_pylist()]
         words = min(map(len, bits))
         bits = np.stack([fold(x, words) for x in bits])
+        key = group.column("key")[0].as_py()
+        tiles = np.array([x + [-1] * (FIRST_TILES - len(x)) for x in group.column("tiles").to_pylist()], np.int64)
         i, j = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
         for x in i:
             m = j[comp[j] != comp[x]]
+            for before in tiles[x][(tiles[x] >= 0) & (tiles[x] < key)]:
+                m = m[(tiles[m] != before).all(axis=1)]
             m = m[needed_overlap(n[x], n[m], percent) <= np.minimum(n[x], n[m])]
             if not len(m):
                 continue
@@ -366,11 +373,14 @@ def _apart(members: DataFrame, comp: DataFrame, marks: DataFrame, percent: int,
     open_ = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(5))).alias("y")).filter("lo <> hi")
     #: Tiles with the very same members are one.
     open_ = materialise(open_.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).alias("blocks")), "tiles")
-    n = m.join(small(open_, open_.count(), BROADCAST_IDS), "key").join(marks.select(F.col("node").alias("doc"), "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
+    n = m.join(small(open_, open_.count(), BROADCAST_IDS), "key")
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
+    tiles = n.select("doc", "key", rank.alias("r")).filter(F.col("r") <= FIRST_TILES).groupBy("doc").agg(F.collect_list("key").alias("tiles"))
+    n = n.join(tiles, "doc").join(marks.select(F.col("node").alias("doc"), "n", "bits"), "doc").withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.col("blocks")))
     pair = lambda i, side: F.struct(F.least("at", i).alias("i"), F.greatest("at", i).alias("j"), side.alias("side"))
     side = lambda i: F.when(i == F.col("at"), 2).otherwise(F.when(F.col("at") < i, 0).otherwise(1))
     n = n.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: pair(i, side(i)))))
-    n = n.select("key", "to.i", "to.j", "to.side", "doc", "comp", "n", "bits")
+    n = n.select("key", "to.i", "to.j", "to.side", "doc", "comp", "n", "bits", "tiles")
     made = n.groupBy("key", "i", "j").applyInArrow(_compare(percent, most), "a long, b long, bound long, more long")
     made = materialise(made.groupBy("a", "b").agg(F.max("bound").alias("bound"), F.max("more").alias("more")), "may")
     discard(m, open_)
