@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import decontam, jaccard_join, langid, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
+from verisift.llm import decontam, jaccard_join, langid, line_dedup, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -95,6 +95,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, c.top IS NOT NULL AND k.doc_id <> c.top AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -107,8 +123,9 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_top_k": op10_top_k,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL}
+    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL, "op13_line_dedup": OP13_SQL}
