@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import decontam, jaccard_join, langid, line_dedup, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
+from verisift.llm import decontam, filter_audit, jaccard_join, langid, line_dedup, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -95,6 +95,37 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, part,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM w),
+b AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+      FROM m LEFT JOIN b USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, x,
+        CAST(sum(CASE WHEN translate(fails, before || x, '') = fails THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN fails = x THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -123,9 +154,10 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_top_k": op10_top_k,
+        "op12_filter_audit": op12_filter_audit,
         "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_line_dedup": OP13_SQL}
