@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Bytes of a row of (hash, document, places), about, and of a partition of them.
 ROW_BYTES, PART_BYTES = 48, 64 << 20
+#: Text bytes that a Python worker takes apart at a time.
+PIECE_BYTES = 4 << 20
 _NULL_ID = -(1 << 63)
 _DROP, _OPEN, _EDGE = 0, 1, 2
 
@@ -47,6 +50,16 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (key.isascii() or len(key.decode("utf-8", "replace")) >= least)
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PIECE_BYTES of a column each."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _hash_lines(least_chars: int):
     """A row for each document and distinct line hash."""
     types = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("text_hash", pa.int64()), ("places", pa.list_(pa.int32()))])
@@ -58,7 +71,7 @@ def _hash_lines(least_chars: int):
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], schema=types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 2)):
             digests, places, docs, hashes = [], [], [], []
             for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 at_of: dict[bytes, list[int]] = {}
@@ -69,9 +82,6 @@ def _hash_lines(least_chars: int):
                 places += at_of.values()
                 docs += [doc] * len(at_of)
                 hashes += [text_hash] * len(at_of)
-                if len(digests) > 100_000:
-                    yield rows_of(digests, places, docs, hashes)
-                    digests, places, docs, hashes = [], [], [], []
             if digests:
                 yield rows_of(digests, places, docs, hashes)
 
@@ -193,7 +203,7 @@ def unpack_keep(keep: bytes | None, n_lines: int) -> np.ndarray:
 
 def _keep_lines(carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, 1)):
             kept, n_lines, n_dropped = [], [], []
             for text, keep in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or b""
@@ -216,7 +226,8 @@ def apply_bitmaps(docs: DataFrame, keeps: DataFrame, carry: list[str] | None = N
     `carry` columns, whatever their names."""
     carry = carry or []
     left = _keyed(docs, text, F.col("doc_id").cast("long").alias("id"), *[F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(carry)])
-    both = left.join(keeps.select("doc", "text_hash", "keep"), ["doc", "text_hash"], "left").select("id", "text", "keep", *[f"carry{i}" for i in range(len(carry))])
+    #: Bitmaps have a bit for each line, so that those of a partition are far smaller than its texts: texts needn't be sorted.
+    both = left.join(keeps.select("doc", "text_hash", "keep").hint("shuffle_hash"), ["doc", "text_hash"], "left").select("id", "text", "keep", *[f"carry{i}" for i in range(len(carry))])
     fields = ["doc_id long", "n_lines long", "n_dropped long", "kept string"]
     types = [f"c{i} {f.split()[1]}" for i, f in enumerate(fields)] + [f"c{i + 4} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
     made = both.mapInArrow(_keep_lines(len(carry)), ", ".join(types))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import decontam, filter_audit, jaccard_join, langid, line_dedup, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
+from verisift.llm import decontam, filter_audit, importance, jaccard_join, langid, line_dedup, lm_scoring, piece_codec, quality, substring_dedup, topk_search, url_filter, warc
 from verisift.llm.common import new_path
 
 
@@ -95,6 +95,33 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+x AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM x),
+f AS (SELECT side, id, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w),
+n AS (SELECT side, id, feature, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT feature, hex(encode(feature)) AS hx FROM n GROUP BY feature),
+b AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(hx) // 2), lambda i: CAST('0x' || hx[2 * i + 1:2 * i + 2] AS BIGINT))),
+               lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d, crc),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM n JOIN b USING (feature) GROUP BY bucket),
+a AS (SELECT CAST(sum(s) + 10000 AS DOUBLE) AS s_all, CAST(sum(t) + 10000 AS DOUBLE) AS t_all FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * s_all / ((CAST(s AS DOUBLE) + 1) * t_all))) AS BIGINT) AS gain FROM c, a),
+m AS (SELECT id, sum(n) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+k AS (SELECT w.id AS doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, len(words) >= 20 AS able,
+        CAST('0x' || substr(sha256('7:' || w.id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m ON w.id = m.id WHERE side = 0),
+r AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE able) OVER () AS all_able FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * all_able // 100 THEN place END AS rank FROM o
+"""
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -154,10 +181,11 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_top_k": op10_top_k,
+        "op11_importance": op11_importance,
         "op12_filter_audit": op12_filter_audit,
         "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL, "op11_importance": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_line_dedup": OP13_SQL}
