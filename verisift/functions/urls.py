@@ -35,18 +35,34 @@ BLOCKS_V4 = [
 _FORM = "(?i)^(https?):/*(?:([^/?#]*)@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#.*)?$"
 
 
+#: URLs whose canonical form is near: lower-cased named host, no port, no dot segments, a query of unreserved characters.
+_PLAIN = "^https?://(?:[a-z0-9-]+\\.)+[a-z][a-z0-9-]*(?:/(?!\\.|%2[eE])[A-Za-z0-9._~%!$'()*+,;=@-]+)*/?(?:\\?[A-Za-z0-9._*&=-]*)?(?:#[^\\x00-\\x20]*)?\\z"
+_TRACKED = "(?i)(?:^|&)(?:utm_[^=&]*|" + "|".join(TRACKING) + ")(?:=[^&]*)?(?=&|$)"
+_ONE_PAIR = "^[A-Za-z0-9._*-]*(?:=[A-Za-z0-9._*-]*)?$"
+
+
+def _cleaned(url: Column) -> Column:
+    """A URL as parsers read it: control characters off both ends, tabs and line ends gone, and backslashes before the
+    query of an http(s) URL are slashes (`http://localhost\\x` is a path of localhost)."""
+    raw = F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$|[\\t\\n\\r]", "")
+    head = F.regexp_extract(raw, "^[^?#]*", 0)
+    slashed = F.concat(F.translate(head, "\\", "/"), F.substring(raw, F.length(head) + 1, F.length(raw)))
+    return F.when(raw.rlike("(?i)^https?:[^?#]*\\\\"), slashed).otherwise(raw)
+
+
 def url_parts(url: Column) -> Column:
     """scheme, user (null without one), host, port (text, null for none or the default), path (at least `/`, dot segments
     resolved), query of an http(s) URL; a null struct for anything else, an empty host or an impossible port. Hosts are
-    lower-cased, numeric ones written as four decimal parts; a null URL gives null."""
-    raw = F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$|[\\t\\n\\r]", "")
+    lower-cased, numeric ones written as four decimal parts; a host beyond ASCII is refused like an impossible one (write
+    it in its ASCII form first). A null URL gives null."""
+    raw = _cleaned(url)
     part = lambda k: F.regexp_extract(raw, _FORM, k)
 
     def of(p: Column) -> Column:
         number = p["number"]
         octet = lambda bits: F.shiftright(number, bits).bitwiseAND(255).cast("string")
         host = F.when(number.isNotNull(), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(p["host"])
-        bad = (p["host"] == "") | p["host"].rlike("[\\s<>^|%]") | (p["host"].rlike("(^|\\.)(0[xX][0-9a-fA-F]*|[0-9]+)\\.?$") & number.isNull())
+        bad = (p["host"] == "") | p["host"].rlike("[\\s<>^|%\\x00-\\x20\\x7F-\\x{10FFFF}]") | (p["host"].rlike("(^|\\.)(0[xX][0-9a-fA-F]*|[0-9]+)\\.?$") & number.isNull())
         port = p["port"].try_cast("int")
         odd_port = (p["port"] != "") & (port.isNull() | ~p["port"].rlike("^[0-9]+$") | (port > 65535))
         default = F.when(p["scheme"] == "http", 80).otherwise(443)
@@ -79,14 +95,25 @@ def _resolved(path: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-cased host without user info and port (in brackets if it is an IPv6 address), or the raw text if there is none."""
-    found = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)", 1)
+    found = F.regexp_extract(_cleaned(url), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)", 1)
     return F.when(found != "", F.lower(found)).otherwise(url)
 
 
 def cache_key(url: Column) -> Column:
     """Canonical form: lower-cased scheme and host; no fragment, user info, default port or tracking parameters; other
     parameters decoded, sorted by name and then value, and encoded as a form; dot segments resolved and one closing slash
-    dropped unless the path is the root. Null for what isn't an http(s) URL."""
+    dropped unless the path is the root. Null for what isn't an http(s) URL.
+
+    URLs that need no decoding, sorting or resolving, most of any crawl, take compiled regular expressions alone."""
+    bare = F.regexp_extract(url, "^[^?#]+", 0)
+    tail = F.regexp_replace(F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1), _TRACKED, "")
+    tail = F.regexp_replace(tail, "^&+|&+$", "")
+    path = F.when(bare.rlike("^https?://[^/]+$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, "^(https?://[^/]+/.+)/$", "$1"))
+    pair = F.when(tail == "", "").when(F.contains(tail, F.lit("=")), F.concat(F.lit("?"), tail)).otherwise(F.concat(F.lit("?"), tail, F.lit("=")))
+    return F.when(url.rlike(_PLAIN) & tail.rlike(_ONE_PAIR), F.concat(path, pair)).otherwise(_any_cache_key(url))
+
+
+def _any_cache_key(url: Column) -> Column:
 
     def of(p: Column) -> Column:
         plain = lambda x: F.coalesce(F.try_url_decode(x), F.regexp_replace(x, "\\+", " "))
@@ -223,18 +250,23 @@ def validate_url(url: Column, addresses: Column) -> Column:
         port = F.coalesce(p["port"].cast("int"), F.when(p["scheme"] == "https", 443).otherwise(80))
         literal = bare.rlike("^[0-9.]+$") | bare.contains(":") | bare.startswith("0x")
         known = F.coalesce(addresses, F.array().cast("array<string>"))
-        bad = F.get(F.filter(F.transform(known, classify_ip), lambda r: r.isNotNull()), F.lit(0))
+        #: Every address once, the host itself first if it is one.
+        reasons = F.transform(F.when(literal, F.array(bare)).otherwise(known), classify_ip)
+        found = F.struct(p.isNull().alias("none"), p["user"].alias("user"), classify_host(bare).alias("host"), classify_port(port).alias("port"), literal.alias("literal"), F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)).alias("ip"))
+        return let(found, told)
+
+    def told(f: Column) -> Column:
         return (
             F.when(F.coalesce(scheme, F.lit("")) == "", no("INVALID_URL", "not a valid absolute URL"))
             .when(~scheme.isin("http", "https"), no("INVALID_URL", F.concat(F.lit("unsupported scheme "), scheme)))
-            .when(p.isNull(), no("INVALID_URL", "not a valid absolute URL"))
-            .when(p["user"].isNotNull(), no("BLOCKED_URL", "URLs containing credentials are not allowed"))
-            .when(classify_host(bare).isNotNull(), no("BLOCKED_URL", classify_host(bare)))
-            .when(classify_port(port).isNotNull(), no("BLOCKED_URL", classify_port(port)))
-            .when(literal & classify_ip(bare).isNotNull(), no("BLOCKED_URL", classify_ip(bare)))
-            .when(literal, F.lit(None))
-            .when(F.size(known) == 0, no("INVALID_URL", "hostname did not resolve"))
-            .when(bad.isNotNull(), no("BLOCKED_URL", F.concat(F.lit("resolved "), bad)))
+            .when(f["none"], no("INVALID_URL", "not a valid absolute URL"))
+            .when(f["user"].isNotNull(), no("BLOCKED_URL", "URLs containing credentials are not allowed"))
+            .when(f["host"].isNotNull(), no("BLOCKED_URL", f["host"]))
+            .when(f["port"].isNotNull(), no("BLOCKED_URL", f["port"]))
+            .when(f["literal"] & f["ip"].isNotNull(), no("BLOCKED_URL", f["ip"]))
+            .when(f["literal"], F.lit(None))
+            .when(F.size(F.coalesce(addresses, F.array().cast("array<string>"))) == 0, no("INVALID_URL", "hostname did not resolve"))
+            .when(f["ip"].isNotNull(), no("BLOCKED_URL", F.concat(F.lit("resolved "), f["ip"])))
         )
 
     return let(url_parts(url), of)

@@ -67,7 +67,7 @@ def _matched(segments: Column, terms: list[str]) -> Column:
     forms = T.term_forms(terms)
     quoted = "|".join(re.escape(f) for f in sorted(forms, key=len, reverse=True))
     edge = "\\p{L}\\p{N}'"
-    maybe = f"(?i)(?<![{edge}‘’ʼ`])(?:" + "|".join(re.escape(t).replace("'", "['‘’ʼ`]") for t in terms) + ")"
+    maybe = f"(?<![{edge}‘’ʼ`])(?:" + "|".join(re.escape(t).replace("'", "['‘’ʼ`]") for t in terms) + ")"
     token, run = f"(?<![{edge}])({quoted})(?![{edge}])", f"(?<![{edge}])((?:{quoted})(?:\\s+(?:{quoted}))+)(?![{edge}])"
     name = {f: terms.index(t) for f, t in forms.items()}
     #: A form as the number of its term.
@@ -82,7 +82,7 @@ def _matched(segments: Column, terms: list[str]) -> Column:
         hits = F.transform(F.regexp_extract_all(s["plain"], F.lit(token), F.lit(1)), number)
         return let(hits, lambda h: F.struct(s["s"].alias("s"), s["i"].alias("i"), F.array_distinct(h).alias("terms"), F.when(F.size(h) > 1, pairs(s["plain"])).otherwise(0).alias("adjacent")))
 
-    numbered = F.filter(F.transform(segments, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"]["text"].rlike(maybe))
+    numbered = F.filter(F.transform(segments, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.lower(x["s"]["text"]).rlike(maybe))
     plain = F.transform(numbered, lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"), T.plain(x["s"]["text"]).alias("plain")))
     return F.filter(F.transform(plain, one), lambda x: F.size(x["terms"]) > 0)
 
