@@ -84,3 +84,25 @@ def test_worked_example(spark):
     r = evidence.rank(spark.createDataFrame([(text_,)], "text string"), "Is Rotamech Industries a manufacturer of centrifugal pumps?")
     best = r.first()["candidates"][0]
     assert best["coverage"] == 1.0 and best["relevance"] == "direct" and best["rank"] == 1
+
+
+def test_backslashes_hide_no_host(spark):
+    cases = ["http://localhost\\x/", "http://127.0.0.1\\x/", "http:\\\\localhost\\x", "HTTP:/\\0x7f.1\\x", "http://user\\@localhost/", "http://１２７.0.0.1/", "https://e.com\\a?b=\\c"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, u string")
+    got = rows.select("i", urls.validate_url(F.col("u"), F.array(F.lit("8.8.8.8"))).alias("v"), urls.host_of(F.col("u")).alias("h"), urls.safe_url(F.col("u")).alias("s"), urls.cache_key(F.col("u")).alias("k")).orderBy("i").collect()
+    assert [r["v"] and r["v"]["code"] for r in got] == ["BLOCKED_URL", "BLOCKED_URL", "BLOCKED_URL", "BLOCKED_URL", None, "INVALID_URL", None]
+    assert got[0]["h"] == "localhost" and got[4]["h"] == "user" and got[6]["s"] == "https://e.com/a" and got[6]["k"] == "https://e.com/a?b=%5Cc"
+
+
+def test_plain_canonical_urls_equal_others(spark):
+    """The compiled way of cache_key gives what the full one gives."""
+    tails = ["", "/", "/x", "/x/", "/x//", "//", "/x?page=2&ref=x", "/x?utm_a=1&b=2&utm_c=3", "/x?b", "/x?b&c", "/x?=", "/x?a=b=c", "/x?&&a=1&&", "/x?#f", "/x#f?g=1", "/.x", "/x/../y", "/%2e%2e/y", "/x?refer=1&REF=2", "/x?a=%41", "/x?a=1+2", "/x y", "/x?gclid", "/?q=1&gclid=", "/x/?utm_=1", "/x?a=1&b=2", "/a.b/c..d", "/x\n", "/x?xutm_a=1", "/x?a=1&ref", "/x?-=1", "/x?ref=1&ref=2&c=3", "/x?c=3&ref&d"]
+    cases = [h + t for h in ("https://a.com", "http://b-c.x1.org", "https://a.0x1f", "https://1.2", "https://A.com", "https://a.com.", "https://a.com:443") for t in tails]
+    rows = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert rows.select("u", urls.cache_key(F.col("u")).alias("a"), urls._any_cache_key(F.col("u")).alias("b")).filter("NOT a <=> b").collect() == []
+
+
+def test_matches_beyond_ascii_in_any_case(spark):
+    rows = spark.createDataFrame([(1, "Die öffnung heute."), (2, "Öffnung heute um neun."), (3, "ÖFFNUNG!"), (4, "Nichts davon."), (5, "İSTANBUL")], "i int, text string")
+    assert [r["i"] for r in evidence.candidates(evidence.rank(rows, "Öffnung"), "i").orderBy("i").collect()] == [1, 2, 3]
+    assert [r["i"] for r in evidence.candidates(evidence.rank(rows, "İstanbul"), "i").collect()] == [5]

@@ -41,22 +41,28 @@ _TRACKED = "(?i)(?:^|&)(?:utm_[^=&]*|" + "|".join(TRACKING) + ")(?:=[^&]*)?(?=&|
 _ONE_PAIR = "^[A-Za-z0-9._*-]*(?:=[A-Za-z0-9._*-]*)?$"
 
 
+def _slashed(raw: Column) -> Column:
+    """The text with backslashes before a query or fragment as slashes."""
+    return let(F.regexp_extract(raw, "^[^?#]*", 0), lambda head: F.concat(F.translate(head, "\\", "/"), F.substring(raw, F.length(head) + 1, F.length(raw))))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\x00-\\x20]+$|[\\t\\n\\r]", "")
+
+
 def _cleaned(url: Column) -> Column:
     """A URL as parsers read it: control characters off both ends, tabs and line ends gone, and backslashes before the
     query of an http(s) URL are slashes (`http://localhost\\x` is a path of localhost)."""
-    raw = F.regexp_replace(url, "^[\\x00-\\x20]+|[\\x00-\\x20]+$|[\\t\\n\\r]", "")
-    head = F.regexp_extract(raw, "^[^?#]*", 0)
-    slashed = F.concat(F.translate(head, "\\", "/"), F.substring(raw, F.length(head) + 1, F.length(raw)))
-    return F.when(raw.rlike("(?i)^https?:[^?#]*\\\\"), slashed).otherwise(raw)
+    return let(_stripped(url), lambda raw: F.when(raw.rlike("(?i)^https?:[^?#]*\\\\"), _slashed(raw)).otherwise(raw))
 
 
 def url_parts(url: Column) -> Column:
     """scheme, user (null without one), host, port (text, null for none or the default), path (at least `/`, dot segments
     resolved), query of an http(s) URL; a null struct for anything else, an empty host or an impossible port. Hosts are
     lower-cased, numeric ones written as four decimal parts; a host beyond ASCII is refused like an impossible one (write
-    it in its ASCII form first). A null URL gives null."""
-    raw = _cleaned(url)
-    part = lambda k: F.regexp_extract(raw, _FORM, k)
+    it in its ASCII form first). A null URL gives null.
+
+    Every value that is named more than once is bound by let(): expressions that repeat others grow beyond planning."""
 
     def of(p: Column) -> Column:
         number = p["number"]
@@ -71,26 +77,35 @@ def url_parts(url: Column) -> Column:
             F.when(F.regexp_replace(p["user"], ":", "") != "", p["user"]).alias("user"),
             host.alias("host"),
             F.when(port != default, port.cast("string")).alias("port"),
-            _resolved(F.regexp_replace(p["path"], " ", "%20")).alias("path"),
+            let(F.regexp_replace(p["path"], " ", "%20"), _resolved).alias("path"),
             p["query"].alias("query"),
         )
-        return F.when(~bad & ~odd_port & raw.rlike(_FORM), made)
+        return F.when(p["formed"] & ~bad & ~odd_port, made)
 
-    host = F.regexp_replace(F.lower(part(3)), "\\.$", "")
-    named = F.when(F.lower(part(3)).rlike("^[^0-9]+\\.$"), F.lower(part(3))).otherwise(host)
-    return let(F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), named.alias("host"), parse_ipv4(host).alias("number"), part(4).alias("port"), part(5).alias("path"), part(6).alias("query")), of)
+    def named(g: Column) -> Column:
+        bare = F.regexp_replace(g["host"], "\\.$", "")
+        host = F.when(g["host"].rlike("^[^0-9]+\\.$"), g["host"]).otherwise(bare)
+        fields = [g[c].alias(c) for c in ("formed", "scheme", "user", "port", "path", "query")]
+        return let(F.struct(*fields, host.alias("host"), parse_ipv4(bare).alias("number")), of)
+
+    def taken(raw: Column) -> Column:
+        part = lambda k: F.regexp_extract(raw, _FORM, k)
+        return let(F.struct(raw.rlike(_FORM).alias("formed"), F.lower(part(1)).alias("scheme"), part(2).alias("user"), F.lower(part(3)).alias("host"), part(4).alias("port"), part(5).alias("path"), part(6).alias("query")), named)
+
+    return let(_cleaned(url), taken)
 
 
 def _resolved(path: Column) -> Column:
-    """A path with `.` and `..` segments worked out; empty becomes `/`."""
+    """A path (a bound value) with `.` and `..` segments worked out; empty becomes `/`."""
     plain = lambda x: F.regexp_replace(F.lower(x), "%2e", ".")
-    last = F.lit("")
-    steps = F.slice(F.split(path, "/"), 2, 1 << 30)
     up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    done = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(plain(x) == "..", up(a)).when(plain(x) == ".", a).otherwise(F.concat(a, F.array(x))))
-    ends = plain(F.element_at(F.split(path, "/"), -1)).isin(".", "..")
-    text = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(ends & (F.size(done) > 0), "/").otherwise(last))
-    return F.when(~path.rlike("(?i)(^|/)(\\.|%2e){1,2}(/|$)"), F.when(path == "", "/").otherwise(path)).otherwise(text)
+    step = lambda a, x: F.when(plain(x) == "..", up(a)).when(plain(x) == ".", a).otherwise(F.concat(a, F.array(x)))
+
+    def dotted(steps: Column) -> Column:
+        ends = plain(F.element_at(steps, -1)).isin(".", "..")
+        return let(F.aggregate(F.slice(steps, 2, 1 << 30), F.array().cast("array<string>"), step), lambda done: F.concat(F.lit("/"), F.array_join(done, "/"), F.when(ends & (F.size(done) > 0), "/").otherwise("")))
+
+    return F.when(~path.rlike("(?i)(^|/)(\\.|%2e){1,2}(/|$)"), F.when(path == "", "/").otherwise(path)).otherwise(let(F.split(path, "/"), dotted))
 
 
 def host_of(url: Column) -> Column:
@@ -154,23 +169,29 @@ def parse_ipv4(host: Column) -> Column:
 
 def classify_ipv4(value: Column) -> Column:
     """Why the numeric address must not be fetched (first matching block), or null."""
-    out = None
-    for base, bits, reason in BLOCKS_V4:
-        a, b, c, d = map(int, base.split("."))
-        lo = (a << 24) + (b << 16) + (c << 8) + d
-        hit = value.between(lo, lo + (1 << (32 - bits)) - 1)
-        out = F.when(hit, reason) if out is None else out.when(hit, reason)
-    return out
+
+    def of(n: Column) -> Column:
+        out = None
+        for base, bits, reason in BLOCKS_V4:
+            a, b, c, d = map(int, base.split("."))
+            lo = (a << 24) + (b << 16) + (c << 8) + d
+            hit = n.between(lo, lo + (1 << (32 - bits)) - 1)
+            out = F.when(hit, reason) if out is None else out.when(hit, reason)
+        return out
+
+    return let(value, of)
 
 
 def classify_host(host: Column) -> Column:
     """Why the host name must not be fetched, or null."""
-    h = F.regexp_replace(F.lower(host), "\\.$", "")
-    out = F.when(h == "", "empty hostname").when(h.isin(BAD_HOSTS), F.concat(F.lit("internal hostname ("), h, F.lit(")")))
-    for s in BAD_SUFFIXES:
-        out = out.when((h == s[1:]) | h.endswith(s), f"internal hostname suffix ({s})")
-    numeric = classify_ipv4(parse_ipv4(h))
-    return out.when(h.rlike("^[0-9a-fx.]+$") & numeric.isNotNull(), F.concat(F.lit("numeric host "), numeric))
+
+    def of(h: Column) -> Column:
+        out = F.when(h == "", "empty hostname").when(h.isin(BAD_HOSTS), F.concat(F.lit("internal hostname ("), h, F.lit(")")))
+        for s in BAD_SUFFIXES:
+            out = out.when((h == s[1:]) | h.endswith(s), f"internal hostname suffix ({s})")
+        return out.when(h.rlike("^[0-9a-fx.]+$"), let(classify_ipv4(parse_ipv4(h)), lambda r: F.concat(F.lit("numeric host "), r)))
+
+    return let(F.regexp_replace(F.lower(host), "\\.$", ""), of)
 
 
 def classify_port(port: Column) -> Column:
@@ -187,10 +208,6 @@ _DOTTED = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1
 def expand_ipv6(address: Column) -> Column:
     """The 8 groups of an address as numbers, or null. A zone is cut off. Groups of an embedded IPv4 address count as zero
     after `::`; without `::` such an address is not accepted."""
-    bare = F.substring_index(address, "%", 1)
-    tail = F.substring_index(bare, ":", -1)
-    dotted = F.contains(tail, F.lit("."))
-    text = F.when(dotted, F.concat(F.substring(bare, F.lit(1), F.length(bare) - F.length(tail)), F.lit("0:0"))).otherwise(bare)
     cut = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
 
     def of(p: Column) -> Column:
@@ -207,7 +224,13 @@ def expand_ipv6(address: Column) -> Column:
 
         return let(F.struct(head.alias("h"), rest.alias("r")), join)
 
-    return let(F.struct(text.alias("text"), dotted.alias("dotted"), F.when(dotted, parse_ipv4(tail)).alias("v4")), of)
+    def split(x: Column) -> Column:
+        dotted = F.contains(x["tail"], F.lit("."))
+        text = F.when(dotted, F.concat(F.substring(x["bare"], F.lit(1), F.length(x["bare"]) - F.length(x["tail"])), F.lit("0:0"))).otherwise(x["bare"])
+        return let(F.struct(text.alias("text"), dotted.alias("dotted"), F.when(dotted, parse_ipv4(x["tail"])).alias("v4")), of)
+
+    bare = F.substring_index(address, "%", 1)
+    return let(F.struct(bare.alias("bare"), F.substring_index(bare, ":", -1).alias("tail")), split)
 
 
 def classify_ipv6(address: Column) -> Column:
@@ -232,41 +255,78 @@ def classify_ipv6(address: Column) -> Column:
 
 def classify_ip(address: Column) -> Column:
     """Why the IP address must not be fetched, or null; what is no IP address must not be fetched either."""
-    bare = F.substring_index(address, "%", 1)
-    plain = F.regexp_replace(bare, _DOTTED + "$", "0:0")
-    groups = F.size(F.filter(F.split(plain, ":"), lambda x: x != ""))
-    v6 = ~plain.contains(":::") & ~plain.rlike("::.*::|[^0-9a-fA-F:]|[0-9a-fA-F]{5}|^:[^:]|[^:]:$") & F.when(plain.contains("::"), groups <= 7).otherwise(groups == 8) & ~address.rlike("%$")
-    return F.when(address.rlike(f"^{_DOTTED}$"), classify_ipv4(parse_ipv4(address))).when(plain.contains(":") & v6, classify_ipv6(address)).otherwise("not a valid IP address")
+
+    def of(x: Column) -> Column:
+        plain = x["plain"]
+        groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+        v6 = ~plain.contains(":::") & ~plain.rlike("::.*::|[^0-9a-fA-F:]|[0-9a-fA-F]{5}|^:[^:]|[^:]:$") & F.when(plain.contains("::"), groups <= 7).otherwise(groups == 8) & ~x["address"].rlike("%$")
+        return F.when(x["address"].rlike(f"^{_DOTTED}$"), classify_ipv4(parse_ipv4(x["address"]))).when(plain.contains(":") & v6, classify_ipv6(x["address"])).otherwise("not a valid IP address")
+
+    plain = F.regexp_replace(F.substring_index(address, "%", 1), _DOTTED + "$", "0:0")
+    return let(F.struct(address.alias("address"), plain.alias("plain")), of)
 
 
 def validate_url(url: Column, addresses: Column) -> Column:
     """code and reason why the URL must not be fetched, the first that holds, or a null struct if it may be. `addresses`
     is what its host resolved to; null counts as nothing resolved. A null URL isn't a URL."""
     no = lambda code, reason: F.struct(F.lit(code).alias("code"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
-    scheme = F.lower(F.regexp_extract(F.trim(url), "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 
-    def of(p: Column) -> Column:
-        bare = F.regexp_replace(p["host"], "^\\[|\\]$", "")
+    def of(x: Column) -> Column:
+        p = x["parts"]
         port = F.coalesce(p["port"].cast("int"), F.when(p["scheme"] == "https", 443).otherwise(80))
-        literal = bare.rlike("^[0-9.]+$") | bare.contains(":") | bare.startswith("0x")
-        known = F.coalesce(addresses, F.array().cast("array<string>"))
-        #: Every address once, the host itself first if it is one.
-        reasons = F.transform(F.when(literal, F.array(bare)).otherwise(known), classify_ip)
-        found = F.struct(p.isNull().alias("none"), p["user"].alias("user"), classify_host(bare).alias("host"), classify_port(port).alias("port"), literal.alias("literal"), F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)).alias("ip"))
+        named = F.struct(x["scheme"].alias("scheme"), p.isNull().alias("none"), p["user"].alias("user"), F.regexp_replace(p["host"], "^\\[|\\]$", "").alias("host"), port.alias("port"), x["known"].alias("known"))
+        return let(named, judged)
+
+    def judged(x: Column) -> Column:
+        literal = x["host"].rlike("^[0-9.]+$") | x["host"].contains(":") | x["host"].startswith("0x")
+        #: Every address once: the host itself if it is one.
+        reasons = F.transform(F.when(literal, F.array(x["host"])).otherwise(x["known"]), classify_ip)
+        found = F.struct(x["scheme"].alias("scheme"), x["none"].alias("none"), x["user"].alias("user"), classify_host(x["host"]).alias("host"), classify_port(x["port"]).alias("port"), literal.alias("literal"), F.size(x["known"]).alias("n"), F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)).alias("ip"))
         return let(found, told)
 
     def told(f: Column) -> Column:
         return (
-            F.when(F.coalesce(scheme, F.lit("")) == "", no("INVALID_URL", "not a valid absolute URL"))
-            .when(~scheme.isin("http", "https"), no("INVALID_URL", F.concat(F.lit("unsupported scheme "), scheme)))
+            F.when(F.coalesce(f["scheme"], F.lit("")) == "", no("INVALID_URL", "not a valid absolute URL"))
+            .when(~f["scheme"].isin("http", "https"), no("INVALID_URL", F.concat(F.lit("unsupported scheme "), f["scheme"])))
             .when(f["none"], no("INVALID_URL", "not a valid absolute URL"))
             .when(f["user"].isNotNull(), no("BLOCKED_URL", "URLs containing credentials are not allowed"))
             .when(f["host"].isNotNull(), no("BLOCKED_URL", f["host"]))
             .when(f["port"].isNotNull(), no("BLOCKED_URL", f["port"]))
             .when(f["literal"] & f["ip"].isNotNull(), no("BLOCKED_URL", f["ip"]))
             .when(f["literal"], F.lit(None))
-            .when(F.size(F.coalesce(addresses, F.array().cast("array<string>"))) == 0, no("INVALID_URL", "hostname did not resolve"))
+            .when(f["n"] == 0, no("INVALID_URL", "hostname did not resolve"))
             .when(f["ip"].isNotNull(), no("BLOCKED_URL", F.concat(F.lit("resolved "), f["ip"])))
         )
 
-    return let(url_parts(url), of)
+    scheme = F.lower(F.regexp_extract(F.trim(url), "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    known = F.coalesce(addresses, F.array().cast("array<string>"))
+    return let(F.struct(scheme.alias("scheme"), url_parts(url).alias("parts"), known.alias("known")), of)
+
+
+# --- resolving ------------------------------------------------------------------------------------------------
+
+
+def write_url(url: Column) -> Column:
+    """An http(s) URL as parsers write it, without its fragment; null for what isn't one."""
+    made = lambda p: F.concat(p["scheme"], F.lit("://"), F.coalesce(F.concat(p["user"], F.lit("@")), F.lit("")), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")), p["path"], F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))
+    return let(url_parts(url), made)
+
+
+def resolve_url(base: Column, reference: Column) -> Column:
+    """What a reference on the page `base` points to, as write_url() has it: a whole URL, or one that takes the scheme, the
+    host, the folder or the whole path from the base. Null if that is no http(s) URL; an empty reference is the base."""
+
+    def joined(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        origin = F.concat(p["scheme"], F.lit("://"), F.coalesce(F.concat(p["user"], F.lit("@")), F.lit("")), p["host"], F.coalesce(F.concat(F.lit(":"), p["port"]), F.lit("")))
+        query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+        return (
+            F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+            .when(r.startswith("//"), F.concat(p["scheme"], F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(origin, r))
+            .when(r.startswith("?"), F.concat(origin, p["path"], r))
+            .when(r.rlike("^(#|$)"), F.concat(origin, p["path"], query))
+            .otherwise(F.concat(origin, F.regexp_extract(p["path"], "^.*/", 0), r))
+        )
+
+    return write_url(let(F.struct(url_parts(base).alias("p"), let(_stripped(reference), _slashed).alias("r")), joined))
