@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
-from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import StringType
 
 # Fixed values.
 FREE_METHODS = ["initialize", "notifications/initialized", "notifications/cancelled", "tools/list", "resources/list", "resources/templates/list", "prompts/list", "ping"]
@@ -19,7 +18,8 @@ SECRET_KEY = "(?i)(secret|token|password|passwd|authorization|cookie|api[_-]?key
 REDACTED, TOO_DEEP, MOST_DEPTH, MOST_ITEMS = "[redacted]", "[depth-limit]", 6, 100
 TEXTUAL = ["text/html", "text/plain", "application/xhtml+xml", "application/json", "application/ld+json", "text/xml", "application/xml"]
 
-_MESSAGE = "struct<method:variant,params:variant>"
+#: Levels of lists that a response is looked through.
+MOST_NESTED = 6
 
 
 def _kind(v: Column) -> Column:
@@ -45,17 +45,23 @@ def needs_payment(body: Column, paid: list[str]) -> Column:
 
 def response_failed(body: Column, content_type: Column) -> Column:
     """Whether a JSON-RPC response, plain or as an event stream, tells of a failed call: an error, or a result with isError
-    true, alone or in a batch. Text that is no JSON fails if it holds the marker."""
+    true, alone or in a batch (batches within batches to a depth of MOST_NESTED). Text that is no JSON fails if it holds the
+    marker."""
 
     def one(v: Column) -> Column:
         error, marked = F.try_variant_get(v, "$.error", "variant"), F.try_variant_get(v, "$.result.isError", "variant")
         found = F.coalesce(_kind(error) != "VOID", F.lit(False)) | F.coalesce((_kind(marked) == "BOOLEAN") & F.try_variant_get(marked, "$", "boolean"), F.lit(False))
         return F.coalesce(_kind(v).startswith("OBJECT") & found, F.lit(False))
 
+    def opened(many: Column) -> Column:
+        return F.flatten(F.transform(many, lambda v: F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+
     def failed(text: Column) -> Column:
         v = F.try_parse_json(text)
-        many = F.try_variant_get(v, "$", "array<variant>")
-        return F.when(v.isNull(), text.rlike('"isError"\\s*:\\s*true')).when(_kind(v).startswith("ARRAY"), F.exists(many, one)).otherwise(one(v))
+        many = F.array(v)
+        for _ in range(MOST_NESTED):
+            many = opened(many)
+        return F.when(v.isNull(), text.rlike('"isError"\\s*:\\s*true')).otherwise(F.exists(many, one))
 
     text = F.trim(F.coalesce(body, F.lit("")))
     lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.regexp_extract(x, "^data:\\s*(.*)$", 1)), lambda x: x != "")
@@ -79,13 +85,40 @@ def _redact(value, depth: int = 0):
     return value
 
 
+def _number(x: float) -> str:
+    """A number as JSON writers of the web have it: 1e3 is 1000, 1.50 is 1.5, exponents only from 1e21 and below 1e-6; what is
+    too large is null."""
+    if abs(x) == float("inf"):
+        return "null"
+    if x == 0 or 1e-6 <= abs(x) < 1e21:
+        text = format(Decimal(repr(x)), "f").removesuffix(".0")
+        return "0" if x == 0 else text
+    mantissa, power = f"{Decimal(repr(x)).normalize():e}".split("e")
+    return f"{mantissa}e{int(power):+d}"
+
+
+def _written(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return _number(float(value))
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
 @F.pandas_udf(StringType())
 def redact(texts: pd.Series) -> pd.Series:
-    """JSON text with the values of secret-looking keys hidden, at any depth; null for text that is no JSON."""
+    """JSON text with the values of secret-looking keys hidden, at any depth; null for text that is no JSON (NaN and Infinity
+    are none). Numbers are doubles, as in the web's JSON."""
 
     def one(t):
         try:
-            return json.dumps(_redact(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
+            return _written(_redact(json.loads(t, parse_constant=_no_constant)))
         except (TypeError, ValueError):
             return None
 
@@ -97,25 +130,6 @@ def content_encodings(header: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: ~t.isin("", "identity"))
 
 
-@F.pandas_udf(BinaryType())
-def decode_content(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Bodies with their encodings (arrays of tokens) undone from right to left. A body with any unknown token stays as it
-    is; one that can't be decoded gives null."""
-
-    def one(body, tokens):
-        if body is None or tokens is None or not set(tokens) <= {"gzip", "x-gzip", "deflate"}:
-            return body
-        try:
-            for t in reversed(list(tokens)):
-                body = zlib.decompress(body, 15 if t == "deflate" else 31)
-            return body
-        except zlib.error:
-            return None
-
-    for bodies, tokens in batches:
-        yield pd.Series([one(b, t) for b, t in zip(bodies, tokens, strict=True)], dtype=object)
-
-
 def is_supported_type(content_type: Column) -> Column:
     """Whether the MIME type, up to `;`, is one that is read; false for null."""
     return F.coalesce(F.lower(F.trim(F.substring_index(content_type, ";", 1))).isin(TEXTUAL), F.lit(False))

@@ -310,11 +310,6 @@ def catalogue_containment(spark, d):
     return feeds.containment(items.select("item", "category"), '"category":"search"', 1)
 
 
-@query("SELECT first, least(first + 1999, 90000) AS last FROM range(3600, 90001, 2000) t(first)")
-def block_chunks(spark, d):
-    return feeds.block_chunks(spark, 90_000, 2).select("first", F.col("last").cast("bigint").alias("last"))
-
-
 @query("SELECT '0x' || lpad(CAST(o_custkey AS VARCHAR), 40, '0') AS sender, '0x' || lpad(CAST(l_suppkey AS VARCHAR), 40, '0') AS recipient, CAST(l_orderkey AS VARCHAR) AS tx FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey BETWEEN 100 AND 30000 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)")
 def transfer_scan(spark, d):
     """Log rows of a block range (order key: block) whose recipient is a wanted one."""

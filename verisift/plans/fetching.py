@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from verisift.functions import urls
+from verisift.functions import inflate, urls, wire
+from verisift.functions.common import shared_path
 from verisift.operators import redirects
 from verisift.plans.catalog import query, table
+from verisift.sources import feeds, paged
 
 # --- URLs -----------------------------------------------------------------------------------------------------
 
@@ -67,3 +70,71 @@ def redirects_followed(spark, d):
     hosts = pages.select(host.alias("host")).distinct().withColumn("addresses", F.array(F.when(F.col("host").startswith("blog."), "10.0.0.9").otherwise("8.8.8.8")))
     made = redirects.follow(pages, answers, hosts)
     return made.select("page_id", "final_url", "status", F.size("redirect_chain").alias("hops"), F.array_join("redirect_chain", " ").alias("chain"), "loops", "code")
+
+
+# --- encoded bodies -------------------------------------------------------------------------------------------
+
+_CODE = "CASE WHEN page_id % 7 = 3 THEN 'UNSUPPORTED_CONTENT_ENCODING' WHEN page_id % 7 = 5 THEN 'UPSTREAM_HTTP_FAILURE' WHEN octet_length(encode(html)) > 6000 THEN 'RESPONSE_TOO_LARGE' END"
+
+
+@query(f"""SELECT page_id, {_CODE} AS code, CASE WHEN {_CODE} IS NULL THEN octet_length(encode(html)) END AS bytes, CASE WHEN {_CODE} IS NULL THEN sha256(html) END AS body_hash FROM pages""")
+def encoded_bodies(spark, d):
+    """Pages as they come over the wire: gzip of one and of several members, deflate, both, plain; some with an unknown
+    encoding, some cut short; at most 6,000 bytes once decoded."""
+    gz, de = inflate.encoder("gzip"), inflate.encoder("deflate")
+    ways = [(lambda b: b, ""), (gz, "gzip"), (lambda b: b"".join(gz(b[i : i + 700]) for i in range(0, len(b), 700)), "x-gzip"), (de, "deflate"), (lambda b: de(gz(b)), "gzip, deflate")]
+
+    @F.pandas_udf("wire binary, encoding string")
+    def sent(ids: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        rows = []
+        for i, b in zip(ids, bodies, strict=True):
+            make, name = ways[4 if i % 7 == 5 else i % 5]
+            made = make(b.encode())
+            rows.append((made[: len(made) // 2] if i % 7 == 5 else made, name + ", br" * (i % 7 == 3)))
+        return pd.DataFrame(rows, columns=["wire", "encoding"])
+
+    rows = table(spark, d, "pages").select("page_id", sent("page_id", "html").alias("s"))
+    got = rows.select("page_id", inflate.decoded(F.col("s.wire"), wire.content_encodings(F.col("s.encoding")), 6000).alias("d"))
+    ok = F.col("d.code").isNull()
+    return got.select("page_id", "d.code", F.when(ok, F.col("d.bytes")).alias("bytes"), F.when(ok, F.sha2("d.body", 256)).alias("body_hash"))
+
+
+# --- paged sources --------------------------------------------------------------------------------------------
+
+HEAD, DAYS = 50_000, 2
+_TRANSFERS = "SELECT '0x' || lpad(CAST(o_custkey AS VARCHAR), 40, '0') AS sender, '0x' || lpad(CAST(l_suppkey AS VARCHAR), 40, '0') AS recipient, l_orderkey AS block FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _log(spark, d) -> str:
+    """A transfer log made of line items (block: order key), written in chunks."""
+    pad = lambda c: F.concat(F.lit("0x" + "0" * 24), F.lpad(F.col(c).cast("string"), 40, "0"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    path = shared_path(spark, "log")
+    paged.write_log(rows.select(F.col("l_orderkey").alias("block"), F.col("l_orderkey").cast("string").alias("tx"), F.array(F.lit("transfer"), pad("o_custkey"), pad("l_suppkey")).alias("topics")), path, HEAD, DAYS)
+    return path
+
+
+@query(f"SELECT sender, recipient, count(*) AS n FROM ({_TRANSFERS}) JOIN supplier ON recipient = '0x' || lpad(CAST(s_suppkey AS VARCHAR), 40, '0') WHERE s_nationkey < 12 AND block BETWEEN 100 AND 30000 GROUP BY ALL")
+def paged_log_transfers(spark, d):
+    """Transfers to wanted recipients in a range of blocks, read chunk by chunk."""
+    wanted = table(spark, d, "supplier").filter("s_nationkey < 12").select(F.concat(F.lit("0x"), F.lpad(F.col("s_suppkey").cast("string"), 40, "0")).alias("address"))
+    return feeds.transfers(paged.read_log(spark, _log(spark, d), HEAD, DAYS), wanted, 100, 30_000).groupBy("sender", "recipient").agg(F.count("*").alias("n"))
+
+
+@query("SELECT first, least(first + 1999, 50000) AS last, count(l_orderkey) AS n FROM range(1, 50001, 2000) t(first) LEFT JOIN lineitem ON l_orderkey BETWEEN first AND least(first + 1999, 50000) GROUP BY ALL")
+def block_chunks(spark, d):
+    """Every chunk of the last days with its number of log rows."""
+    rows = paged.read_log(spark, _log(spark, d), HEAD, DAYS).groupBy((F.col("block") - (F.col("block") - 1) % feeds.CHUNK).alias("first")).agg(F.count("*").alias("n"))
+    return feeds.block_chunks(spark, HEAD, DAYS).join(rows, "first", "left").select("first", F.col("last").cast("bigint").alias("last"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""WITH i AS (SELECT p_partkey AS place, p_name, p_retailprice, p_size FROM part)
+SELECT place - place % 300 AS "offset", count(*) AS items, (SELECT count(*) FROM i) AS total, CAST(sum(p_size) AS DOUBLE) AS calls, min(p_name) AS first_name, count_if(p_retailprice > 1000) AS dear FROM i GROUP BY place - place % 300""")
+def paged_catalogue(spark, d):
+    """Parts as catalogue items in pages of 300, read back page by page."""
+    part = table(spark, d, "part")
+    item = F.struct(F.col("p_name").alias("resource"), F.array(F.struct(F.round(F.col("p_retailprice") * 100).cast("long").cast("string").alias("amount"))).alias("accepts"), F.struct(F.col("p_size").alias("l30DaysTotalCalls")).alias("quality"))
+    path = shared_path(spark, "pages")
+    paged.write_pages(part.select(F.col("p_partkey").alias("place"), item.alias("item")), path, page=300)
+    read = paged.read_pages(spark, path, 300)
+    return read.groupBy("offset").agg(F.count("*").alias("items"), F.max("total").alias("total"), F.round(F.sum("quality.l30DaysTotalCalls"), 4).alias("calls"), F.min("resource").alias("first_name"), F.count_if(F.col("accepts")[0]["amount"].cast("long") > 100_000).alias("dear"))
