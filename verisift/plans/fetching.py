@@ -74,13 +74,13 @@ def redirects_followed(spark, d):
 
 # --- encoded bodies -------------------------------------------------------------------------------------------
 
-_CODE = "CASE WHEN page_id % 7 = 3 THEN 'UNSUPPORTED_CONTENT_ENCODING' WHEN page_id % 7 = 5 THEN 'UPSTREAM_HTTP_FAILURE' WHEN octet_length(encode(html)) > 6000 THEN 'RESPONSE_TOO_LARGE' END"
+_CODE = "CASE WHEN octet_length(encode(html)) > 6000 THEN 'RESPONSE_TOO_LARGE' WHEN page_id % 7 = 3 THEN 'UNSUPPORTED_CONTENT_ENCODING' WHEN page_id % 7 = 5 THEN 'UPSTREAM_HTTP_FAILURE' END"
 
 
 @query(f"""SELECT page_id, {_CODE} AS code, CASE WHEN {_CODE} IS NULL THEN octet_length(encode(html)) END AS bytes, CASE WHEN {_CODE} IS NULL THEN sha256(html) END AS body_hash FROM pages""")
 def encoded_bodies(spark, d):
     """Pages as they come over the wire: gzip of one and of several members, deflate, both, plain; some with an unknown
-    encoding, some cut short; at most 6,000 bytes once decoded."""
+    encoding, some without their last bytes; at most 6,000 bytes once decoded."""
     gz, de = inflate.encoder("gzip"), inflate.encoder("deflate")
     ways = [(lambda b: b, ""), (gz, "gzip"), (lambda b: b"".join(gz(b[i : i + 700]) for i in range(0, len(b), 700)), "x-gzip"), (de, "deflate"), (lambda b: de(gz(b)), "gzip, deflate")]
 
@@ -88,9 +88,9 @@ def encoded_bodies(spark, d):
     def sent(ids: pd.Series, bodies: pd.Series) -> pd.DataFrame:
         rows = []
         for i, b in zip(ids, bodies, strict=True):
-            make, name = ways[4 if i % 7 == 5 else i % 5]
+            make, name = ways[4 if i % 7 == 5 else 0 if i % 7 == 3 else i % 5]
             made = make(b.encode())
-            rows.append((made[: len(made) // 2] if i % 7 == 5 else made, name + ", br" * (i % 7 == 3)))
+            rows.append((made[:-4] if i % 7 == 5 else made, name + ", br" * (i % 7 == 3)))
         return pd.DataFrame(rows, columns=["wire", "encoding"])
 
     rows = table(spark, d, "pages").select("page_id", sent("page_id", "html").alias("s"))
