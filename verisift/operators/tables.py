@@ -1,4 +1,4 @@
-"""Keyed tables, usage reports, admission control, catalogue demand, payers, robots rules and weather records."""
+"""Keyed tables, usage reports, admission control, catalogue demand, payers and listing checks."""
 
 from __future__ import annotations
 
@@ -286,22 +286,3 @@ def page_links(html: Column, base: str) -> Column:
 
 def matching_lines(text: Column, needle: str) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.contains(needle)))
-
-
-# --- robots ---------------------------------------------------------------------------------------------------
-
-
-def robots_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """id, path, allowed and the deciding rule for each (id, path): the longest matching rule decides, allow wins ties, none
-    means allowed (rule null). Rows equal in origin, id and path are judged alike.
-
-    Rules (origin, allow, path) join on the origin; `*` matches anything and a closing `$` ends the path."""
-    quoted = F.regexp_replace("rule_path", "([.+?^(){}|\\[\\]\\\\])", "\\\\$1")
-    ends = F.col("rule_path").endswith("$")
-    body = F.when(ends, F.substring(quoted, F.lit(1), F.length(quoted) - 1)).otherwise(quoted)
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(body, "\\$", "\\\\\\$"), "\\*", ".*"), F.when(ends, "$").otherwise(""))
-    own = rules.select("origin", "allow", F.col("path").alias("rule_path")).filter("rule_path <> ''").withColumn("pattern", pattern)
-    asked = urls.select("origin", "path").distinct()
-    hits = asked.join(own, "origin").filter(F.expr("path rlike pattern"))
-    best = hits.groupBy("origin", "path").agg(F.max_by(F.struct("allow", F.col("rule_path").alias("rule")), F.struct(F.length("rule_path"), F.col("allow"))).alias("b"))
-    return urls.join(best, ["origin", "path"], "left").select("id", "path", F.coalesce("b.allow", F.lit(True)).alias("allowed"), F.col("b.rule").alias("rule"))

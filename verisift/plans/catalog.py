@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verisift.functions import classify, text, urls
 from verisift.functions.common import spread
-from verisift.operators import evidence, tables
+from verisift.operators import evidence, robots, tables
 from verisift.sources import html
 
 QUESTION = "What tion and ing or ble for thed?"
@@ -255,7 +255,7 @@ b AS (SELECT id, arg_max(allow, length(r.path) * 2 + allow::INT) AS allow FROM u
 SELECT id, path, coalesce(allow, true) AS allowed FROM u LEFT JOIN b USING (id)""")
 def robots_verdict(spark, d):
     u = table(spark, d, "pages").select(F.col("page_id").alias("id"), urls.host_of(F.col("url")).alias("origin"), F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1).alias("path"))
-    return tables.robots_verdict(u, spark.createDataFrame(RULES, "origin string, allow boolean, path string")).select("id", "path", "allowed")
+    return robots.verdicts(u, spark.createDataFrame(RULES, "origin string, allow boolean, path string")).select("id", "path", "allowed")
 
 
 # --- keyed table, usage ---------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verisift.functions import urls, wire
-from verisift.operators import requests, tables
+from verisift.operators import requests, robots, tables
 from verisift.plans.catalog import _ITEMS, _MOVES, _items, _moves, query, table
 from verisift.sources import feeds
 
@@ -256,7 +256,7 @@ SELECT page_id, CASE WHEN origin LIKE '%e%' AND path LIKE '/en/%' AND path NOT L
 def robots_gate(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), urls.host_of(F.col("url")).alias("origin"), F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1).alias("path"))
     bodies = pages.select("origin").distinct().withColumn("body", F.when(F.col("origin").contains("e"), "User-agent: *\nDisallow: /en/\nAllow: /en/1"))
-    seen = tables.robots_verdict(pages, feeds.parse_robots(bodies, "VerisiftBot"))
+    seen = robots.verdicts(pages, feeds.parse_robots(bodies, "VerisiftBot"))
     return seen.select(F.col("id").alias("page_id"), requests.source_gate(F.lit("text/html"), F.lit(1), F.lit(1), F.col("allowed"), F.col("rule"), policy="enforce")["code"].alias("code"))
 
 

@@ -5,6 +5,8 @@ Nothing here goes out to the network: pages, catalogue pages and logs are read f
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +78,12 @@ def find_rank(body: Column, path: str, field: str, wanted: str) -> Column:
 
 def parse_robots(files: DataFrame, agent: str, origin: str = "origin", body: str = "body", limit: int = 128 * 1024) -> DataFrame:
     """origin, allow, path of the rules for an agent: groups of consecutive user-agent lines; groups that name an agent whose
-    token ours starts with come before those for `*` alone. Comments go; an empty disallow is no rule. A null body, or no
-    group for the agent, gives no rules. One body (at most `limit` characters are read) is one small group of lines."""
-    lines = files.select(origin, F.posexplode(F.split(F.substring(body, 1, limit), "\r?\n")).alias("pos", "raw"))
+    token ours starts with come before those for `*` alone. Ours is the product name of the agent, up to a slash or blank.
+    Comments go; an empty disallow is no rule. A null body, one of more than `limit` bytes, which is refused whole, or no
+    group for the agent, gives no rules. One body is one small group of lines."""
+    token = re.split(r"[\s/]", agent)[0].lower()
+    read = files.filter(F.octet_length(body) <= limit)
+    lines = read.select(origin, F.posexplode(F.split(body, "\r?\n")).alias("pos", "raw"))
     line = F.trim(F.regexp_replace("raw", "#.*$", ""))
     lines = lines.withColumn("line", line).filter(F.col("line").contains(":"))
     field, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.expr("substring(line, instr(line, ':') + 1)"))
@@ -87,7 +92,7 @@ def parse_robots(files: DataFrame, agent: str, origin: str = "origin", body: str
     starts = (F.col("field") == "user-agent") & ~F.coalesce(F.col("was") == "user-agent", F.lit(False))
     lines = lines.withColumn("grp", F.sum(starts.cast("int")).over(by)).filter("grp > 0 AND field IN ('user-agent', 'allow', 'disallow')")
     name = F.lower("value")
-    hit = (name == "*") | ((name != "") & F.lit(agent.lower()).startswith(name))
+    hit = (name == "*") | ((name != "") & F.lit(token).startswith(name))
     named = F.col("field") == "user-agent"
     groups = lines.groupBy(origin, "grp").agg(F.bool_or(F.when(named, hit)).alias("ours"), F.bool_or(F.when(named, name != "*")).alias("special")).filter("ours")
     best = groups.groupBy(origin).agg(F.bool_or("special").alias("any_special"))
