@@ -74,12 +74,6 @@ def cache_delete(table: DataFrame, keys: DataFrame, key: str = "key") -> DataFra
     return table.join(keys.select(key), key, "left_anti")
 
 
-def cache_write(table: DataFrame, writes: DataFrame, n: int, path: str) -> DataFrame:
-    """The table after an upsert and retention of the n newest rows, written to a new path and read back."""
-    cache_retain(cache_upsert(table.unionByName(writes)), n).write.parquet(path)
-    return table.sparkSession.read.parquet(path)
-
-
 def cache_live(table: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
     return table.filter(F.col(expires) > now)
 

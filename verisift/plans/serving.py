@@ -6,10 +6,13 @@ and calls.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.operators import evidence, scoring
-from verisift.plans.catalog import QUESTION, evidence_sql, query, table
+from verisift.functions.common import shared_path
+from verisift.operators import evidence, scoring, store
+from verisift.plans.catalog import _WRITES, QUESTION, _writes, evidence_sql, query, table
+from verisift.streaming import stateful
 
 # --- scoring --------------------------------------------------------------------------------------------------
 
@@ -52,3 +55,59 @@ def ranker_orders(spark, d):
     order = F.when(F.col("doc_id") % 3 == 0, back).when(F.col("doc_id") % 3 == 1, F.concat(back, F.array(F.lit(0)))).otherwise(F.transform(back, lambda i: i + 1))
     made = scoring.apply_order(r.withColumn("places", order), "places").select("doc_id", "reordered", F.posexplode("candidates").alias("p", "c"))
     return made.select("doc_id", (F.col("p") + 1).alias("place"), "c.segment", "reordered")
+
+
+# --- keyed table ----------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH l AS (SELECT * FROM {_WRITES} QUALIFY row_number() OVER (PARTITION BY key ORDER BY stored_at DESC, seq DESC) = 1),
+k AS (SELECT * FROM l WHERE key % 5 <> 0 AND expires_at > TIMESTAMP '2024-01-12 00:00:00')
+SELECT key, seq, bytes FROM k ORDER BY stored_at DESC, key DESC LIMIT 300""")
+def store_merged(spark, d):
+    """A keyed table after two merges, deletions, expiry and retention of the 300 newest rows."""
+    writes = _writes(spark, d)
+    t = store.KeyedTable(spark, shared_path(spark, "store"), "key long, seq long, stored_at timestamp_ntz, expires_at timestamp_ntz, bytes long" if dict(writes.dtypes)["stored_at"] == "timestamp_ntz" else "key long, seq long, stored_at timestamp, expires_at timestamp, bytes long", buckets=16)
+    t.put(writes.filter("seq % 2 = 1"))
+    t.put(writes.filter("seq % 2 = 0"))
+    t.delete(writes.filter("key % 5 = 0").select("key"))
+    t.purge(F.lit("2024-01-12 00:00:00").cast("timestamp"))
+    t.retain(300)
+    return t.rows().select("key", "seq", "bytes")
+
+
+# --- streams --------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, d, run, schema: str) -> DataFrame:
+    """What a stream makes of all events, by a sink of files in the shared folder."""
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    out, seen = shared_path(spark, "stream"), shared_path(spark, "progress")
+    q = run(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 3 AS allowed FROM events")
+def quota_stream(spark, d):
+    made = _streamed(spark, d, lambda e: stateful.client_quota_stream(e, 3), "tie long, key string, allowed boolean, late boolean")
+    return made.select(F.col("tie").alias("event_id"), "allowed")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT e.*, true AS allowed, CAST(2 AS DOUBLE) AS lft FROM e WHERE i = 1
+ UNION ALL SELECT event_id, user_id, t, i, have >= 1 AS allowed, CASE WHEN have >= 1 THEN have - 1 ELSE have END AS lft FROM (
+  SELECT e.*, least(3.0, r.lft + (e.t - r.t) * (CAST(0.001 AS DOUBLE) / 60)) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, allowed FROM r""")
+def bucket_stream(spark, d):
+    made = _streamed(spark, d, lambda e: stateful.bounded_bucket_stream(e, 0.001, 2.999, most=1 << 40), "tie long, key string, allowed boolean, retry_seconds long")
+    return made.select(F.col("tie").alias("event_id"), "allowed")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, t AS fetched, false AS hit FROM e WHERE i = 1
+ UNION ALL SELECT e.event_id, e.user_id, e.i, CASE WHEN e.t - r.fetched < 86400 THEN r.fetched ELSE e.t END, e.t - r.fetched < 86400 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT event_id, hit FROM r""")
+def rule_cache_hits(spark, d):
+    """Look-ups of a cache with a time to live of a day (users stand in for origins)."""
+    made = _streamed(spark, d, lambda e: stateful.rule_cache_stream(e, "user_id", "ts", "event_id", 1 << 40, 86400), "tie long, key string, hit boolean, evicted string")
+    return made.select(F.col("tie").alias("event_id"), "hit")
