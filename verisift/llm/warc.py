@@ -21,6 +21,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE, FILE_BYTES = 4000, 128 << 20
 LEAST_SHARED = 100  # bytes a payload needs for a later copy to become a revisit
 NO_PAGE = (1 << 63) - 1
+#: Packed bytes that a decoder is given at a time.
+SLICE = 4 << 10
 
 
 def _uuid(kind: str, key: Column) -> Column:
@@ -110,23 +112,35 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
 
 
 def unpacked(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of an archive in pieces: of all gzip members, one after the other, if it is packed."""
+    """The bytes of an archive in pieces: of all gzip members, one after the other, if it is packed. Time is in proportion to
+    the archive, however many members it has: a decoder is given slices, of which only what a member leaves is given again."""
     if raw[:2] != b"\x1f\x8b":
         yield from (raw[at : at + step] for at in range(0, len(raw), step))
         return
-    while raw.strip(b"\0"):  # zero bytes may fill up the end
-        member, left = zlib.decompressobj(31), raw
-        while not member.eof:
-            piece, left = member.decompress(left, step), member.unconsumed_tail
-            if not piece and not left and not member.eof:
-                raise ValueError("a gzip member ends early")
+    view, at, member = memoryview(raw), 0, None
+    while at < len(view):
+        data = view[at : at + SLICE]
+        if member is None:
+            zeros = len(data) - len(bytes(data).lstrip(b"\0"))  # they may fill up the end
+            if zeros:
+                at += zeros
+                continue
+            member = zlib.decompressobj(31)
+        piece = member.decompress(data, step)
+        at += len(data) - len(member.unused_data if member.eof else member.unconsumed_tail)
+        if piece:
             yield piece
-        raw = member.unused_data
+        if member.eof:
+            member = None
+    if member is not None:
+        yield member.flush()
+        if not member.eof:
+            raise ValueError("a gzip member ends early")
 
 
 def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of one archive, given in pieces; no more than a record
-    and a piece are held. What is no record, or ends early, is a ValueError."""
+    and a piece are held. What is no record, has no Content-Length or ends early is a ValueError."""
     held = bytearray()
     pieces = iter(pieces)
 
@@ -149,6 +163,8 @@ def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
         if not head[0].startswith("WARC/"):
             raise ValueError("no WARC record where one must begin")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError("a WARC record without a length")
         end = head_end + 4 + int(fields["content-length"])
         while len(held) < end:
             if not more():
@@ -163,10 +179,11 @@ RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, tar
 def read_records(spark: SparkSession, path: str, *, payloads: bool = False) -> DataFrame:
     """One row per record. Payload size and digest of a response are measured from its bytes; those of a revisit come
     from its stored HTTP header and digest. payloads: also return the payload text. Packed archives may have any number of
-    gzip members; one that is broken is a ValueError."""
+    gzip members; one that is broken is a ValueError. A page-id that is no number is null. An archive is one binary value, so
+    that one of 2 GB or more can't be read."""
 
     def number(x: str | None) -> int | None:
-        return int(x) if x else None
+        return int(x) if x and x.strip().removeprefix("-").isdigit() else None
 
     def row(f: dict[str, str], block: bytes) -> tuple:
         kind = f["warc-type"]
