@@ -230,14 +230,6 @@ def url_host_counts(spark, d):
     return table(spark, d, "pages").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
 
 
-HOSTS = [("127.0.0.1", "numeric host loopback (127.0.0.0/8)"), ("2130706433", "numeric host loopback (127.0.0.0/8)"), ("0x7f.1", "numeric host loopback (127.0.0.0/8)"), ("0177.0.0.1", "numeric host loopback (127.0.0.0/8)"), ("10.1.2.3", "numeric host private (10.0.0.0/8)"), ("172.31.255.255", "numeric host private (172.16.0.0/12)"), ("172.32.0.1", None), ("192.168.1", "numeric host private (192.168.0.0/16)"), ("169.254.169.254", "numeric host link-local / cloud metadata (169.254.0.0/16)"), ("8.8.8.8", None), ("1.2.3.256", None), ("LOCALHOST.", "internal hostname (localhost)"), ("metadata.goog", "internal hostname (metadata.goog)"), ("a.internal", "internal hostname suffix (.internal)"), ("local", "internal hostname suffix (.local)"), ("example.com", None), ("", "empty hostname"), ("255.255.255.255", "numeric host reserved (240.0.0.0/4)")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if r is None else repr(r)})" for h, r in HOSTS) + ") t(host, reason)")
-def host_classify(spark, d):
-    return spark.createDataFrame([(h,) for h, _ in HOSTS], "host string").select("host", urls.classify_host(F.col("host")).alias("reason"))
-
-
 _IP_CASE = " ".join(f"WHEN n BETWEEN {lo} AND {lo + (1 << (32 - b)) - 1} THEN '{r}'" for base, b, r in urls.BLOCKS_V4 for lo in [sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))])
 
 
@@ -405,40 +397,9 @@ def payer_new_vs_previous(spark, d):
 
 # --- dimensions, prices, weather ------------------------------------------------------------------------------
 
-AGENTS = [("curl/8.1", "curl"), ("", "none"), ("Mozilla/5.0 (X11) AppleWebKit Chrome/120 Safari/537", "browser"), ("python-requests/2.31", "python"), ("Mozilla/5.0 (compatible; GPTBot/1.0)", "gptbot"), ("node", "node"), ("Go-http-client/2.0", "go"), ("something", "other"), ("mozilla googlebot/2.1", "googlebot")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in AGENTS) + ") t(agent, client)")
-def client_tokens(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in AGENTS], "agent string").select("agent", classify.classify_client(F.col("agent")).alias("client"))
-
 
 @query("SELECT event_type, code, status, count(*) AS n FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN 'TIMEOUT' WHEN event_id % 3 = 1 THEN 'RATE_LIMIT' ELSE 'NOT_FOUND' END AS code FROM events) JOIN (VALUES ('TIMEOUT', 504), ('RATE_LIMIT', 429), ('NOT_FOUND', 404)) s(code, status) USING (code) GROUP BY ALL")
 def error_status_join(spark, d):
     codes = spark.createDataFrame(list(tables.HTTP_STATUS.items()), "code string, status int")
     e = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 3 == 0, "TIMEOUT").when(F.col("event_id") % 3 == 1, "RATE_LIMIT").otherwise("NOT_FOUND").alias("code"))
     return e.join(F.broadcast(codes), "code").groupBy("event_type", "code", "status").agg(F.count("*").alias("n"))
-
-
-PRICES = [("$0.01", 10000, "$0.01"), ("0.003", 3000, "$0.003"), ("1", 1000000, "$1"), ("$10.50", 10500000, "$10.5"), ("0", None, None), ("-1", None, None), ("free", None, None), ("0.000001", 1, "$0.000001")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {'NULL' if a is None else a}::BIGINT, {'NULL' if s is None else repr(s)})" for p, a, s in PRICES) + ") t(price, atomic, rendered)")
-def price_render(spark, d):
-    p = spark.createDataFrame([(x,) for x, _, _ in PRICES], "price string").withColumn("atomic", classify.price_atomic(F.col("price")))
-    return p.withColumn("rendered", classify.price_string(F.col("atomic")))
-
-
-@query("SELECT 'Event: Flood\nArea: Unknown\nSeverity: Severe\nDescription: d\nInstructions: No specific instructions provided\n---' AS alert")
-def weather_alerts(spark, d):
-    raw = spark.createDataFrame([('{"features":[{"properties":{"event":"Flood","severity":"Severe","description":"d"}}]}',)], "body string")
-    shape = "features array<struct<properties:struct<event:string,areaDesc:string,severity:string,description:string,instruction:string>>>"
-    return raw.select(F.explode(F.from_json("body", shape)["features"]).alias("f")).select(classify.format_alert(F.col("f.properties")).alias("alert"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Tonight:\nTemperature: 41°F\nWind: 5 mph N\nClear.\n---'), (2, 'Monday:\nTemperature: Unknown\nWind: 9 mph S\nRain.\n---')) t(place, period)")
-def weather_forecast(spark, d):
-    raw = spark.createDataFrame([('{"periods":[{"name":"Tonight","temperature":41,"temperatureUnit":"F","windSpeed":"5 mph","windDirection":"N","detailedForecast":"Clear."},{"name":"Monday","temperatureUnit":"F","windSpeed":"9 mph","windDirection":"S","detailedForecast":"Rain."}]}',)], "body string")
-    shape = "periods array<struct<name:string,temperature:int,temperatureUnit:string,windSpeed:string,windDirection:string,detailedForecast:string>>"
-    p = raw.select(F.posexplode(F.slice(F.from_json("body", shape)["periods"], 1, 5)).alias("i", "p"))
-    return p.select((F.col("i") + 1).alias("place"), classify.format_period(F.col("p")).alias("period"))
