@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.operators import tables
-from verisift.plans import catalog, contracts, derived, fetching, questions, serving  # noqa: F401
+from verisift.plans import catalog, contracts, derived, extraction, fetching, questions, serving  # noqa: F401
 from verisift.streaming import usage
 
 DATA = "/root/testdata/sf0.001"

@@ -21,10 +21,14 @@ def strings(values: list[str]) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer files than the cluster has cores, dealt out over the cores: a file of one row group is one task,
-    however large. Any scan of more files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """A scan that is too small to give every core a split of its own, dealt out over the cores: a file of one row group is
+    one task, however large. At most a split's bytes for each core are moved; larger scans, whose splits keep the cores busy,
+    stay as they are. Sizes are those that the planner has anyway: no file is listed for this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size <= cores * split else df
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
