@@ -111,7 +111,7 @@ def test_matches_beyond_ascii_in_any_case(spark):
 def test_dates(spark):
     from verisift.sources.html import _first_date
 
-    cases = [(["Tue, 05 Mar 2024 10:00:00 GMT"], "2024-03-05 10:00:00"), (["5 Mar 2024 10:00:00 +0200"], "2024-03-05 08:00:00"), (["soon", "March 5, 2024"], "2024-03-05 00:00:00"), (["2024-03-05T10:00Z"], "2024-03-05 10:00:00"), (["2024-03-05T10:00:00.5+01:00", "2020-01-01"], None), (["0001-01-01", "2024-03-05"], "2024-03-05 00:00:00"), (["99"], None), ([], None)]
+    cases = [(["Tue, 05 Mar 2024 10:00:00 GMT"], "2024-03-05 10:00:00"), (["5 Mar 2024 10:00:00 +0200"], "2024-03-05 08:00:00"), (["soon", "March 5, 2024"], "2024-03-05 00:00:00"), (["2024-03-05T10:00Z"], "2024-03-05 10:00:00"), (["2024-03-05T10:00:00.5+01:00", "2020-01-01"], "2024-03-05 09:00:00"), (["2024-03-05T10:00+0100"], "2024-03-05 09:00:00"), (["0001-01-01", "2024-03-05"], "2024-03-05 00:00:00"), (["99"], None), ([], None)]
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw array<string>")
     got = {r["i"]: r["t"] and str(r["t"]) for r in rows.select("i", F.date_format(_first_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
-    assert {i: t for i, t in got.items() if i != 4} == {i: t for i, (_, t) in enumerate(cases) if i != 4}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}

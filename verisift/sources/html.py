@@ -213,10 +213,10 @@ FIELDS = (
 
 def _first_date(raw):
     """First usable date of a list: at least four digits, years 1800 to 2200, UTC. ISO, RFC 2822 and `Month D, YYYY`."""
-    forms = ["yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z", "MMMM d, yyyy"]
+    forms = ["yyyy-MM-dd'T'HH:mm[XXX][XX]", "d MMM yyyy HH:mm:ss Z", "MMMM d, yyyy"]
     #: Without a weekday, and with a numeric zone for those that mean UTC.
     plain = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^[A-Za-z]{3,9}, +(?=[0-9])", ""), " (GMT|UTC|UT|Z)$", " +0000")
-    parsed = F.transform(raw, lambda x: F.when(x.rlike("\\d{4}"), F.coalesce(*[F.try_to_timestamp(plain(x), F.lit(f)) for f in forms])))
+    parsed = F.transform(raw, lambda x: F.when(x.rlike("\\d{4}"), F.coalesce(F.when(x.rlike("^\\s*\\d{4}-"), F.try_to_timestamp(F.trim(x))), *[F.try_to_timestamp(plain(x), F.lit(f)) for f in forms])))
     return F.get(F.filter(parsed, lambda t: t.isNotNull() & F.year(t).between(1800, 2200)), F.lit(0))
 
 
