@@ -1,9 +1,12 @@
 """Quality classification by co-training.
 
 Two logistic views of a document, its text (hashed words and shape of the text) and its metadata (source, language,
-stated and relative length), are fitted on labelled documents. Over rounds each view labels the unlabelled documents
-it is surest of for the other view. Their outputs are calibrated on labelled documents held out of the fit and
-combined in log-odds, weighted by how well each view does there. All documents are scored.
+stated and relative length), are fitted on labelled documents, a bounded sample. Over rounds each view labels the unlabelled
+documents it is surest of for the other view: of all documents, whose views are written once. What a view may label is told
+by the distribution of its log-odds over the documents that are still free; what the other one learns from them is the
+second-order sum of their loss, so that the driver gets numbers of the size of a view, however many documents there are.
+The views' outputs are calibrated on labelled documents held out of the fit and combined in log-odds, weighted by how well
+each view does there. All documents are scored.
 """
 
 from __future__ import annotations
@@ -17,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.common import _LOWER, hash_words, text_blocks, word_spans
+from verisift.llm.common import _LOWER, hash_words, lean, materialise, text_blocks, word_spans
 
 WORD_DIM, SHAPE_DIM, META_DIM = 512, 12, 96
-#: Labelled and unlabelled documents the views are fitted on, at most (about: drawn by a hash of the id).
-FIT_LABELLED, FIT_UNLABELLED = 6000, 4000
-ROUNDS, GIVEN_PER_ROUND = 4, 0.1
+#: Labelled documents that the views are fitted on, at most: those whose ids have the smallest hashes.
+FIT_LABELLED = 6000
+#: Rounds, share of the free documents that a view labels in one, log-odds from which it may, weight of such a label.
+ROUNDS, GIVEN_PER_ROUND, SURE, GIVEN_WEIGHT = 4, 0.1, 1.0, 0.5
+#: Steps of log-odds that are told apart, and how far.
+STEP, FARTHEST = 0.01, 30.0
 #: Parts of the fitting rows, each scored by fits on the others, that show if a view can teach.
 FOLDS = 3
 KEEP_FROM = 0.5
@@ -66,21 +72,155 @@ def meta_view(source: list, lang: list, n_chars: list, sizes: np.ndarray) -> np.
     return x
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a balanced ridge logistic regression, by momentum gradient steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, ridge: float = 1e-3, given: Given | None = None) -> np.ndarray:
+    """Weights of a balanced ridge logistic regression, by momentum gradient steps. given: further rows by the second-order
+    sums of their loss around some weights."""
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     if not len(y):
         return w
-    pos, neg = max(float(weight[y > 0.5].sum()), 1e-9), max(float(weight[y <= 0.5].sum()), 1e-9)
+    more = [GIVEN_WEIGHT * n for n in given.n] if given else [0.0, 0.0]
+    pos, neg = max(float(weight[y > 0.5].sum()) + more[1], 1e-9), max(float(weight[y <= 0.5].sum()) + more[0], 1e-9)
     c = weight * np.where(y > 0.5, 0.5 / pos, 0.5 / neg)
-    rate = 1.0 / (0.25 * float((c * (x.astype(float) ** 2).sum(axis=1)).sum()) + ridge)
+    bound = 0.25 * float((c * (x.astype(float) ** 2).sum(axis=1)).sum()) + ridge
+    if given:
+        share = [GIVEN_WEIGHT * 0.5 / neg, GIVEN_WEIGHT * 0.5 / pos]
+        slope, bend = (sum(k * part[i] for i, k in enumerate(share)) for part in (given.slope, given.bend))
+        bound += float(np.trace(bend))
+    rate = 1.0 / bound
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        v = 0.9 * v - rate * (x.T @ (c * (p - y)) + ridge * w)
+        g = x.T @ (c * (p - y)) + ridge * w
+        if given:
+            g = g + slope + bend @ (w - given.around)
+        v = 0.9 * v - rate * g
         w = w + v
     return w
 
 
+@dataclass
+class Given:
+    """Pseudo-labelled documents of a view: for labels 0 and 1 their number, and slope and bend of their loss around weights."""
+
+    around: np.ndarray
+    n: np.ndarray
+    slope: np.ndarray
+    bend: np.ndarray
+
+
+#: What a view labelled: the view, its weights, and log-odds below and above which documents got labels 0 and 1.
+Rule = tuple[int, np.ndarray, float, float]
+
+
+def told(rules: list[Rule], t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The view that each document was labelled for (-1: free) and the label: the first rule that takes it counts."""
+    to, label = np.full(len(t), -1), np.zeros(len(t), np.int64)
+    for k, w, low, high in rules:
+        z = (t, m)[k] @ w
+        for hit, value in (((to < 0) & (z < low), 0), ((to < 0) & (z > high), 1)):
+            to[hit], label[hit] = 1 - k, value
+    return to, label
+
+
+def spread_of(rules: list[Rule], k: int, w: np.ndarray, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the log-odds that a view gives the free documents, and how many have each."""
+    z = ((t, m)[k] @ w)[told(rules, t, m)[0] < 0]
+    return np.unique(np.floor(np.clip(z, -FARTHEST, FARTHEST) / STEP).astype(np.int64), return_counts=True)
+
+
+def sums_of(rules: list[Rule], k: int, w: np.ndarray, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For labels 0 and 1 a table of a view's pseudo-labelled documents: rows of bend, then slope, then their number."""
+    to, label = told(rules, t, m)
+    out = np.zeros((2, len(w) + 2, len(w)))
+    for value in (0, 1):
+        x = (t, m)[k][(to == k) & (label == value)].astype(float)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        out[value, : len(w)] = (x * (p * (1 - p))[:, None]).T @ x
+        out[value, len(w)] = x.T @ (p - value)
+        out[value, len(w) + 1, 0] = len(x)
+    return out
+
+
+class ArrayPool:
+    """Unlabelled documents as arrays of both views."""
+
+    def __init__(self, t: np.ndarray, m: np.ndarray):
+        self.views = t, m
+
+    def spread(self, rules: list[Rule], k: int, w: np.ndarray) -> dict[int, int]:
+        return dict(zip(*(x.tolist() for x in spread_of(rules, k, w, *self.views)), strict=True))
+
+    def sums(self, rules: list[Rule], k: int, w: np.ndarray) -> np.ndarray:
+        return sums_of(rules, k, w, *self.views)
+
+
+class TablePool:
+    """Unlabelled documents as a table of both views (t, m: packed half-precision numbers): each question is one pass, whose
+    answer is summed on the cluster."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def _pass(self, one, schema: str, names: list[str]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if len(batch):
+                    t, m = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<f2").astype(np.float32).reshape(len(batch), -1) for i in (0, 1))
+                    total = one(total, t, m)
+            if total is not None:
+                yield from (pa.RecordBatch.from_pydict(dict(zip(names, part, strict=True))) for part in total.parts())
+
+        return self.rows.select("t", "m").mapInArrow(lean(run), schema)
+
+    def spread(self, rules: list[Rule], k: int, w: np.ndarray) -> dict[int, int]:
+        class Counts(dict):
+            def parts(self):
+                yield pa.array(self.keys(), pa.int64()), pa.array(self.values(), pa.int64())
+
+        def one(total, t, m):
+            total = Counts() if total is None else total
+            for step, n in zip(*(x.tolist() for x in spread_of(rules, k, w, t, m)), strict=True):
+                total[step] = total.get(step, 0) + n
+            return total
+
+        got = self._pass(one, "step long, n long", ["step", "n"]).groupBy("step").agg(F.sum("n").alias("n"))
+        return {r["step"]: r["n"] for r in got.collect()}  # at most 2 * FARTHEST / STEP steps
+
+    def sums(self, rules: list[Rule], k: int, w: np.ndarray) -> np.ndarray:
+        class Table:
+            def __init__(self, of):
+                self.of = of
+
+            def parts(self):
+                flat = self.of.reshape(-1, self.of.shape[-1])
+                yield pa.array(np.arange(len(flat))), pa.array([x.tobytes() for x in flat], pa.binary())
+
+        def one(total, t, m):
+            made = sums_of(rules, k, w, t, m)
+            return Table(made if total is None else total.of + made)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums of the rows of one place, as they stream by in order."""
+            at, held = None, None
+            for batch in batches:
+                for place, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    row = np.frombuffer(row, float)
+                    if place != at:
+                        if at is not None:
+                            yield pa.RecordBatch.from_pydict({"place": pa.array([at], pa.int64()), "row": pa.array([held.tobytes()], pa.binary())})
+                        at, held = place, row
+                    else:
+                        held = held + row
+            if at is not None:
+                yield pa.RecordBatch.from_pydict({"place": pa.array([at], pa.int64()), "row": pa.array([held.tobytes()], pa.binary())})
+
+        parts = self._pass(one, "place long, row binary", ["place", "row"])
+        out = np.zeros((2 * (len(w) + 2), len(w)))
+        for r in parts.repartition("place").sortWithinPartitions("place").mapInArrow(added, "place long, row binary").collect():  # a row for each number of a view
+            out[r["place"]] = np.frombuffer(r["row"], float)
+        return out.reshape(2, len(w) + 2, len(w))
+
+
 @dataclass
 class Model:
     text: np.ndarray
@@ -104,47 +244,58 @@ def _auc(y: np.ndarray, z: np.ndarray) -> float:
     return float((rank[y > 0.5].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos)))
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, unlabelled_t: np.ndarray, unlabelled_m: np.ndarray) -> Model:
-    """Fit both views on most labelled rows, exchange confident pseudo-labels, calibrate on the rest."""
+def _limits(spread: dict[int, int]) -> tuple[float, float]:
+    """Log-odds below and above which a view labels: GIVEN_PER_ROUND of the free documents, half on either side, with all
+    that are equal to the last of them; only as far as the view is SURE."""
+    steps = sorted(spread)
+    n = max(1, int(GIVEN_PER_ROUND * sum(spread.values()) / 2))
+    low = high = None
+    for order, sign in ((steps, 1), (steps[::-1], -1)):
+        got = 0
+        for step in order:
+            got += spread[step]
+            if got >= n:
+                break
+        if sign > 0:
+            low = min((step + 1) * STEP, -SURE)
+        else:
+            high = max(step * STEP, SURE)
+    return low, high
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool: ArrayPool | TablePool) -> Model:
+    """Fit both views on most labelled rows, exchange confident pseudo-labels over the pool, calibrate on the rest."""
     held = np.arange(len(y)) % 4 == 3
-    views, pools, ys = [t, m], [unlabelled_t, unlabelled_m], y[~held]
+    views, ys = [t, m], y[~held]
     base = [v[~held] for v in views]
-    given: list[list[tuple[np.ndarray, float]]] = [[], []]  # to each view: (rows of the pool, label)
-    free = np.ones(len(unlabelled_t), bool)
-
-    def fit_view(k: int) -> np.ndarray:
-        rows = [base[k], *[pools[k][i] for i, _ in given[k]]]
-        labels = [ys, *[np.full(len(i), v) for i, v in given[k]]]
-        weights = [np.ones(len(ys)), *[np.full(len(i), 0.5) for i, _ in given[k]]]
-        return fit_logistic(np.concatenate(rows), np.concatenate(labels), np.concatenate(weights))
-
-    fold = np.random.default_rng(5).permutation(len(ys)) % FOLDS
+    rules: list[Rule] = []
+    given: list[Given | None] = [None, None]
+    ones, fold = np.ones(len(ys)), np.random.default_rng(5).permutation(len(ys)) % FOLDS
 
     def held_out_auc(k: int) -> float:
         """AUC of a view on its fitting rows, each scored by a fit without its fold (with the view's pseudo-labels)."""
         z = np.zeros(len(ys))
         for f in range(FOLDS):
             use = fold != f
-            rows = [base[k][use], *[pools[k][i] for i, _ in given[k]]]
-            labels = [ys[use], *[np.full(len(i), v) for i, v in given[k]]]
-            weights = [np.ones(int(use.sum())), *[np.full(len(i), 0.5) for i, _ in given[k]]]
-            z[~use] = base[k][~use] @ fit_logistic(np.concatenate(rows), np.concatenate(labels), np.concatenate(weights))
+            z[~use] = base[k][~use] @ fit_logistic(base[k][use], ys[use], ones[use], given=given[k])
         return _auc(ys, z)
 
-    w = [fit_view(0), fit_view(1)]
+    w = [fit_logistic(base[k], ys, ones) for k in (0, 1)]
     for _ in range(ROUNDS if 0 < ys.sum() < len(ys) else 0):
+        before = len(rules)
         for k in (0, 1):
-            at = np.flatnonzero(free)
-            if not len(at) or held_out_auc(k) < 0.7:  # a view that can't tell good from bad teaches nothing
+            if held_out_auc(k) < 0.7:  # a view that can't tell good from bad teaches nothing
                 continue
-            z = pools[k][at] @ w[k]
-            n = max(1, int(GIVEN_PER_ROUND * len(at) / 2))
-            order = np.argsort(z, kind="stable")
-            for rows, label in ((order[:n][z[order[:n]] < -1], 0.0), (order[-n:][z[order[-n:]] > 1], 1.0)):
-                if len(rows):
-                    given[1 - k].append((at[rows], label))
-                    free[at[rows]] = False
-        w = [fit_view(0), fit_view(1)]
+            spread = pool.spread(rules, k, w[k])
+            if spread:
+                rules.append((k, w[k], *_limits(spread)))
+        if len(rules) == before:
+            break
+        for k in (0, 1):
+            if any(teacher == 1 - k for teacher, *_ in rules):
+                s = pool.sums(rules, k, w[k])
+                given[k] = Given(w[k], s[:, -1, 0], s[:, -2], s[:, :-2])
+                w[k] = fit_logistic(base[k], ys, ones, given=given[k])
     calibration = []
     for k in (0, 1):
         z, yh = views[k][held] @ w[k], y[held]
@@ -167,29 +318,26 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> Model:
-    """Fit on documents that labels has a quality (0 or 1) for; the smallest one counts where it has several."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    n_known, n_all = known.count(), docs.count()
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_003))
-    known = known.filter(drawn <= F.lit(min(1.0, labelled / max(n_known, 1)) * 1_000_003))
-    rows = docs.select(*_columns(docs))
-    pool = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) <= F.lit(min(1.0, unlabelled / max(n_all, 1)) * 1_000_003))
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = FIT_LABELLED) -> Model:
+    """Fit on documents that labels has a quality (0 or 1) for, the smallest one where it has several, and on all others
+    without labels. At most `labelled` of the former, by the smallest hashes of their ids; of repeated ids one row."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"))
+    have = docs.select(F.col("doc_id").cast("long").alias("id"))
+    drawn = known.join(have, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(labelled).collect()  # at most `labelled` rows
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in drawn], "id long, quality int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, t, m in _views(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(t)), batch.column(5).slice(at, len(t)), pa.array([x.astype("<f2").tobytes() for x in t], pa.binary()), pa.array([x.astype("<f2").tobytes() for x in m], pa.binary())], names=["doc_id", "quality", "t", "m"])
-
-    ids = F.broadcast(known)  # at most about `labelled` rows
-    marked = rows.join(ids, rows["doc_id"] == ids["id"]).select(*rows.columns, F.col("quality").cast("int").alias("quality"))
-    free = pool.join(ids, pool["doc_id"] == ids["id"], "left_anti").select(*pool.columns, F.lit(None).cast("int").alias("quality"))
-    got = sorted((-1 if r["quality"] is None else r["quality"], r["doc_id"] or 0, bytes(r["t"]), bytes(r["m"])) for r in marked.unionByName(free).mapInArrow(run, "doc_id long, quality int, t binary, m binary").collect())
-    got.sort(key=lambda r: zlib.crc32(str(r[1]).encode()))
-    array = lambda k, rows, d: np.array([np.frombuffer(r[k], "<f2") for r in rows], np.float32).reshape(len(rows), d)
-    with_label, without = [r for r in got if r[0] >= 0], [r for r in got if r[0] < 0]
-    d_t = WORD_DIM + SHAPE_DIM
-    return co_train(array(2, with_label, d_t), array(3, with_label, META_DIM), np.array([min(r[0], 1) for r in with_label], float), array(2, without, d_t), array(3, without, META_DIM))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(t)), pa.array([x.astype("<f2").tobytes() for x in t], pa.binary()), pa.array([x.astype("<f2").tobytes() for x in m], pa.binary())], names=["doc_id", "t", "m"])
+
+    rows = materialise(docs.select(*_columns(docs)).mapInArrow(lean(run), "doc_id long, t binary, m binary"), "views")
+    few = F.broadcast(ids)
+    taken = rows.join(few, rows["doc_id"] == ids["id"]).groupBy("id", "quality").agg(F.min(F.struct("t", "m")).alias("v")).collect()
+    free = rows.join(few, rows["doc_id"] == ids["id"], "left_anti")
+    got = sorted(((r["quality"], r["id"], bytes(r["v"]["t"]), bytes(r["v"]["m"])) for r in taken), key=lambda r: (zlib.crc32(str(r[1]).encode()), r[1]))
+    array = lambda k, d: np.array([np.frombuffer(r[k], "<f2") for r in got], np.float32).reshape(len(got), d)
+    return co_train(array(2, WORD_DIM + SHAPE_DIM), array(3, META_DIM), np.array([min(r[0], 1) for r in got], float), TablePool(free))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
