@@ -115,3 +115,13 @@ def test_dates(spark):
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, raw array<string>")
     got = {r["i"]: r["t"] and str(r["t"]) for r in rows.select("i", F.date_format(_first_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
     assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_percentiles_beside_an_outlier(spark):
+    from verisift.operators import tables
+
+    rows = spark.range(20_001).select((F.col("id") % 2).alias("k"), F.when(F.col("id") == 20_000, 1e15).when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") / 10).alias("v"))
+    got = {r["k"]: tuple(r)[1:] for r in tables.usage_percentiles(rows, "k", "v").collect()}
+    for k in (0, 1):
+        held = sorted(r["v"] for r in rows.filter(f"k = {k}").collect())
+        assert got[k] == (len(held), *[held[min(len(held) - 1, int(len(held) * q))] for q in (0.5, 0.95, 0.99)])

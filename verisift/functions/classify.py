@@ -41,6 +41,11 @@ def classify_client(agent: Column) -> Column:
     return F.when(F.coalesce(agent, F.lit("")) == "", "none").otherwise(_first(agent, CLIENTS, "(?i)", "other"))
 
 
+def known_client(token: Column) -> Column:
+    """A client token that classify_client() may give; null for any other, which a caller may have made up."""
+    return F.when(token.isin([name for name, _ in CLIENTS] + ["other", "none"]), token)
+
+
 def price_atomic(price: Column) -> Column:
     """Millionths of a dollar of a price text like `$0.01`; null unless positive."""
     n = F.round(F.regexp_replace(price, "^\\$", "").try_cast("decimal(24,9)") * 1_000_000).cast("bigint")

@@ -21,6 +21,10 @@ CACHE_NOTICE = "Some sources were served from cache. Each source reports its act
 ROBOTS_REFUSED = 'robots.txt disallows this path for our user agent (rule: "%s").'
 ROBOTS_WARNING = ROBOTS_REFUSED + " Retrieved because ROBOTS_POLICY=warn; set ROBOTS_POLICY=enforce to refuse."
 TYPE_REFUSED = "The source returned %s, which this service does not process."
+HTTP_WARNING, CACHE_WARNING = "The source returned HTTP %d.", "Served from cache; originally retrieved at %s."
+PREVIEW_EXCERPTS = 3
+PREVIEW_NOTE = "Preview: one source, three excerpts, no assessment. The paid call takes up to five sources and returns the supported/contradicted/mixed/inconclusive verdict with full provenance."
+LEVELS = ["debug", "info", "warn", "error"]
 
 
 def request_issues(question: Column, urls: Column, max_sources: Column, language: Column, mode: Column) -> Column:
@@ -147,3 +151,53 @@ def responses(requests: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     request holds at most MOST_SOURCES sources, so a group is small."""
     nested = sources.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("sources"))
     return requests.join(nested, key, "left").select(key, F.to_json(F.struct(*[c for c in requests.columns if c != key], "sources")).alias("response"))
+
+
+# --- sources as they are answered -----------------------------------------------------------------------------
+
+_WARNINGS = "array<struct<code:string,message:string>>"
+
+
+def source_warnings(warnings: Column, status: Column, from_cache: Column, retrieved_at: Column) -> Column:
+    """Warnings of a source: those it came with, then one for an error status, then one if it came from the cache."""
+    one = lambda cond, code, message: F.when(cond, F.struct(F.lit(code).alias("code"), message.alias("message")))
+    own = F.coalesce(warnings.cast(_WARNINGS), F.array().cast(_WARNINGS))
+    more = F.array(one(status >= 400, "UPSTREAM_HTTP_FAILURE", F.format_string(HTTP_WARNING, status)), one(F.coalesce(from_cache, F.lit(False)), "SERVED_FROM_CACHE", F.format_string(CACHE_WARNING, retrieved_at)))
+    return F.concat(own, F.array_compact(more))
+
+
+def answered_source(row: Column, language: Column, now: Column) -> Column:
+    """The answer's struct of a fetched source. row: requested_url, final_url, status, content_type, doc (fields of extraction),
+    candidates, warnings, from_cache, retrieved_at (text), redirect_chain. `language` is what the request asked for (null or
+    `auto`: the document's own); a source that is not from the cache was retrieved `now`."""
+    doc = row["doc"]
+    of = lambda *names: [doc[n].alias(n) for n in names]
+    cached = F.coalesce(row["from_cache"], F.lit(False))
+    at = F.when(cached, F.coalesce(row["retrieved_at"], now)).otherwise(now)
+    evidence = F.transform(F.coalesce(row["candidates"], F.array()), lambda c: F.struct(c["excerpt"].alias("excerpt"), c["context"].alias("context"), c["relevance"].alias("relevance")))
+    return F.struct(
+        row["requested_url"].alias("requested_url"), row["final_url"].alias("final_url"), row["status"].alias("status"), row["content_type"].alias("content_type"), *of("title", "canonical_url", "description", "publisher"),
+        F.when(F.coalesce(language, F.lit("auto")) != "auto", language).otherwise(doc["language"]).alias("language"), at.alias("retrieved_at"), *of("word_count"), doc["content_hash"].alias("content_hash_sha256"), evidence.alias("evidence"),
+        source_warnings(row["warnings"], row["status"], cached, F.coalesce(row["retrieved_at"], doc["content_hash"])).alias("warnings"), cached.alias("from_cache"), F.coalesce(row["redirect_chain"], F.array().cast("array<string>")).alias("redirect_chain"),
+    )
+
+
+def failed_source(url: Column, code: Column, message: Column, now: Column) -> Column:
+    """What is answered for a source that could not be retrieved: no status, no evidence, one warning."""
+    said = F.when(message != "", message).otherwise("The source could not be retrieved.")
+    return F.struct(url.alias("requested_url"), F.lit(None).cast("int").alias("status"), now.alias("retrieved_at"), F.array().cast("array<string>").alias("evidence"), F.array(F.struct(F.coalesce(code, F.lit("INTERNAL_ERROR")).alias("code"), F.coalesce(said, F.lit("The source could not be retrieved.")).alias("message"))).alias("warnings"), F.lit(False).alias("from_cache"))
+
+
+def preview(question: Column, source: Column, remaining: Column) -> Column:
+    """A preview of an answered source: its provenance and first three excerpts, no assessment."""
+    kept = F.transform(F.slice(source["evidence"], 1, PREVIEW_EXCERPTS), lambda e: F.struct(e["excerpt"].alias("excerpt"), e["relevance"].alias("relevance"), F.when(e["context"] != "", e["context"]).alias("context")))
+    provenance = F.struct(*[source[n].alias(n) for n in ("requested_url", "final_url", "status", "retrieved_at", "content_hash_sha256")])
+    return F.struct(F.lit(True).alias("preview"), question.alias("question"), provenance.alias("source"), kept.alias("excerpts"), F.size(source["evidence"]).alias("excerpt_count_total"), F.lit(PREVIEW_NOTE).alias("note"), remaining.alias("previews_remaining_today"))
+
+
+def log_lines(rows: DataFrame, level: str, message: str, *fields: str, at: str = "ts", least: str = "info") -> DataFrame:
+    """rows as JSON log lines (a column `line`), those below the `least` level left out. An unknown level counts as debug.
+    Nulls are left out; values under secret-looking names are hidden."""
+    rank = lambda x: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in LEVELS]), F.lower(x)).cast("int"), F.lit(0))
+    body = F.struct(F.col(level).alias("level"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), F.col(message).alias("message"), *[F.col(f) for f in fields])
+    return rows.filter(F.greatest(rank(F.col(level)), F.lit(1)) >= LEVELS.index(least) + 1).withColumn("line", W.redact(F.to_json(body)))

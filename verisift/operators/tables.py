@@ -95,13 +95,14 @@ def usage_by_surface(events: DataFrame, surface: str, client: str, error: Column
     return events.groupBy(F.col(surface).alias("surface")).agg(F.count("*").alias("calls"), F.count_distinct(client).alias("clients"), F.count_if(error).alias("errors"))
 
 
-def usage_percentiles(events: DataFrame, key: str, value: str, quantiles=(0.5, 0.95, 0.99), buckets: int = 1024) -> DataFrame:
-    """Exact latency quantiles by position. Values are counted, then summed in `buckets` ranges between the key's smallest and
-    largest; only the ranges that hold a quantile are looked into, by a window over their distinct values."""
+def usage_percentiles(events: DataFrame, key: str, value: str, quantiles=(0.5, 0.95, 0.99), buckets: int = 128) -> DataFrame:
+    """Exact latency quantiles by position. Values are counted, then dealt into buckets that hold about as many distinct values
+    each, whatever the values are (an outlier moves no bound); only the buckets that hold a quantile are looked into, by a
+    window over their distinct values."""
     counts = events.groupBy(key, value).agg(F.count("*").alias("c"))
-    span = counts.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("c").alias("n"))
-    place = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
-    counts = counts.join(span, key).withColumn("bucket", F.when(F.col("hi") > F.col("lo"), place).otherwise(0))
+    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    span = counts.groupBy(key).agg(F.array_distinct(F.percentile_approx(value, marks, buckets * 20)).alias("bounds"), F.sum("c").alias("n"))
+    counts = counts.join(span, key).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
     want = F.array(*[F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))).cast("long") for q in quantiles])
     sums = counts.groupBy(key, "bucket", "n").agg(F.sum("c").alias("c"))  # at most `buckets` rows for each key
     sums = sums.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy("bucket"))).withColumn("below", F.col("upto") - F.col("c"))
@@ -188,6 +189,17 @@ def by_category(items: DataFrame) -> DataFrame:
     return g.withColumns({"calls_per_service": F.round(F.col("calls") / F.col("services"), 4), "calls_per_payer": F.round(F.col("calls") / F.greatest("payers", F.lit(1)), 4)})
 
 
+def categories_by_size(items: DataFrame) -> DataFrame:
+    """place, category, services: categories with most items first, then by name. There are as many rows as categories."""
+    g = items.groupBy("category").agg(F.count("*").alias("services"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.col("services").desc(), "category")))  # a row for each category
+
+
+def payer_thresholds(items: DataFrame, *least: int) -> DataFrame:
+    """Items, how many have at least so many payers, and how many no calls."""
+    return items.agg(F.count("*").alias("services"), *[F.count_if(F.coalesce("payers", F.lit(0)) >= n).alias(f"at_least_{n}") for n in least], F.count_if(F.col("calls") == 0).alias("unused"))
+
+
 def by_price_band(items: DataFrame) -> DataFrame:
     """Half-open price bands; empty bands are listed too."""
     spark = items.sparkSession
@@ -213,6 +225,11 @@ def payer_counts(transfers: DataFrame) -> DataFrame:
     return transfers.groupBy("recipient").agg(F.count("*").alias("transfers"), F.count_distinct("tx").alias("txs"), F.count_distinct("sender").alias("senders"))
 
 
+def sender_counts(transfers: DataFrame) -> DataFrame:
+    """Transfers of each sender."""
+    return transfers.groupBy("sender").agg(F.count("*").alias("n"))
+
+
 def payer_distribution(transfers: DataFrame) -> DataFrame:
     per = transfers.groupBy("sender").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("senders"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") >= 100).alias("at_least_100"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))

@@ -355,9 +355,14 @@ def demand_concentration(spark, d):
     return tables.concentration(_items(spark, d))
 
 
-@query(f"SELECT count(*) AS services, count_if(payers >= 20) AS at_least_20, count_if(payers >= 10) AS at_least_10, count_if(calls = 0) AS unused FROM {_ITEMS}")
+@query(f"SELECT count(*) AS services, count_if(payers >= 100) AS at_least_100, count_if(payers >= 20) AS at_least_20, count_if(payers >= 10) AS at_least_10, count_if(calls = 0) AS unused FROM {_ITEMS}")
 def demand_thresholds(spark, d):
-    return _items(spark, d).agg(F.count("*").alias("services"), F.count_if(F.col("payers") >= 20).alias("at_least_20"), F.count_if(F.col("payers") >= 10).alias("at_least_10"), F.count_if(F.col("calls") == 0).alias("unused"))
+    return tables.payer_thresholds(_items(spark, d), 100, 20, 10)
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, category) AS INTEGER) AS place, category, count(*) AS services FROM {_ITEMS} GROUP BY category")
+def demand_categories(spark, d):
+    return tables.categories_by_size(_items(spark, d))
 
 
 @query(f"SELECT item, category, calls FROM {_ITEMS} ORDER BY calls DESC, item LIMIT 15")

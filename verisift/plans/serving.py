@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verisift.functions import classify
 from verisift.functions.common import shared_path
-from verisift.operators import evidence, scoring, store
-from verisift.plans.catalog import _WRITES, QUESTION, _writes, evidence_sql, query, table
+from verisift.operators import evidence, requests, scoring, store, tables
+from verisift.plans.catalog import _MOVES, _WRITES, QUESTION, _moves, _writes, evidence_sql, query, table
+from verisift.sources import feeds
 from verisift.streaming import stateful
 
 # --- scoring --------------------------------------------------------------------------------------------------
@@ -111,3 +113,45 @@ def rule_cache_hits(spark, d):
     """Look-ups of a cache with a time to live of a day (users stand in for origins)."""
     made = _streamed(spark, d, lambda e: stateful.rule_cache_stream(e, "user_id", "ts", "event_id", 1 << 40, 86400), "tie long, key string, hit boolean, evicted string")
     return made.select(F.col("tie").alias("event_id"), "hit")
+
+
+# --- answers --------------------------------------------------------------------------------------------------
+
+
+@query(evidence_sql(QUESTION, k=5) + """, j AS (SELECT doc_id, count(*) AS n, string_agg(relevance || ' ' || context || ' ' || sha256(excerpt), '|' ORDER BY rank) FILTER (rank <= 3) AS excerpts FROM best GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS total, coalesce(excerpts, '') AS excerpts, 'https://e.com/' || d.doc_id AS final_url, CASE WHEN d.doc_id % 3 = 0 THEN 'xx' ELSE lang END AS language,
+ concat_ws(',', CASE WHEN d.doc_id % 2 = 0 THEN 'ROBOTS_DISALLOWED' END, CASE WHEN d.doc_id % 5 = 0 THEN 'UPSTREAM_HTTP_FAILURE: The source returned HTTP 404.' END, CASE WHEN d.doc_id % 7 = 0 THEN 'SERVED_FROM_CACHE: Served from cache; originally retrieved at then.' END) AS warnings,
+ CASE WHEN d.doc_id % 7 = 0 THEN 'then' ELSE 'now' END AS retrieved_at, sha256(text) AS hash FROM documents d LEFT JOIN j USING (doc_id)""")
+def answered_sources(spark, d):
+    """Sources as they are answered, and their previews of three excerpts."""
+    k = F.col("doc_id")
+    url = F.concat(F.lit("https://e.com/"), k.cast("string"))
+    doc = F.struct(F.lit(None).cast("string").alias("title"), url.alias("canonical_url"), F.lit(None).cast("string").alias("description"), F.lit("p").alias("publisher"), F.col("lang").alias("language"), F.col("n_chars").alias("word_count"), F.sha2("text", 256).alias("content_hash"))
+    own = F.when(k % 2 == 0, F.array(F.struct(F.lit("ROBOTS_DISALLOWED").alias("code"), F.lit(None).cast("string").alias("message"))))
+    row = F.struct(url.alias("requested_url"), url.alias("final_url"), F.when(k % 5 == 0, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), doc.alias("doc"), F.col("candidates"), own.alias("warnings"), (k % 7 == 0).alias("from_cache"), F.lit("then").alias("retrieved_at"), F.lit(None).cast("array<string>").alias("redirect_chain"))
+    ranked = evidence.rank(table(spark, d, "documents"), QUESTION).select("doc_id", row.alias("row"), F.when(k % 3 == 0, "xx").when(k % 3 == 1, "auto").alias("asked"))
+    made = ranked.select("doc_id", requests.answered_source(F.col("row"), F.col("asked"), F.lit("now")).alias("s"))
+    made = made.select("doc_id", "s", requests.preview(F.lit(QUESTION), F.col("s"), F.lit(1)).alias("p"))
+    listed = F.array_join(F.transform("p.excerpts", lambda e: F.concat_ws(" ", e["relevance"], e["context"], F.sha2(e["excerpt"], 256))), "|")
+    warned = F.array_join(F.transform("s.warnings", lambda w: F.concat_ws(": ", w["code"], w["message"])), ",")
+    return made.select("doc_id", F.col("p.excerpt_count_total").alias("total"), listed.alias("excerpts"), F.col("p.source.final_url").alias("final_url"), F.col("s.language").alias("language"), warned.alias("warnings"), F.col("s.retrieved_at").alias("retrieved_at"), F.col("s.content_hash_sha256").alias("hash"))
+
+
+@query("""SELECT event_id, '{"level":"' || CASE event_id % 3 WHEN 0 THEN 'info' ELSE 'WARN' END || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(CAST(epoch_us(ts) // 1000 % 1000 AS BIGINT) AS VARCHAR), 3, '0') || 'Z","message":"' || event_type || '"' ||
+ CASE WHEN event_id % 5 = 0 THEN ',"client":"curl"' ELSE '' END || ',"api_token":"[redacted]"}' AS line FROM events WHERE event_id % 3 <> 1""")
+def log_records(spark, d):
+    """Structured log lines from `info` on; clients that are no known token are left out, secrets hidden."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", F.when(k % 3 == 0, "info").when(k % 3 == 1, "debug").otherwise("WARN").alias("level"), classify.known_client(F.when(k % 5 == 0, "curl").otherwise('forged"}')).alias("client"), F.col("user_id").cast("string").alias("api_token"))
+    return requests.log_lines(rows, "level", "event_type", "client", "api_token").select("event_id", "line")
+
+
+@query(f"SELECT sender, count(*) AS n FROM {_MOVES} GROUP BY sender")
+def sender_dump(spark, d):
+    """Transfers of each sender, written as JSON lines in two goes and read back, a broken line among them."""
+    path = shared_path(spark, "senders")
+    counts = tables.sender_counts(_moves(spark, d))
+    feeds.append_lines(counts.filter("sender % 2 = 0"), path)
+    feeds.append_lines(counts.filter("sender % 2 = 1"), path)
+    spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    return feeds.read_lines(spark, path, "sender long, n long")
