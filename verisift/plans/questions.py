@@ -30,7 +30,7 @@ toks AS (SELECT doc_id, segment, unnest(w) AS t, generate_subscripts(w, 1) AS i
 known AS (SELECT t, unnest({_VARIANTS}) AS term, generate_subscripts({_VARIANTS}, 1) AS nth FROM (SELECT DISTINCT t FROM toks WHERE length(t) >= 3)),
 m AS (SELECT item_id, t, arg_min(term, nth) AS term FROM known JOIN (SELECT DISTINCT item_id, term FROM terms) USING (term) GROUP BY ALL),
 hits AS (SELECT item_id, doc_id, segment, i, term, lag(term) OVER w AS was, lag(i) OVER w AS was_i FROM toks JOIN m USING (t) WINDOW w AS (PARTITION BY item_id, doc_id, segment ORDER BY i)),
-adj AS (SELECT item_id, doc_id, segment, count_if(was_i = i - 1 AND was <> term) AS n FROM hits GROUP BY ALL),
+adj AS (SELECT item_id, doc_id, segment, count(*) FILTER (WHERE was_i = i - 1 AND was <> term) AS n FROM hits GROUP BY ALL),
 hit AS (SELECT DISTINCT item_id, doc_id, segment, term FROM hits),
 n AS (SELECT doc_id, count(*) AS n FROM segs GROUP BY doc_id),
 pairs AS (SELECT DISTINCT item_id, doc_id, n FROM hit JOIN n USING (doc_id)),
