@@ -78,10 +78,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     if not len(y):
         return w
+    x = x.astype(float)  # once, not in every step
     more = [GIVEN_WEIGHT * n for n in given.n] if given else [0.0, 0.0]
     pos, neg = max(float(weight[y > 0.5].sum()) + more[1], 1e-9), max(float(weight[y <= 0.5].sum()) + more[0], 1e-9)
     c = weight * np.where(y > 0.5, 0.5 / pos, 0.5 / neg)
-    bound = 0.25 * float((c * (x.astype(float) ** 2).sum(axis=1)).sum()) + ridge
+    bound = 0.25 * float((c * (x**2).sum(axis=1)).sum()) + ridge
     if given:
         share = [GIVEN_WEIGHT * 0.5 / neg, GIVEN_WEIGHT * 0.5 / pos]
         slope, bend = (sum(k * part[i] for i, k in enumerate(share)) for part in (given.slope, given.bend))
@@ -281,10 +282,11 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool: ArrayPool | Tabl
         return _auc(ys, z)
 
     w = [fit_logistic(base[k], ys, ones) for k in (0, 1)]
+    auc = [held_out_auc(k) for k in (0, 1)]
     for _ in range(ROUNDS if 0 < ys.sum() < len(ys) else 0):
         before = len(rules)
         for k in (0, 1):
-            if held_out_auc(k) < 0.7:  # a view that can't tell good from bad teaches nothing
+            if auc[k] < 0.7:  # a view that can't tell good from bad teaches nothing
                 continue
             spread = pool.spread(rules, k, w[k])
             if spread:
@@ -296,6 +298,7 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool: ArrayPool | Tabl
                 s = pool.sums(rules, k, w[k])
                 given[k] = Given(w[k], s[:, -1, 0], s[:, -2], s[:, :-2])
                 w[k] = fit_logistic(base[k], ys, ones, given=given[k])
+                auc[k] = held_out_auc(k)
     calibration = []
     for k in (0, 1):
         z, yh = views[k][held] @ w[k], y[held]
