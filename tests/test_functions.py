@@ -125,3 +125,15 @@ def test_percentiles_beside_an_outlier(spark):
     for k in (0, 1):
         held = sorted(r["v"] for r in rows.filter(f"k = {k}").collect())
         assert got[k] == (len(held), *[held[min(len(held) - 1, int(len(held) * q))] for q in (0.5, 0.95, 0.99)])
+
+
+def test_ipv6_hosts_and_paths_in_canonical_urls(spark):
+    cases = {
+        "http://[2001:DB8:0:0:0:0:0:1]/": "http://[2001:db8::1]/", "http://[0:0:0:0:0:0:0:0]/x": "http://[::]/x", "http://[1:0:0:2:0:0:0:3]/": "http://[1:0:0:2::3]/", "http://[1:0:0:2:0:0:3:4]/": "http://[1::2:0:0:3:4]/",
+        "http://[::ffff:127.0.0.1]/": "http://[::ffff:7f00:1]/", "http://[1:2:3:4:5:6:0:8]/": "http://[1:2:3:4:5:6:0:8]/", "http://[1:2:3]/": None, "http://[g::]/": None, "http://[::1.2.3]/": None, "http://[fe80:0:0:0::]:81/": "http://[fe80::]:81/",
+        "https://e.com/é x/日\"<>`{}": "https://e.com/%C3%A9%20x/%E6%97%A5%22%3C%3E%60%7B%7D", "https://e.com/%41|^~😀": "https://e.com/%41|^~%F0%9F%98%80",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert dict(map(tuple, rows.select("u", urls.cache_key(F.col("u"))).collect())) == cases
+    v = spark.createDataFrame([("http://[::ffff:127.0.0.1]/",), ("http://[::FFFF:a9fe:a9fe]/",)], "u string").select(urls.validate_url(F.col("u"), F.array())["reason"]).collect()
+    assert [r[0] for r in v] == ["IPv4-mapped loopback (127.0.0.0/8)", "IPv4-mapped link-local / cloud metadata (169.254.0.0/16)"]

@@ -38,6 +38,7 @@ _FORM = "(?i)^(https?):/*(?:([^/?#]*)@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)(?::([^/?#]*)
 #: URLs whose canonical form is near: lower-cased named host, no port, no dot segments, a query of unreserved characters.
 _PLAIN = "^https?://(?:[a-z0-9-]+\\.)+[a-z][a-z0-9-]*(?:/(?!\\.|%2[eE])[A-Za-z0-9._~%!$'()*+,;=@-]+)*/?(?:\\?[A-Za-z0-9._*&=-]*)?(?:#[^\\x00-\\x20]*)?\\z"
 _TRACKED = "(?i)(?:^|&)(?:utm_[^=&]*|" + "|".join(TRACKING) + ")(?:=[^&]*)?(?=&|$)"
+_PATH_CHAR = "[\\x21\\x23-\\x3B\\x3D\\x3F-\\x5F\\x61-\\x7A\\x7C\\x7E]"
 _ONE_PAIR = "^[A-Za-z0-9._*-]*(?:=[A-Za-z0-9._*-]*)?$"
 
 
@@ -56,19 +57,46 @@ def _cleaned(url: Column) -> Column:
     return let(_stripped(url), lambda raw: F.when(raw.rlike("(?i)^https?:[^?#]*\\\\"), _slashed(raw)).otherwise(raw))
 
 
+def _short_ipv6(address: Column) -> Column:
+    """An IPv6 address as URLs have it: lower-case groups without leading zeros, the first longest run of zero groups as
+    `::`, an embedded IPv4 address as two groups; null if it is none."""
+
+    def whole(x: Column) -> Column:
+        high, low = (F.lower(F.hex(part)) for part in (F.shiftright(x["n"], 16), x["n"].bitwiseAND(65535)))
+        return F.when(x["v4"] == "", x["all"]).otherwise(F.concat(F.substring(x["all"], F.lit(1), F.length(x["all"]) - F.length(x["v4"])), high, F.lit(":"), low))
+
+    def short(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):  # the longest run is looked for first
+            run = f"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+            out = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(out)
+        return out
+
+    v4 = F.regexp_extract(address, f"(?<=:)({_DOTTED})$", 1)
+    bare = let(F.struct(address.alias("all"), v4.alias("v4"), parse_ipv4(v4).alias("n")), whole)
+    groups = let(bare, lambda b: F.when(~b.contains("."), expand_ipv6(b)))
+    return let(let(groups, lambda g: F.array_join(F.transform(g, lambda x: F.lower(F.hex(x))), ":")), short)
+
+
+def _encoded(path: Column) -> Column:
+    """A path (a bound value) whose characters that URLs don't hold are written as percent codes."""
+    one = lambda c: F.when(c.rlike(_PATH_CHAR), c).otherwise(F.url_encode(c))
+    return F.when(path.rlike(f"^{_PATH_CHAR}*$"), path).otherwise(F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), one), ""))
+
+
 def url_parts(url: Column) -> Column:
     """scheme, user (null without one), host, port (text, null for none or the default), path (at least `/`, dot segments
-    resolved), query of an http(s) URL; a null struct for anything else, an empty host or an impossible port. Hosts are
-    lower-cased, numeric ones written as four decimal parts; a host beyond ASCII is refused like an impossible one (write
-    it in its ASCII form first). A null URL gives null.
+    resolved, percent codes for what URLs don't hold), query of an http(s) URL; a null struct for anything else, an empty
+    host or an impossible port. Hosts are lower-cased, numeric ones written as four decimal parts, IPv6 ones in their short
+    form; a host beyond ASCII is refused like an impossible one (write it in its ASCII form first). A null URL gives null.
 
     Every value that is named more than once is bound by let(): expressions that repeat others grow beyond planning."""
 
     def of(p: Column) -> Column:
         number = p["number"]
         octet = lambda bits: F.shiftright(number, bits).bitwiseAND(255).cast("string")
-        host = F.when(number.isNotNull(), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(p["host"])
-        bad = (p["host"] == "") | p["host"].rlike("[\\s<>^|%\\x00-\\x20\\x7F-\\x{10FFFF}]") | (p["host"].rlike("(^|\\.)(0[xX][0-9a-fA-F]*|[0-9]+)\\.?$") & number.isNull())
+        host = F.when(number.isNotNull(), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).when(p["host"].startswith("["), F.concat(F.lit("["), p["six"], F.lit("]"))).otherwise(p["host"])
+        bad = (p["host"] == "") | p["host"].rlike("[\\s<>^|%\\x00-\\x20\\x7F-\\x{10FFFF}]") | (p["host"].rlike("(^|\\.)(0[xX][0-9a-fA-F]*|[0-9]+)\\.?$") & number.isNull()) | (p["host"].startswith("[") & p["six"].isNull())
         port = p["port"].try_cast("int")
         odd_port = (p["port"] != "") & (port.isNull() | ~p["port"].rlike("^[0-9]+$") | (port > 65535))
         default = F.when(p["scheme"] == "http", 80).otherwise(443)
@@ -77,7 +105,7 @@ def url_parts(url: Column) -> Column:
             F.when(F.regexp_replace(p["user"], ":", "") != "", p["user"]).alias("user"),
             host.alias("host"),
             F.when(port != default, port.cast("string")).alias("port"),
-            let(F.regexp_replace(p["path"], " ", "%20"), _resolved).alias("path"),
+            let(let(F.regexp_replace(p["path"], " ", "%20"), _resolved), _encoded).alias("path"),
             p["query"].alias("query"),
         )
         return F.when(p["formed"] & ~bad & ~odd_port, made)
@@ -86,7 +114,8 @@ def url_parts(url: Column) -> Column:
         bare = F.regexp_replace(g["host"], "\\.$", "")
         host = F.when(g["host"].rlike("^[^0-9]+\\.$"), g["host"]).otherwise(bare)
         fields = [g[c].alias(c) for c in ("formed", "scheme", "user", "port", "path", "query")]
-        return let(F.struct(*fields, host.alias("host"), parse_ipv4(bare).alias("number")), of)
+        six = F.when(bare.startswith("["), _short_ipv6(F.substring(bare, F.lit(2), F.length(bare) - 2)))
+        return let(F.struct(*fields, host.alias("host"), parse_ipv4(bare).alias("number"), six.alias("six")), of)
 
     def taken(raw: Column) -> Column:
         part = lambda k: F.regexp_extract(raw, _FORM, k)
