@@ -1,8 +1,7 @@
-"""Registered queries of requests, gates, feeds and checks.
+"""Registered queries of requests, gates, feeds and checks over whole tables.
 
-Where a function's contract is a list of cases, the expected values are written out in the SQL by hand and do not follow
-from the code; the other queries run over whole tables. As in `catalog`, some columns stand in: `events` for calls and
-sources of a request (user_id: request, event_id: position), `pages` for fetched pages, `lineitem` and `orders` for logs.
+As in `catalog`, some columns stand in: `events` for calls and sources of a request (user_id: request, event_id: position),
+`pages` for fetched pages, `lineitem` and `orders` for logs.
 """
 
 from __future__ import annotations
