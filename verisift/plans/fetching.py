@@ -136,5 +136,5 @@ def paged_catalogue(spark, d):
     item = F.struct(F.col("p_name").alias("resource"), F.array(F.struct(F.round(F.col("p_retailprice") * 100).cast("long").cast("string").alias("amount"))).alias("accepts"), F.struct(F.col("p_size").alias("l30DaysTotalCalls")).alias("quality"))
     path = shared_path(spark, "pages")
     paged.write_pages(part.select(F.col("p_partkey").alias("place"), item.alias("item")), path, page=300)
-    read = paged.read_pages(spark, path, 300)
+    read = paged.read_pages(spark, path, 300, last_offset=None)
     return read.groupBy("offset").agg(F.count("*").alias("items"), F.max("total").alias("total"), F.round(F.sum("quality.l30DaysTotalCalls"), 4).alias("calls"), F.min("resource").alias("first_name"), F.count_if(F.col("accepts")[0]["amount"].cast("long") > 100_000).alias("dear"))
