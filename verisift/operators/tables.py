@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions import wire as W
+from verisift.functions.common import written
 
 # Fixed values.
 PRICE_BANDS = [("<$0.003", None, 0.003), ("$0.003-0.01", 0.003, 0.01), ("$0.01-0.03", 0.01, 0.03), ("$0.03-0.10", 0.03, 0.1), (">=$0.10", 0.1, None)]
@@ -98,11 +99,12 @@ def usage_by_surface(events: DataFrame, surface: str, client: str, error: Column
 def usage_percentiles(events: DataFrame, key: str, value: str, quantiles=(0.5, 0.95, 0.99), buckets: int = 64) -> DataFrame:
     """Exact latency quantiles by position. Values are counted, then dealt into buckets that hold about as many distinct values
     each, whatever the values are (an outlier moves no bound); only the buckets that hold a quantile are looked into, by a
-    window over their distinct values."""
+    window over their distinct values. The bounds are approximate and differ from one run to another, so they are written
+    once (a row a key): worked out twice in one plan, the places in a bucket would not be those of its values."""
     counts = events.groupBy(key, value).agg(F.count("*").alias("c"))
     marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     span = counts.groupBy(key).agg(F.array_distinct(F.percentile_approx(value, marks, buckets * 20)).alias("bounds"), F.sum("c").alias("n"))
-    counts = counts.join(span, key).withColumn("bucket", F.array_position(F.sort_array(F.array_append("bounds", F.col(value))), F.col(value))).drop("bounds")
+    counts = counts.join(written(span, "bounds"), key).withColumn("bucket", F.array_position(F.sort_array(F.array_append("bounds", F.col(value))), F.col(value))).drop("bounds")
     want = F.array(*[F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))).cast("long") for q in quantiles])
     sums = counts.groupBy(key, "bucket", "n").agg(F.sum("c").alias("c"))  # at most `buckets` rows for each key
     sums = sums.withColumn("upto", F.sum("c").over(Window.partitionBy(key).orderBy("bucket"))).withColumn("below", F.col("upto") - F.col("c"))
