@@ -120,6 +120,8 @@ class Prior:
         self.within = np.ascontiguousarray(p.transpose(1, 0, 2), np.float32)
 
 
+#: Sums of short rows are products with ones.
+ONES = np.ones(WINDOW, np.float32)
 NAMES = ("E", "P", "Q", "K", "V", "O", "G", "W")
 
 
@@ -136,14 +138,15 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in NAMES])
 
+    @classmethod
+    def named(cls, a: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of the parameters in one array, by name."""
+        edge = np.cumsum([0, *[int(np.prod(cls.SHAPES[k])) for k in NAMES]])
+        return {k: a[x:y].reshape(cls.SHAPES[k]) for k, x, y in zip(NAMES, edge[:-1], edge[1:], strict=True)}
+
     @classmethod
     def from_flat(cls, a: np.ndarray) -> Network:
-        p, at = {}, 0
-        for k in NAMES:
-            n = int(np.prod(cls.SHAPES[k]))
-            p[k] = a[at : at + n].reshape(cls.SHAPES[k]).astype(np.float32)
-            at += n
-        return cls(p)
+        return cls(cls.named(np.array(a, np.float32)))
 
     def _hidden(self, x: np.ndarray):
         p = self.p
@@ -153,7 +156,7 @@ class Network:
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         s *= self.mask
-        s /= s.sum(axis=2, keepdims=True)
+        s /= (s @ ONES)[..., None]
         o = s @ v
         return e, q, k, v, s, o, e + o @ p["O"]
 
@@ -169,7 +172,7 @@ class Network:
             np.minimum(s, 60, out=s)
             np.exp(s, out=s)
             s *= self.mask
-            e += (s @ v) / s.sum(axis=2, keepdims=True)
+            e += (s @ v) / (s @ ONES)[..., None]
             out.append(e[on[at : at + SMALL]])
         return np.concatenate(out)
 
@@ -187,7 +190,7 @@ class Network:
         z = hs @ p["G"]
         z += prior.group[xs]
         np.exp(np.minimum(z, 30, out=z), out=z)
-        total = z.sum(axis=1)
+        total = z @ ONES[: GROUPS + 1]
         row = np.arange(n)
         out = np.log(z[row, group]) - np.log(total)
         if grads is not None:
@@ -195,24 +198,28 @@ class Network:
             z[row, group] += np.float32(1 / n)
             grads["G"] += hs.T @ z
             dh = z @ p["G"].T
+        #: Rows in order of their groups: only the products are worked out group by group, all else for all rows at once.
         order = np.argsort(group.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            r = order[edge[g] : edge[g + 1]]
-            if not len(r):
-                continue
-            hr = hs[r]
-            z = hr @ p["W"][g]
-            z += prior.within[g][xs[r]]
-            np.exp(np.minimum(z, 30, out=z), out=z)
-            total = z.sum(axis=1)
-            at = ys[r] - g * PER_GROUP
-            out[r] += np.log(z[np.arange(len(r)), at]) - np.log(total)
-            if grads is not None:
-                z /= -total[:, None] * n
-                z[np.arange(len(r)), at] += np.float32(1 / n)
-                grads["W"][g] += hr.T @ z
-                dh[r] += z @ p["W"][g].T
+        edge = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        order = order[: edge[-1]]
+        ranges = [(g, a, b) for g, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        hr, of, row = hs[order], group[order], np.arange(len(order))
+        z = np.empty((len(order), PER_GROUP), np.float32)
+        for g, a, b in ranges:
+            np.matmul(hr[a:b], p["W"][g], out=z[a:b])
+        z += prior.within[of, xs[order]]
+        np.exp(np.minimum(z, 30, out=z), out=z)
+        total = z @ ONES[:PER_GROUP]
+        at = ys[order] - of * PER_GROUP
+        out[order] += np.log(z[row, at]) - np.log(total)
+        if grads is not None:
+            z /= -total[:, None] * n
+            z[row, at] += np.float32(1 / n)
+            back = np.empty_like(hr)
+            for g, a, b in ranges:
+                grads["W"][g] += hr[a:b].T @ z[a:b]
+                np.matmul(z[a:b], p["W"][g].T, out=back[a:b])
+            dh[order] += back
         if grads is None:
             return out
         d = np.zeros_like(h)
@@ -222,30 +229,42 @@ class Network:
         do = d @ p["O"].T
         ds = do @ v.transpose(0, 2, 1)
         dv = s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
+        ds = s * (ds - ((ds * s) @ ONES)[..., None]) * np.float32(DIM**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         for name, g in (("Q", dq), ("K", dk), ("V", dv)):
             grads[name] += two(e).T @ two(g)
         d = d + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
         grads["P"] += d.sum(axis=0)
-        np.add.at(grads["E"], x.ravel(), two(d))
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+        seen = x.ravel()[order]
+        new = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        grads["E"][seen[new]] += np.add.reduceat(two(d)[order], new, axis=0)
         return out
 
     def train(self, prior: Prior, texts: Texts, first: np.ndarray, stop: np.ndarray, begin: np.ndarray, rate: float) -> None:
         """One pass over the given windows by Adam steps of TRAIN_BATCH windows, rising likelihood."""
-        m = {k: np.zeros_like(a) for k, a in self.p.items()}
-        v = {k: np.zeros_like(a) for k, a in self.p.items()}
+        weights = self.flat().astype(np.float32)
+        self.p = self.named(weights)
+        m, v = np.zeros_like(weights), np.zeros_like(weights)
+        flat = np.zeros_like(weights)
+        grads = self.named(flat)
         for t, at in enumerate(range(0, len(first), TRAIN_BATCH), 1):
             w = slice(at, at + TRAIN_BATCH)
             place = first[w, None] + np.arange(WINDOW)
             on = (place < stop[w, None]) & (place >= begin[w, None])
             place = np.minimum(place, stop[w, None] - 1)
-            grads = {k: np.zeros_like(a) for k, a in self.p.items()}
+            flat[:] = 0
             self.logs(prior, texts.x[place], texts.y[place], on, grads)
-            for k, g in grads.items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] += np.float32(rate) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * flat
+            v *= np.float32(0.99)
+            flat *= flat
+            v += np.float32(0.01) * flat
+            step = np.sqrt(v * np.float32(1 / (1 - 0.99**t)))
+            step += np.float32(1e-8)
+            np.divide(m, step, out=step)
+            step *= np.float32(rate / (1 - 0.9**t))
+            weights += step
 
     def score(self, prior: Prior, texts: Texts) -> np.ndarray:
         """Natural log-probability of each place of the stream, tail ids counting as one outcome."""
