@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisift.functions import classify
-from verisift.functions.common import shared_path
+from verisift.functions.common import shared_path, spread
 from verisift.operators import evidence, requests, scoring, store, tables
 from verisift.plans.catalog import _MOVES, _WRITES, QUESTION, _moves, _writes, evidence_sql, query, table
 from verisift.sources import feeds
@@ -51,12 +51,12 @@ def scored_sources(spark, d):
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(n - rank + 1 AS INTEGER) ELSE rank END AS place, segment, doc_id % 3 = 0 AS reordered FROM best JOIN c USING (doc_id)""")
 def ranker_orders(spark, d):
     """Orders of a ranker: the reverse for every third document, one with a repeat or with a stranger for the others."""
-    r = evidence.rank(table(spark, d, "documents"), QUESTION).filter(F.size("candidates") > 0)
+    r = evidence.rank(spread(table(spark, d, "documents")), QUESTION)
     n = F.size("candidates")
-    back = F.transform(F.sequence(F.lit(1), n), lambda i: n - i)
+    back = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: n - i)).otherwise(F.array().cast("array<int>"))
     order = F.when(F.col("doc_id") % 3 == 0, back).when(F.col("doc_id") % 3 == 1, F.concat(back, F.array(F.lit(0)))).otherwise(F.transform(back, lambda i: i + 1))
-    made = scoring.apply_order(r.withColumn("places", order), "places").select("doc_id", "reordered", F.posexplode("candidates").alias("p", "c"))
-    return made.select("doc_id", (F.col("p") + 1).alias("place"), "c.segment", "reordered")
+    made = scoring.apply_order(r.withColumn("places", order), "places").select("doc_id", "reordered", F.posexplode_outer("candidates").alias("p", "c"))
+    return made.filter("c IS NOT NULL").select("doc_id", (F.col("p") + 1).alias("place"), "c.segment", "reordered")
 
 
 # --- keyed table ----------------------------------------------------------------------------------------------
@@ -129,7 +129,7 @@ def answered_sources(spark, d):
     doc = F.struct(F.lit(None).cast("string").alias("title"), url.alias("canonical_url"), F.lit(None).cast("string").alias("description"), F.lit("p").alias("publisher"), F.col("lang").alias("language"), F.col("n_chars").alias("word_count"), F.sha2("text", 256).alias("content_hash"))
     own = F.when(k % 2 == 0, F.array(F.struct(F.lit("ROBOTS_DISALLOWED").alias("code"), F.lit(None).cast("string").alias("message"))))
     row = F.struct(url.alias("requested_url"), url.alias("final_url"), F.when(k % 5 == 0, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), doc.alias("doc"), F.col("candidates"), own.alias("warnings"), (k % 7 == 0).alias("from_cache"), F.lit("then").alias("retrieved_at"), F.lit(None).cast("array<string>").alias("redirect_chain"))
-    ranked = evidence.rank(table(spark, d, "documents"), QUESTION).select("doc_id", row.alias("row"), F.when(k % 3 == 0, "xx").when(k % 3 == 1, "auto").alias("asked"))
+    ranked = evidence.rank(spread(table(spark, d, "documents")), QUESTION).select("doc_id", row.alias("row"), F.when(k % 3 == 0, "xx").when(k % 3 == 1, "auto").alias("asked"))
     made = ranked.select("doc_id", requests.answered_source(F.col("row"), F.col("asked"), F.lit("now")).alias("s"))
     made = made.select("doc_id", "s", requests.preview(F.lit(QUESTION), F.col("s"), F.lit(1)).alias("p"))
     listed = F.array_join(F.transform("p.excerpts", lambda e: F.concat_ws(" ", e["relevance"], e["context"], F.sha2(e["excerpt"], 256))), "|")
