@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verisift.functions import inflate, urls, wire
@@ -84,19 +84,21 @@ def encoded_bodies(spark, d):
     gz, de = inflate.encoder("gzip"), inflate.encoder("deflate")
     ways = [(lambda b: b, ""), (gz, "gzip"), (lambda b: b"".join(gz(b[i : i + 700]) for i in range(0, len(b), 700)), "x-gzip"), (de, "deflate"), (lambda b: de(gz(b)), "gzip, deflate")]
 
-    @F.pandas_udf("wire binary, encoding string")
-    def sent(ids: pd.Series, bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for i, b in zip(ids, bodies, strict=True):
-            make, name = ways[4 if i % 7 == 5 else 0 if i % 7 == 3 else i % 5]
-            made = make(b.encode())
-            rows.append((made[:-4] if i % 7 == 5 else made, name + ", br" * (i % 7 == 3)))
-        return pd.DataFrame(rows, columns=["wire", "encoding"])
-
-    rows = table(spark, d, "pages").select("page_id", sent("page_id", "html").alias("s"))
-    got = rows.select("page_id", inflate.decoded(F.col("s.wire"), wire.content_encodings(F.col("s.encoding")), 6000).alias("d"))
-    ok = F.col("d.code").isNull()
-    return got.select("page_id", "d.code", F.when(ok, F.col("d.bytes")).alias("bytes"), F.when(ok, F.sha2("d.body", 256)).alias("body_hash"))
+    def sent(batches):
+        for batch in batches:
+            for part in inflate.slices(batch, "html"):
+                rows = []
+                for i, b in zip(part.column("page_id").to_pylist(), part.column("html"), strict=True):
+                    make, name = ways[4 if i % 7 == 5 else 0 if i % 7 == 3 else i % 5]
+                    made = make(b.as_py().encode())
+                    rows.append((made[:-4] if i % 7 == 5 else made, name + ", br" * (i % 7 == 3)))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array([w for w, _ in rows], pa.binary()), pa.array([e for _, e in rows], pa.string())], names=["page_id", "wire", "encoding"])
+
+    pages = table(spark, d, "pages").select("page_id", "html")
+    rows = pages.mapInArrow(sent, f"page_id {dict(pages.dtypes)['page_id']}, wire binary, encoding string")
+    got = inflate.decode_rows(rows.select("page_id", "wire", wire.content_encodings(F.col("encoding")).alias("tokens")), "wire", "tokens", 6000)
+    ok = F.col("code").isNull()
+    return got.select("page_id", "code", F.when(ok, F.col("bytes")).alias("bytes"), F.when(ok, F.sha2("body", 256)).alias("body_hash"))
 
 
 # --- paged sources --------------------------------------------------------------------------------------------
