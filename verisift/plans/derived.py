@@ -64,13 +64,27 @@ def safe_url_cases(spark, d):
     return table(spark, d, "pages").select("page_id", made.alias("u")).select("page_id", urls.safe_url(F.col("u")).alias("result"))
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'INVALID_URL: hostname did not resolve' WHEN 2 THEN 'BLOCKED_URL: resolved private (10.0.0.0/8)' WHEN 3 THEN 'INVALID_URL: unsupported scheme ftp'
- WHEN 4 THEN 'BLOCKED_URL: internal hostname suffix (.internal)' END AS result FROM pages""")
+@query("""SELECT page_id, CASE page_id % 20 WHEN 2 THEN 'INVALID_URL: not a valid absolute URL' WHEN 3 THEN 'INVALID_URL: unsupported scheme ftp' WHEN 4 THEN 'INVALID_URL: unsupported scheme file' WHEN 5 THEN 'INVALID_URL: unsupported scheme javascript'
+ WHEN 6 THEN 'BLOCKED_URL: URLs containing credentials are not allowed' WHEN 7 THEN 'BLOCKED_URL: internal hostname (localhost)' WHEN 8 THEN 'BLOCKED_URL: internal hostname suffix (.internal)' WHEN 9 THEN 'BLOCKED_URL: numeric host loopback (127.0.0.0/8)'
+ WHEN 10 THEN 'BLOCKED_URL: numeric host loopback (127.0.0.0/8)' WHEN 11 THEN 'BLOCKED_URL: numeric host loopback (127.0.0.0/8)' WHEN 12 THEN 'BLOCKED_URL: IPv6 loopback (::1)' WHEN 13 THEN 'BLOCKED_URL: port 22 is not allowed' WHEN 14 THEN 'INVALID_URL: not a valid absolute URL'
+ WHEN 15 THEN 'INVALID_URL: hostname did not resolve' WHEN 16 THEN 'BLOCKED_URL: resolved private (10.0.0.0/8)' WHEN 18 THEN 'INVALID_URL: not a valid absolute URL' WHEN 19 THEN 'INVALID_URL: not a valid absolute URL' END AS result, CASE WHEN page_id % 20 NOT IN (0, 1) AND url IS NOT NULL THEN true END AS plain FROM pages""")
 def url_validation(spark, d):
-    made = _pick(C.page_id, F.col("url"), F.col("url"), F.col("url"), F.regexp_replace("url", "^https?", "ftp"), F.concat(F.lit("http://"), C.host, F.lit(".internal/x")))
-    found = F.when(C.page_id % 5 == 1, F.array().cast("array<string>")).when(C.page_id % 5 == 2, F.array(F.lit("8.8.8.8"), _text("10.0.0.", C.page_id % 250))).otherwise(F.array(F.lit("8.8.8.8")))
-    rows = table(spark, d, "pages").select("page_id", made.alias("u"), found.alias("a"))
-    return rows.select("page_id", urls.validate_url(F.col("u"), F.col("a")).alias("v")).select("page_id", F.concat("v.code", F.lit(": "), "v.reason").alias("result"))
+    """Every page's URL in one of the twenty forms that a check must tell apart, and whether the URL itself passes (`plain`, of
+    the pages whose form is not that already)."""
+    n = C.page_id % 250
+    path = F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1)
+    at = lambda head, tail="": F.concat(F.lit(head), F.lit(tail), path)
+    made = _pick(
+        C.page_id, F.col("url"), F.concat(F.lit("http://"), C.host, F.lit(":8080/x")), _text("nonsense ", C.page_id), F.regexp_replace("url", "^https?", "ftp"), at("file://"), _text("javascript:alert(", C.page_id, ")"), F.regexp_replace("url", "://", "://user:pw@"),
+        at("http://localhost"), F.concat(F.lit("http://"), C.host, F.lit(".internal/x")), F.concat(_text("http://127.0.0.", n), path), F.concat(_text("http://", F.lit(2130706433) + n), path), F.concat(_text("http://0x7f.", n), path), at("http://[::1]"),
+        F.concat(F.lit("https://"), C.host, F.lit(":22/x")), F.concat(F.lit("https://"), C.host, F.lit(":99999/x")), F.col("url"), F.col("url"), F.concat(_text("http://8.8.8.", n), path), "https://", None,
+    )
+    none, one = F.lit(None).cast("array<string>"), F.array(F.lit("8.8.8.8"))
+    k = C.page_id % 20
+    found = F.when(k == 1, F.array(F.lit("8.8.8.8"), F.lit("2606:2800:220:1::1"))).when(k == 7, F.array(F.lit("127.0.0.1"))).when(k == 16, F.array(F.lit("8.8.8.8"), _text("10.0.0.", n))).when(k.isin(0, 3, 6, 13, 14), one).otherwise(none)
+    rows = table(spark, d, "pages").select("page_id", "url", made.alias("u"), found.alias("a"))
+    passes = F.when(~k.isin(0, 1) & F.col("url").isNotNull(), urls.validate_url(F.col("url"), one)["code"].isNull())
+    return rows.select("page_id", urls.validate_url(F.col("u"), F.col("a")).alias("v"), passes.alias("plain")).select("page_id", F.concat("v.code", F.lit(": "), "v.reason").alias("result"), "plain")
 
 
 @query("SELECT page_id, url || '|x|https://b.com/' || page_id AS result FROM pages")
