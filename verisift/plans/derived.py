@@ -122,9 +122,16 @@ def port_classes(spark, d):
     return table(spark, d, "events").select("event_id", ((C.event_id * 7) % 70000 - 4).cast("int").alias("p")).select("event_id", urls.classify_port(F.col("p")).alias("result"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'numeric host private (10.0.0.0/8)' WHEN 1 THEN 'internal hostname (localhost)' WHEN 2 THEN 'internal hostname suffix (.internal)' WHEN 4 THEN 'numeric host loopback (127.0.0.0/8)' END AS reason FROM events""")
+@query("""SELECT event_id, CASE event_id % 18 WHEN 0 THEN 'numeric host loopback (127.0.0.0/8)' WHEN 1 THEN 'numeric host loopback (127.0.0.0/8)' WHEN 2 THEN 'numeric host loopback (127.0.0.0/8)' WHEN 3 THEN 'numeric host loopback (127.0.0.0/8)' WHEN 4 THEN 'numeric host private (10.0.0.0/8)'
+ WHEN 5 THEN 'numeric host private (172.16.0.0/12)' WHEN 7 THEN 'numeric host private (192.168.0.0/16)' WHEN 8 THEN 'numeric host link-local / cloud metadata (169.254.0.0/16)' WHEN 11 THEN 'internal hostname (localhost)' WHEN 12 THEN 'internal hostname (metadata.goog)' WHEN 13 THEN 'internal hostname suffix (.internal)'
+ WHEN 14 THEN 'internal hostname suffix (.local)' WHEN 16 THEN 'empty hostname' WHEN 17 THEN 'numeric host reserved (240.0.0.0/4)' END AS reason FROM events""")
 def host_classify(spark, d):
-    made = _pick(C.event_id, _text("10.1.", C.event_id % 256, ".7"), "LOCALHOST.", _text("h", C.event_id, ".Internal"), _text("h", C.event_id, ".example.com"), _text(F.lit(2130706433) + C.event_id))
+    """A host for every event, in one of the eighteen forms that a check must tell apart."""
+    n = C.event_id % 256
+    made = _pick(
+        C.event_id, _text("127.0.0.", n), _text(F.lit(2130706433) + C.event_id % 16_000_000), _text("0x7f.", n), _text("0177.0.0.", C.event_id % 8), _text("10.1.", n, ".7"), _text("172.31.", n, ".255"), _text("172.32.0.", n), _text("192.168.", n), _text("169.254.", n, ".254"),
+        _text("8.8.8.", n), _text("1.2.3.", F.lit(256) + n), "LOCALHOST.", "metadata.goog", _text("h", C.event_id, ".Internal"), _pick(F.floor(C.event_id / 18), "local", _text("h", C.event_id, ".local")), _text("h", C.event_id, ".example.com"), "", _text("255.255.255.", n),
+    )
     return table(spark, d, "events").select("event_id", urls.classify_host(made).alias("reason"))
 
 
