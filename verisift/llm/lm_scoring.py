@@ -33,7 +33,9 @@ from verisift.llm.substring_dedup import _NULL_ID, _part_of
 GROUPS, PER_GROUP, DIM = 24, 24, 16
 HEAD = GROUPS * PER_GROUP  # ids with outcomes of their own; 0 is the end of a text
 TAIL, START, STATES = HEAD, HEAD + 1, HEAD + 2
-WINDOW, STRIDE, BATCH, SMALL = 32, 28, 1024, 128
+WINDOW, STRIDE, BATCH, SMALL = 32, 28, 256, 32
+#: Training steps whose rows are put in order at once.
+AHEAD = 64
 #: Share of the word counts in the mixture that scores a known word.
 COUNTED = 0.35
 #: Documents for the common start, at most (about: drawn by a hash of the id).
@@ -66,28 +68,50 @@ def _subwords(codec: PieceCodec, words: list[bytes]) -> tuple[np.ndarray, np.nda
     return codec.flat[np.repeat(codec.edge[at] - edge[:-1], size) + np.arange(edge[-1])], edge
 
 
+def _split(texts: list[str | None], index: Numbered) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the number in `index` of each word."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    counts = np.array([len(x) for x in split], np.int64)
+    return counts, np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+
+
+def _in_turn(flat: np.ndarray, edge: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words numbered `at`, one after the other, and how many each word has."""
+    each = np.diff(edge)[at]
+    return flat.take(np.repeat(edge[at] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))), each
+
+
 class Texts:
     """Some texts as word numbers and as symbol streams with an end after each text."""
 
     def __init__(self, texts: list[str | None], codec: PieceCodec, symbol: np.ndarray):
-        split = [(t or "").encode().lower().split() for t in texts]
         index = Numbered()
-        self.counts = np.array([len(x) for x in split], np.int64)
-        self.at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(self.counts.sum()))
-        self.words: list[bytes] = list(index)
-        flat, edge = _subwords(codec, self.words)
-        size = edge[1:] - edge[:-1]
-        text = np.repeat(np.arange(len(texts)), self.counts)
-        n = np.bincount(text, weights=size[self.at], minlength=len(texts)).astype(np.int64)
-        self.edge = np.concatenate([[0], np.cumsum(n + 1)])  # one more for the end
-        self.each = each = size[self.at]
-        begin = np.concatenate([[0], np.cumsum(each)])[:-1] + text
-        self.begin = begin  # a word's first place in the stream; it has `each` places
-        at = np.repeat(begin, each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        self.ids = np.full(int(self.edge[-1]), -1, np.int32)
-        self.ids[at] = flat[np.repeat(edge[self.at], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)]
-        self.y = np.where(self.ids >= 0, symbol[self.ids], 0).astype(np.int32)
-        self.x = np.concatenate([[START], self.y[:-1]]).astype(np.int32)[: len(self.y)]
+        counts, at = _split(texts, index)
+        self._lay(counts, *_in_turn(*_subwords(codec, list(index)), at), symbol)
+
+    @classmethod
+    def laid(cls, counts: np.ndarray, ids: np.ndarray, each: np.ndarray, symbol: np.ndarray) -> Texts:
+        """From the number of words of each text, the ids of all words and how many each word has."""
+        made = cls.__new__(cls)
+        made._lay(counts, ids, each, symbol)
+        return made
+
+    def _lay(self, counts: np.ndarray, ids: np.ndarray, each: np.ndarray, symbol: np.ndarray) -> None:
+        self.counts, self.each = counts, each
+        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        word = np.concatenate([[0], np.cumsum(counts)])
+        text = np.arange(len(counts) + 1)
+        self.edge = upto[word] + text  # one more for each end
+        self.begin = upto[:-1] + np.repeat(text[:-1], counts)  # a word's first place in the stream; it has `each` places
+        ends = self.edge[1:] - 1
+        inner = np.ones(int(self.edge[-1]), bool)
+        inner[ends] = False
+        self.ids = np.full(len(inner), -1, np.int32)
+        self.ids[inner] = ids
+        self.y = symbol.take(self.ids)
+        self.y[ends] = 0
+        self.x = np.empty_like(self.y)
+        self.x[1:] = self.y[:-1]
         self.x[self.edge[:-1]] = START
 
     def windows(self, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +123,14 @@ class Texts:
         first = np.repeat(self.edge[docs], k) + number * STRIDE
         return first, np.repeat(self.edge[docs + 1], k), first + np.where(number > 0, WINDOW - STRIDE, 0)
 
+    def at_windows(self, first: np.ndarray, stop: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of windows, those that they score, and the context and symbol of each place."""
+        place = first[:, None] + np.arange(WINDOW)
+        on = place < stop[:, None]
+        np.minimum(place, stop[:, None] - 1, out=place)
+        on &= place >= begin[:, None]
+        return place, on, self.x.take(place), self.y.take(place)
+
     def neighbours(self, which: np.ndarray) -> np.ndarray:
         """Counts of (context symbol, symbol) in the texts marked in `which`."""
         on = np.repeat(which, np.diff(self.edge))
@@ -117,12 +149,48 @@ class Prior:
         u = uni[:HEAD].reshape(GROUPS, PER_GROUP)
         within = c[:, :HEAD].reshape(STATES, GROUPS, PER_GROUP)
         p = np.log((within + 3 * u / u.sum(axis=1, keepdims=True)) / (within.sum(axis=2, keepdims=True) + 3))
-        self.within = np.ascontiguousarray(p.transpose(1, 0, 2), np.float32)
+        self.pairs = np.ascontiguousarray(p.transpose(1, 0, 2), np.float32).reshape(-1, PER_GROUP)  # of a group and a context
 
 
 #: Sums of short rows are products with ones.
 ONES = np.ones(WINDOW, np.float32)
 NAMES = ("E", "P", "Q", "K", "V", "O", "G", "W")
+SCALE = np.float32(DIM**-0.5)
+GROUP_OF = np.minimum(np.arange(HEAD + 1) // PER_GROUP, GROUPS)
+#: Where the parameters of a symbol stand in E.
+CELLS = np.arange(STATES * DIM).reshape(STATES, DIM)
+
+
+def _exp(a: np.ndarray, most: float) -> np.ndarray:
+    """exp in place, of `most` at most."""
+    if a.size and a.max() > most:
+        np.minimum(a, np.float32(most), out=a)
+    return np.exp(a, out=a)
+
+
+class Rows:
+    """The scored places (`on`) of windows, batch by batch (`size` windows each) and within a batch in order of their groups.
+
+    All that doesn't depend on weights is worked out here, for many batches at once."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, size: int):
+        each = size * WINDOW
+        self.x, self.batches = x, -(-len(x) // size)
+        at = np.flatnonzero(on)
+        group = GROUP_OF[y.ravel()[at]]
+        key = at // each * (GROUPS + 1) + group
+        self.order = np.argsort(key.astype(np.uint16) if self.batches * (GROUPS + 1) < 1 << 16 else key, kind="stable")
+        at, group, key = at[self.order], group[self.order], key[self.order]
+        edge = np.searchsorted(key, np.arange(self.batches * (GROUPS + 1) + 1))
+        batch = at // each
+        row = np.arange(len(at)) - edge[batch * (GROUPS + 1)]
+        self.edge, self.at = edge.tolist(), at - batch * each
+        self.row = np.full(x.size, -1)  # of each place, in its batch
+        self.row[at] = row
+        self.context, ys = x.ravel()[at], y.ravel()[at]
+        self.pair = group * STATES + self.context
+        self.group_at = row * (GROUPS + 1) + group
+        self.within_at = row * PER_GROUP + ys - group * PER_GROUP
 
 
 class Network:
@@ -148,123 +216,142 @@ class Network:
     def from_flat(cls, a: np.ndarray) -> Network:
         return cls(cls.named(np.array(a, np.float32)))
 
-    def _hidden(self, x: np.ndarray):
+    def _qkv(self) -> np.ndarray:
+        """Queries (scaled), keys, and values as they reach the output, as one product."""
         p = self.p
-        e = p["E"][x] + p["P"]
-        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
-        s = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
+        return np.concatenate([p["Q"] * SCALE, p["K"], p["V"] @ p["O"]], axis=1)
+
+    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray):
+        """Weights before they are divided by their sums, one by the sums, and what was attended to."""
+        s = q @ k.transpose(0, 2, 1)
+        _exp(s, 60)
         s *= self.mask
-        s /= (s @ ONES)[..., None]
+        r = (1 / (s @ ONES))[..., None]
         o = s @ v
-        return e, q, k, v, s, o, e + o @ p["O"]
-
-    def _seen(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
-        """Hidden rows of the places in `on`, in small batches that stay in the cache."""
-        p, out = self.p, []
-        qkv = np.concatenate([p["Q"] * np.float32(DIM**-0.5), p["K"], p["V"] @ p["O"]], axis=1)
+        o *= r
+        return s, r, o
+
+    def _seen(self, x: np.ndarray) -> np.ndarray:
+        """Hidden rows of windows, in small batches that stay in the cache."""
+        p, qkv = self.p, self._qkv()
+        known = np.concatenate([p["E"], p["E"] @ qkv], axis=1)
+        place = np.concatenate([p["P"], p["P"] @ qkv], axis=1)
+        out = np.empty((*x.shape, DIM), np.float32)
         for at in range(0, len(x), SMALL):
-            e = p["E"][x[at : at + SMALL]]
-            e += p["P"]
-            q, k, v = np.split((e.reshape(-1, DIM) @ qkv).reshape(len(e), WINDOW, 3 * DIM), 3, axis=2)
-            s = q @ k.transpose(0, 2, 1)
-            np.minimum(s, 60, out=s)
-            np.exp(s, out=s)
-            s *= self.mask
-            e += (s @ v) / (s @ ONES)[..., None]
-            out.append(e[on[at : at + SMALL]])
-        return np.concatenate(out)
+            a = known.take(x[at : at + SMALL], axis=0)
+            a += place
+            _, _, o = self._attend(a[..., DIM : 2 * DIM], a[..., 2 * DIM : 3 * DIM], a[..., 3 * DIM :])
+            np.add(a[..., :DIM], o, out=out[at : at + SMALL])
+        return out
 
-    def logs(self, prior: Prior, x: np.ndarray, y: np.ndarray, on: np.ndarray, grads: dict | None = None):
-        """Natural log-probability of each scored symbol (rows of `on`); with grads, also adds gradients of their mean."""
-        p = self.p
+    def _step(self, prior: Prior, rows: Rows, batch: int, size: int, grads: dict | None, want: bool) -> np.ndarray | None:
+        """One batch of rows: natural log-probabilities of its scored symbols (if `want`), and the gradients of their mean."""
+        p, x = self.p, rows.x[batch * size : (batch + 1) * size]
+        edge = rows.edge[batch * (GROUPS + 1) : (batch + 1) * (GROUPS + 1) + 1]
+        a, b, n, m = edge[0], edge[-1], edge[-1] - edge[0], edge[-2] - edge[0]  # the first m rows have ids of the head
         if grads is None:
-            hs = self._seen(x, on)
+            h = self._seen(x)
         else:
-            e, q, k, v, s, o, h = self._hidden(x)
-            hs = h[on]
-        xs, ys = x[on], y[on]
-        n = len(ys)
-        group = np.where(ys < HEAD, ys // PER_GROUP, GROUPS)
+            e = p["E"].take(x, axis=0)
+            e += p["P"]
+            qkv = self._qkv()
+            made = np.dot(e.reshape(-1, DIM), qkv).reshape(len(x), WINDOW, 3 * DIM)
+            q, k, v = made[..., :DIM], made[..., DIM : 2 * DIM], made[..., 2 * DIM :]
+            s, r, o = self._attend(q, k, v)
+            h = e + o
+        hs = h.reshape(-1, DIM).take(rows.at[a:b], axis=0)
         z = hs @ p["G"]
-        z += prior.group[xs]
-        np.exp(np.minimum(z, 30, out=z), out=z)
+        z += prior.group.take(rows.context[a:b], axis=0)
+        _exp(z, 30)
         total = z @ ONES[: GROUPS + 1]
-        row = np.arange(n)
-        out = np.log(z[row, group]) - np.log(total)
+        of = rows.group_at[a:b]
+        out = np.log(z.take(of)) - np.log(total) if want else None
         if grads is not None:
-            z /= -total[:, None] * n
-            z[row, group] += np.float32(1 / n)
-            grads["G"] += hs.T @ z
-            dh = z @ p["G"].T
-        #: Rows in order of their groups: only the products are worked out group by group, all else for all rows at once.
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
-        order = order[: edge[-1]]
-        ranges = [(g, a, b) for g, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-        hr, of, row = hs[order], group[order], np.arange(len(order))
-        z = np.empty((len(order), PER_GROUP), np.float32)
-        for g, a, b in ranges:
-            np.matmul(hr[a:b], p["W"][g], out=z[a:b])
-        z += prior.within[of, xs[order]]
-        np.exp(np.minimum(z, 30, out=z), out=z)
+            z *= (np.float32(-1 / max(n, 1)) / total)[:, None]
+            z.reshape(-1)[of] += np.float32(1 / max(n, 1))
+            np.dot(hs.T, z, out=grads["G"])
+            dh = np.empty((n + 1, DIM), np.float32)
+            dh[n] = 0  # for places that are not scored
+            np.dot(z, p["G"].T, out=dh[:n])
+        #: Only the products are worked out group by group, all else for all rows at once.
+        z = np.empty((m, PER_GROUP), np.float32)
+        parts = [(g, w, slice(i - a, j - a)) for g, w, i, j in zip(range(GROUPS), p["W"], edge, edge[1:], strict=False) if j > i]
+        parts = [(g, w, at, hs[at], z[at]) for g, w, at in parts]
+        for _, w, _, known, rest in parts:
+            np.dot(known, w, out=rest)
+        z += prior.pairs.take(rows.pair[a : a + m], axis=0)
+        _exp(z, 30)
         total = z @ ONES[:PER_GROUP]
-        at = ys[order] - of * PER_GROUP
-        out[order] += np.log(z[row, at]) - np.log(total)
-        if grads is not None:
-            z /= -total[:, None] * n
-            z[row, at] += np.float32(1 / n)
-            back = np.empty_like(hr)
-            for g, a, b in ranges:
-                grads["W"][g] += hr[a:b].T @ z[a:b]
-                np.matmul(z[a:b], p["W"][g].T, out=back[a:b])
-            dh[order] += back
+        of = rows.within_at[a : a + m]
+        if want:
+            out[:m] += np.log(z.take(of)) - np.log(total)
         if grads is None:
             return out
-        d = np.zeros_like(h)
-        d[on] = dh
-        two = lambda a: a.reshape(-1, a.shape[-1])
-        grads["O"] += two(o).T @ two(d)
-        do = d @ p["O"].T
-        ds = do @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ do
-        ds = s * (ds - ((ds * s) @ ONES)[..., None]) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, g in (("Q", dq), ("K", dk), ("V", dv)):
-            grads[name] += two(e).T @ two(g)
-        d = d + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        grads["P"] += d.sum(axis=0)
-        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
-        seen = x.ravel()[order]
-        new = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        grads["E"][seen[new]] += np.add.reduceat(two(d)[order], new, axis=0)
+        z *= (np.float32(-1 / max(n, 1)) / total)[:, None]
+        z.reshape(-1)[of] += np.float32(1 / max(n, 1))
+        back = np.empty((m, DIM), np.float32)
+        for g, w, at, known, rest in parts:
+            np.dot(known.T, rest, out=grads["W"][g])
+            np.dot(rest, w.T, out=back[at])
+        dh[:m] += back
+        place = batch * size * WINDOW
+        d = dh.take(rows.row[place : place + x.size], axis=0).reshape(h.shape)
+        dn = d * r
+        ds = dn @ v.transpose(0, 2, 1)
+        ds -= ((dn * o) @ ONES[:DIM])[..., None]
+        ds *= s
+        g = np.empty((len(x), WINDOW, 3 * DIM), np.float32)
+        np.matmul(ds, k, out=g[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=g[..., DIM : 2 * DIM])
+        np.matmul(s.transpose(0, 2, 1), dn, out=g[..., 2 * DIM :])
+        g = g.reshape(-1, 3 * DIM)
+        both = np.dot(g.T, e.reshape(-1, DIM)).T
+        np.multiply(both[:, :DIM], SCALE, out=grads["Q"])
+        grads["K"][:] = both[:, DIM : 2 * DIM]
+        dv = both[:, 2 * DIM :]
+        np.dot(dv, p["O"].T, out=grads["V"])
+        np.dot(p["V"].T, dv, out=grads["O"])
+        d = d.reshape(-1, DIM)
+        d += np.dot(g, qkv.T)
+        np.dot(np.ones(len(x), np.float32), d.reshape(len(x), -1), out=grads["P"].reshape(-1))
+        np.add.at(grads["E"].reshape(-1), CELLS.take(x, axis=0).reshape(-1), d.reshape(-1))
+        return out
+
+    def logs(self, prior: Prior, x: np.ndarray, y: np.ndarray, on: np.ndarray, grads: dict | None = None):
+        """Natural log-probability of each scored symbol (rows of `on`); with grads (zeros), also sets gradients of their mean."""
+        rows = Rows(x, y, on, len(x))
+        out = np.empty(len(rows.order), np.float32)
+        if len(x):
+            out[rows.order] = self._step(prior, rows, 0, len(x), grads, True)
         return out
 
     def train(self, prior: Prior, texts: Texts, first: np.ndarray, stop: np.ndarray, begin: np.ndarray, rate: float) -> None:
         """One pass over the given windows by Adam steps of TRAIN_BATCH windows, rising likelihood."""
         weights = self.flat().astype(np.float32)
         self.p = self.named(weights)
-        m, v = np.zeros_like(weights), np.zeros_like(weights)
+        m, v, step = np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(weights)
         flat = np.zeros_like(weights)
-        grads = self.named(flat)
-        for t, at in enumerate(range(0, len(first), TRAIN_BATCH), 1):
-            w = slice(at, at + TRAIN_BATCH)
-            place = first[w, None] + np.arange(WINDOW)
-            on = (place < stop[w, None]) & (place >= begin[w, None])
-            place = np.minimum(place, stop[w, None] - 1)
-            flat[:] = 0
-            self.logs(prior, texts.x[place], texts.y[place], on, grads)
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * flat
-            v *= np.float32(0.99)
-            flat *= flat
-            v += np.float32(0.01) * flat
-            step = np.sqrt(v * np.float32(1 / (1 - 0.99**t)))
-            step += np.float32(1e-8)
-            np.divide(m, step, out=step)
-            step *= np.float32(rate / (1 - 0.9**t))
-            weights += step
+        grads, t = self.named(flat), 0
+        for at in range(0, len(first), AHEAD * TRAIN_BATCH):
+            w = slice(at, at + AHEAD * TRAIN_BATCH)
+            _, on, x, y = texts.at_windows(first[w], stop[w], begin[w])
+            rows = Rows(x, y, on, TRAIN_BATCH)
+            for batch in range(rows.batches):
+                t += 1
+                flat[:] = 0
+                self._step(prior, rows, batch, TRAIN_BATCH, grads, False)
+                #: Adam, with the constants of its two running means left to the last factors.
+                m *= np.float32(0.9)
+                m += flat
+                v *= np.float32(0.99)
+                flat *= flat
+                v += flat
+                np.sqrt(v, out=step)
+                root = (0.01 / (1 - 0.99**t)) ** 0.5
+                step += np.float32(1e-8 / root)
+                np.divide(m, step, out=step)
+                step *= np.float32(rate * 0.1 / (1 - 0.9**t) / root)
+                weights += step
 
     def score(self, prior: Prior, texts: Texts) -> np.ndarray:
         """Natural log-probability of each place of the stream, tail ids counting as one outcome."""
@@ -272,10 +359,9 @@ class Network:
         first, stop, begin = texts.windows()
         for at in range(0, len(first), BATCH):
             w = slice(at, at + BATCH)
-            place = first[w, None] + np.arange(WINDOW)
-            on = (place < stop[w, None]) & (place >= begin[w, None])
-            got = np.minimum(place, stop[w, None] - 1)
-            out[place[on]] = self.logs(prior, texts.x[got], texts.y[got], on)
+            place, on, x, y = texts.at_windows(first[w], stop[w], begin[w])
+            rows = Rows(x, y, on, len(x))
+            out[place.ravel()[rows.at]] = self._step(prior, rows, 0, len(x), None, True)
         return out
 
 
@@ -290,14 +376,6 @@ def _blocks(n_bytes: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return [*out, (a, len(n_bytes))] if len(n_bytes) else []
 
 
-def _by_range(words: list[bytes], parts: int) -> tuple[list[bytes], np.ndarray]:
-    """Words ordered by their range, then by their bytes, and the edges between ranges."""
-    words = sorted(words)
-    r = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
-    order = np.argsort(r, kind="stable")
-    return [words[i] for i in order.tolist()], np.searchsorted(r[order], np.arange(parts + 1))
-
-
 def _id_counts(train: DataFrame, blob: bytes) -> np.ndarray:
     """How often each subword id stands in all given texts."""
 
@@ -326,15 +404,15 @@ def _id_counts(train: DataFrame, blob: bytes) -> np.ndarray:
     return out
 
 
-def _start(train: DataFrame, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each subword id, by counts over all texts, and the weights of the common start, from a bounded sample."""
+def _start(train: DataFrame, blob: bytes, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of each subword id, by counts over all texts (made here if not given), and the weights of the common start, from a bounded sample."""
     n = train.count()
     drawn = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) <= F.lit(min(1.0, START_TEXTS / max(n, 1)) * 1_000_003))
     texts = [r["text"] for r in drawn.orderBy("doc_id", "text").select("text").collect()]
     codec = _codec(blob)
     size = codec.bare.vocab_size()
     symbol = np.full(size + 1, TAIL, np.int32)
-    symbol[np.argsort(-_id_counts(train, blob), kind="stable")[: HEAD - 1]] = np.arange(1, HEAD)
+    symbol[np.argsort(-(_id_counts(train, blob) if counts is None else counts), kind="stable")[: HEAD - 1]] = np.arange(1, HEAD)
     seen = Texts(texts, codec, symbol)
     net, prior = Network(), Prior(seen.neighbours(np.ones(len(texts), bool)))
     first, stop, begin = seen.windows()
@@ -344,6 +422,31 @@ def _start(train: DataFrame, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 _GATHER = "kind int, range int, part int, words binary, counts binary, n long"
+_PACKED = f"{_GATHER}, doc_ids binary, marks binary, lengths binary, ids binary, each binary, at binary"
+
+
+def _table(rows: list[tuple], fields: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    made = [x.split() for x in fields.split(", ")]
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), made, strict=True)], names=[n for n, _ in made])
+
+
+def _add_up(group: pa.Table) -> pa.Table:
+    """Rows of one kind as one: 1: packed counts, 2: arrays of floats."""
+    rows = group.to_pydict()
+    kind, n = rows["kind"][0], sum(rows["n"])
+    if kind == 1:
+        a, b = (pack(sum(unpack(x) for x in rows[c])) for c in ("words", "counts"))
+    else:
+        a, b = sum(np.frombuffer(x, float) for x in rows["words"]).tobytes(), b""
+    return _table([(kind, 0, min(rows["part"]) // FAN_IN, a, b, n)], _GATHER)
+
+
+def _summed(sums: DataFrame, left: int) -> list:
+    """Sums of the rows of all parts: at most FAN_IN rows of each kind."""
+    while left > FAN_IN:
+        sums, left = materialise(sums.withColumn("to", F.floor(F.col("part") / FAN_IN)).groupBy("kind", "to").applyInArrow(_add_up, _GATHER), "sums"), -(-left // FAN_IN)
+    return sums.collect()
 
 
 def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
@@ -356,7 +459,7 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
     blob = open(model_path, "rb").read()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id"), 10) == 0).alias("held_out"))
     parts = parts_for(text_bytes(docs), part_bytes, least_parts)
-    symbol, weights = _start(docs.filter("NOT held_out AND text IS NOT NULL"), blob)
+    size = _codec(blob).bare.vocab_size()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,46 +467,48 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
             yield pa.RecordBatch.from_arrays([pa.array(_part_of(ids, parts), pa.int32()), *batch.columns], names=["part", "doc_id", "text", "held_out"])
 
     split = docs.mapInArrow(deal, "part int, doc_id long, text string, held_out boolean")
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 
-    def blocks_of(group: pa.Table) -> Iterator[tuple[pa.Table, list, np.ndarray]]:
+    def read(key: tuple, group: pa.Table) -> pa.Table:
+        """One part as numbers: its words by range with their counts, counts of ids, and its texts block by block. Nothing reads the texts again."""
         import pyarrow.compute as pc
 
-        group = group.combine_chunks()
-        size = pc.fill_null(pc.binary_length(group.column("text")), 0).to_numpy()
-        for a, b in _blocks(size, 1 << 20):
+        part, codec, group = key[0].as_py(), _codec(blob), group.combine_chunks()
+        n_bytes = pc.fill_null(pc.binary_length(group.column("text")), 0).to_numpy()
+        index, made, blocks, edges, ends = Numbered(), [], [], [0], 0
+        for a, b in _blocks(n_bytes, 1 << 20):
             rows = group.slice(a, b - a)
-            yield rows, rows.column("text").to_pylist(), ~rows.column("held_out").to_numpy().astype(bool)
-
-    def gather(key: tuple, group: pa.Table) -> pa.Table:
-        """Counts of one part, and its weights after training."""
-        part, codec = key[0].as_py(), _codec(blob)
-        counts: Counter = Counter()
-        everything: set[bytes] = set()
-        near, tail = np.zeros(STATES * (HEAD + 1), np.int64), np.zeros(len(symbol), np.int64)
-        ends, chosen = 0, []
-        for _, texts, train in blocks_of(group):
-            t = Texts(texts, codec, symbol)
-            n = np.bincount(t.at[np.repeat(train, t.counts)], minlength=len(t.words))
-            everything.update(t.words)
-            counts.update({w: c for w, c in zip(t.words, n.tolist(), strict=True) if c})
+            lengths, at = _split(rows.column("text").to_pylist(), index)
+            if index.new:
+                ids = codec.bare.encode(["▁" + w.decode() for w in index.new], num_threads=1)
+                edges.append(np.cumsum(list(map(len, ids))) + (edges[-1][-1] if len(edges) > 1 else 0))
+                made.append(np.fromiter(chain.from_iterable(ids), np.int32))
+                index.new.clear()
+            train = ~rows.column("held_out").to_numpy().astype(bool)
             ends += int(train.sum())
-            near += t.neighbours(train)
-            on = np.repeat(train, np.diff(t.edge)) & (t.y == TAIL)
-            tail += np.bincount(t.ids[on], minlength=len(symbol))
-            chosen.append((t, t.windows(np.flatnonzero(train))))
-        net, prior, used = Network.from_flat(weights), Prior(near), 0
-        for t, (first, stop, begin) in chosen:
-            net.train(prior, t, first, stop, begin, 0.001)
-            used += len(first)
-        words, edge = _by_range(list(everything), parts)
-        have = np.fromiter((counts.get(w, 0) for w in words), np.int64, len(words))
-        rows = [(0, i, part, zlib.compress(b"\n".join(words[a:b]), 1), pack(have[a:b]), 0) for i, a, b in zip(range(parts), edge[:-1], edge[1:], strict=True) if b > a]
-        rows.append((1, 0, part, pack(near), pack(tail), ends))
-        rows.append((2, 0, part, (net.flat().astype(float) * used).tobytes(), b"", used))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _GATHER.split(", ")])
-
-    gathered = materialise(split.groupBy("part").applyInArrow(gather, _GATHER), "counts")
+            blocks.append((rows.column("doc_id").combine_chunks(), train, lengths, at))
+        flat, edge = np.concatenate([np.zeros(0, np.int32), *made]), np.concatenate([[0], *edges[1:]]).astype(np.int64)
+        words = list(index)
+        r = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+        order = np.argsort(r, kind="stable")
+        bound, number = np.searchsorted(r[order], np.arange(parts + 1)).tolist(), np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words), dtype=np.int32)
+        n, n_ids, out = np.zeros(len(words), np.int64), np.zeros(size, np.int64), []
+        for i, (doc_ids, train, lengths, at) in enumerate(blocks):
+            ids, each = _in_turn(flat, edge, at)
+            known = np.repeat(train, lengths)
+            n += np.bincount(at[known], minlength=len(n))
+            marks = train.astype(np.uint8) + 2 * doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            packed = (doc_ids.fill_null(0).to_numpy(), marks, lengths, ids.astype(np.min_scalar_type(size)), each.astype(np.int32), number[at])
+            out.append((3, 0, part, None, None, i, *map(pack, packed)))
+        n_ids += np.bincount(flat, weights=np.repeat(n, np.diff(edge)), minlength=size).astype(np.int64)
+        n = n[order]
+        words = [words[i] for i in order.tolist()]
+        blank = (None,) * 6
+        out += [(0, i, part, zlib.compress(b"\n".join(words[a:b]), 1), pack(n[a:b]), 0, *blank) for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+        out.append((1, 0, part, pack(n_ids), pack(n_ids[:0]), ends, *blank))
+        return _table(out, _PACKED)
+
+    packed = materialise(split.groupBy("part").applyInArrow(read, _PACKED), "parts")
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
@@ -417,24 +522,32 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
         m = len(sent)
         return pa.table({"part": pa.array([*rows["part"], -1], pa.int32()), "range": pa.array([*rows["range"], rows["range"][0]], pa.int32()), "counts": pa.array([*sent, b""], pa.binary()), "tokens": pa.array([0] * m + [tokens], pa.int64()), "kinds": pa.array([0] * m + [kinds_], pa.int64())})
 
-    answers = materialise(gathered.filter("kind = 0").groupBy("range").applyInArrow(answer, "part int, range int, counts binary, tokens long, kinds long"), "answers")
-
-    def add_up(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        kind, n = rows["kind"][0], sum(rows["n"])
-        if kind == 1:
-            a, b = (pack(sum(unpack(x) for x in rows[c])) for c in ("words", "counts"))
-        else:
-            a, b = sum(np.frombuffer(x, float) for x in rows["words"]).tobytes(), b""
-        return pa.table([pa.array([x], k) for x, k in zip((kind, 0, min(rows["part"]) // FAN_IN, a, b, n), kinds, strict=True)], names=[x.split()[0] for x in _GATHER.split(", ")])
+    answers = materialise(packed.filter("kind = 0").select("part", "range", "words", "counts").groupBy("range").applyInArrow(answer, "part int, range int, counts binary, tokens long, kinds long"), "answers")
+    last = _summed(packed.filter("kind = 1").select("kind", "range", "part", "words", "counts", "n"), parts)
+    ends = sum(r["n"] for r in last)
+    symbol, weights = _start(docs.filter("NOT held_out AND text IS NOT NULL"), blob, sum([unpack(bytes(r["words"])) for r in last], np.zeros(size, np.int64)))
+    texts = packed.filter("kind = 3")
+
+    def learn(key: tuple, group: pa.Table) -> pa.Table:
+        """Counts of neighbours and of tail ids in one part, and its weights after training."""
+        near, tail, chosen = np.zeros(STATES * (HEAD + 1), np.int64), np.zeros(len(symbol), np.int64), []
+        for row in group.sort_by("n").to_pylist():
+            t = Texts.laid(*(unpack(row[c]) for c in ("lengths", "ids", "each")), symbol)
+            train = unpack(row["marks"]) % 2 > 0
+            near += t.neighbours(train)
+            on = np.repeat(train, np.diff(t.edge)) & (t.y == TAIL)
+            tail += np.bincount(t.ids[on], minlength=len(symbol))
+            chosen.append((t, t.windows(np.flatnonzero(train))))
+        net, prior, used = Network.from_flat(weights), Prior(near), 0
+        for t, (first, stop, begin) in chosen:
+            net.train(prior, t, first, stop, begin, 0.001)
+            used += len(first)
+        part = key[0].as_py()
+        return _table([(1, 0, part, pack(near), pack(tail), 0), (2, 0, part, (net.flat().astype(float) * used).tobytes(), b"", used)], _GATHER)
 
-    sums, left = gathered.filter("kind > 0"), parts
-    while left > FAN_IN:
-        sums, left = materialise(sums.withColumn("to", F.floor(F.col("part") / FAN_IN)).groupBy("kind", "to").applyInArrow(add_up, _GATHER), "sums"), -(-left // FAN_IN)
-    last = sums.collect()  # at most FAN_IN rows of each kind
+    last = _summed(materialise(texts.select("part", "n", "marks", "lengths", "ids", "each").groupBy("part").applyInArrow(learn, _GATHER), "learned"), parts)
     near, tail = (sum([unpack(bytes(r[c])) for r in last if r["kind"] == 1], np.zeros(1, np.int64)) for c in ("words", "counts"))
     near, tail = np.broadcast_to(near, STATES * (HEAD + 1)), np.broadcast_to(tail, len(symbol))
-    ends = sum(r["n"] for r in last if r["kind"] == 1)
     used = sum(r["n"] for r in last if r["kind"] == 2)
     final = sum(np.frombuffer(bytes(r["words"]), float) for r in last if r["kind"] == 2) / used if used else weights
     totals = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
@@ -442,37 +555,31 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
     near, tail, final = near.astype(np.int64), tail.astype(np.int64), np.asarray(final, np.float32)
 
     def finish(key: tuple, group: pa.Table, told: pa.Table) -> pa.Table:
-        codec, net, prior = _codec(blob), Network.from_flat(final), Prior(near)
+        net, prior = Network.from_flat(final), Prior(near)
         log_tail = np.log((tail + 0.1) / (tail.sum() + 0.1 * (symbol[:-1] == TAIL).sum()))
-        #: A known word may come from the counts or from the network; an unknown one from the network alone.
-        mix_in = lambda net_log, c: np.where(c > 0, np.logaddexp(net_log + np.log(1 - COUNTED), np.log(np.maximum(c, 1) / max(n_train, 1)) + np.log(COUNTED)), net_log + np.log(1 - COUNTED))
-        log_of = lambda c: np.log10((c + 0.1) / (n_train + 0.1 * (n_kinds + 1)))
-        everything: set[bytes] = set()
-        for _, texts, _ in blocks_of(group):
-            for t in texts:
-                everything.update((t or "").encode().lower().split())
-        words, edge = _by_range(list(everything), parts)
-        count = np.zeros(len(words), np.int64)
-        for r, c in zip(told.column("range").to_pylist(), told.column("counts").to_pylist(), strict=True):
-            count[edge[r] : edge[r + 1]] = unpack(c)
-        known = dict(zip(words, count.tolist(), strict=True))
+        count = np.concatenate([np.zeros(0, np.int64), *(unpack(c) for c in told.sort_by("range").column("counts").to_pylist()), [ends]])
+        #: A known word may come from the counts or from the network; an unknown one from the network alone. The last is the end.
+        with np.errstate(divide="ignore"):
+            counted = np.log(count / max(n_train, 1)) + np.log(COUNTED)
+        log_base = np.log10((count + 0.1) / (n_train + 0.1 * (n_kinds + 1)))
         out = []
-        for rows, texts, _ in blocks_of(group):
-            t = Texts(texts, codec, symbol)
-            c = np.fromiter(map(known.__getitem__, t.words), np.int64, len(t.words))
-            text = np.repeat(np.arange(len(texts)), t.counts)
-            base = np.bincount(text, weights=log_of(c)[t.at], minlength=len(texts)) + log_of(ends)
-            n_known = np.bincount(text, weights=(c > 0)[t.at], minlength=len(texts)).astype(np.int64) + (ends > 0)
+        for row in group.sort_by("n").to_pylist():
+            doc_ids, marks, lengths, ids, each, at = (unpack(row[c]) for c in ("doc_ids", "marks", "lengths", "ids", "each", "at"))
+            t, m = Texts.laid(lengths, ids, each, symbol), len(lengths)
+            text = np.repeat(np.arange(m), lengths)
+            base = np.bincount(text, weights=log_base[at], minlength=m) + log_base[-1]
+            n_known = np.bincount(text, weights=(count > 0)[at], minlength=m).astype(np.int64) + (ends > 0)
             logs = net.score(prior, t)
-            logs += np.where(t.y == TAIL, log_tail[t.ids], 0.0)
+            rare = np.flatnonzero(t.y == TAIL)
+            logs[rare] += log_tail[t.ids[rare]]
             upto = np.concatenate([[0], np.cumsum(logs)])
             net_word, net_end = upto[t.begin + t.each] - upto[t.begin], logs[t.edge[1:] - 1]
-            mixed = mix_in(net_word, c[t.at])
-            score = (np.bincount(text, weights=mixed, minlength=len(texts)) + mix_in(net_end, np.full(len(texts), ends))) / np.log(10)
+            mixed = np.logaddexp(net_word + np.log(1 - COUNTED), counted[at])
+            score = (np.bincount(text, weights=mixed, minlength=m) + np.logaddexp(net_end + np.log(1 - COUNTED), counted[-1])) / np.log(10)
             net_score = np.add.reduceat(logs, t.edge[:-1]) / np.log(10)
-            out.append(pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(t.counts + 1), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(texts), n_train, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "net_score": pa.array(net_score)}))
+            out.append(pa.table({"doc_id": pa.array(doc_ids, pa.int64(), mask=marks >= 2), "held_out": pa.array(marks % 2 == 0), "n_tokens": pa.array(lengths + 1), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(m, n_train, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "net_score": pa.array(net_score)}))
         empty = pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("net_score", pa.float64()))})
         return pa.concat_tables(out) if out else empty
 
     told = answers.filter("part >= 0").select("part", "range", "counts")
-    return split.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, net_score double")
+    return texts.select("part", "n", "doc_ids", "marks", "lengths", "ids", "each", "at").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, net_score double")
