@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from verisift.llm.substring_dedup import _NULL_ID, _part_of
 GROUPS, PER_GROUP, DIM = 24, 24, 16
 HEAD = GROUPS * PER_GROUP  # ids with outcomes of their own; 0 is the end of a text
 TAIL, START, STATES = HEAD, HEAD + 1, HEAD + 2
-WINDOW, STRIDE, BATCH, SMALL = 32, 28, 256, 32
+WINDOW, STRIDE, BATCH, SMALL = 32, 28, 1024, 64
 #: Training steps whose rows are put in order at once.
 AHEAD = 64
 #: Share of the word counts in the mixture that scores a known word.
@@ -68,11 +69,19 @@ def _subwords(codec: PieceCodec, words: list[bytes]) -> tuple[np.ndarray, np.nda
     return codec.flat[np.repeat(codec.edge[at] - edge[:-1], size) + np.arange(edge[-1])], edge
 
 
-def _split(texts: list[str | None], index: Numbered) -> tuple[np.ndarray, np.ndarray]:
-    """How many words each text has, and the number in `index` of each word."""
-    split = [(t or "").encode().lower().split() for t in texts]
-    counts = np.array([len(x) for x in split], np.int64)
-    return counts, np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+def _split(blocks: list[pa.Array]) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+    """Blocks of texts as numbers: how many words each text has, the number of each word, and the words that are numbered."""
+    counts, words = [], []
+    for texts in blocks:
+        made = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        full = pc.binary_length(made.values).to_numpy() > 0  # white space at the ends of a text leaves empty words
+        upto = np.concatenate([[0], np.cumsum(full)])
+        counts.append(np.diff(upto[made.offsets.to_numpy()]))
+        words.append(made.values.filter(pa.array(full)))
+    coded = pa.chunked_array(words, pa.string()).dictionary_encode().combine_chunks()
+    at = coded.indices.to_numpy()
+    edge = np.cumsum([0, *map(len, words)])
+    return counts, [at[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], coded.dictionary
 
 
 def _in_turn(flat: np.ndarray, edge: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +94,8 @@ class Texts:
     """Some texts as word numbers and as symbol streams with an end after each text."""
 
     def __init__(self, texts: list[str | None], codec: PieceCodec, symbol: np.ndarray):
-        index = Numbered()
-        counts, at = _split(texts, index)
-        self._lay(counts, *_in_turn(*_subwords(codec, list(index)), at), symbol)
+        (counts,), (at,), words = _split([pa.array(texts, pa.string())])
+        self._lay(counts, *_in_turn(*_subwords(codec, words.cast(pa.binary()).to_pylist()), at), symbol)
 
     @classmethod
     def laid(cls, counts: np.ndarray, ids: np.ndarray, each: np.ndarray, symbol: np.ndarray) -> Texts:
@@ -268,7 +276,7 @@ class Network:
         out = np.log(z.take(of)) - np.log(total) if want else None
         if grads is not None:
             z *= (np.float32(-1 / max(n, 1)) / total)[:, None]
-            z.reshape(-1)[of] += np.float32(1 / max(n, 1))
+            np.add.at(z.reshape(-1), of, np.float32(1 / max(n, 1)))
             np.dot(hs.T, z, out=grads["G"])
             dh = np.empty((n + 1, DIM), np.float32)
             dh[n] = 0  # for places that are not scored
@@ -288,7 +296,7 @@ class Network:
         if grads is None:
             return out
         z *= (np.float32(-1 / max(n, 1)) / total)[:, None]
-        z.reshape(-1)[of] += np.float32(1 / max(n, 1))
+        np.add.at(z.reshape(-1), of, np.float32(1 / max(n, 1)))
         back = np.empty((m, DIM), np.float32)
         for g, w, at, known, rest in parts:
             np.dot(known.T, rest, out=grads["W"][g])
@@ -470,41 +478,32 @@ def score_documents(docs: DataFrame, model_path: str, *, part_bytes: int = PART_
 
     def read(key: tuple, group: pa.Table) -> pa.Table:
         """One part as numbers: its words by range with their counts, counts of ids, and its texts block by block. Nothing reads the texts again."""
-        import pyarrow.compute as pc
-
         part, codec, group = key[0].as_py(), _codec(blob), group.combine_chunks()
-        n_bytes = pc.fill_null(pc.binary_length(group.column("text")), 0).to_numpy()
-        index, made, blocks, edges, ends = Numbered(), [], [], [0], 0
-        for a, b in _blocks(n_bytes, 1 << 20):
-            rows = group.slice(a, b - a)
-            lengths, at = _split(rows.column("text").to_pylist(), index)
-            if index.new:
-                ids = codec.bare.encode(["▁" + w.decode() for w in index.new], num_threads=1)
-                edges.append(np.cumsum(list(map(len, ids))) + (edges[-1][-1] if len(edges) > 1 else 0))
-                made.append(np.fromiter(chain.from_iterable(ids), np.int32))
-                index.new.clear()
-            train = ~rows.column("held_out").to_numpy().astype(bool)
-            ends += int(train.sum())
-            blocks.append((rows.column("doc_id").combine_chunks(), train, lengths, at))
-        flat, edge = np.concatenate([np.zeros(0, np.int32), *made]), np.concatenate([[0], *edges[1:]]).astype(np.int64)
-        words = list(index)
+        cuts = _blocks(pc.fill_null(pc.binary_length(group.column("text")), 0).to_numpy(), 1 << 20)
+        column = lambda name: [group.column(name).slice(a, b - a).combine_chunks() for a, b in cuts]
+        lengths, at, vocabulary = _split(column("text"))
+        made = codec.bare.encode(pc.binary_join_element_wise("▁", vocabulary, "").to_pylist(), num_threads=1)
+        edge = np.cumsum([0, *map(len, made)])
+        flat = np.fromiter(chain.from_iterable(made), np.int32, int(edge[-1]))
+        words, ends = vocabulary.cast(pa.binary()).to_pylist(), 0
         r = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
         order = np.argsort(r, kind="stable")
         bound, number = np.searchsorted(r[order], np.arange(parts + 1)).tolist(), np.empty(len(words), np.int32)
         number[order] = np.arange(len(words), dtype=np.int32)
         n, n_ids, out = np.zeros(len(words), np.int64), np.zeros(size, np.int64), []
-        for i, (doc_ids, train, lengths, at) in enumerate(blocks):
-            ids, each = _in_turn(flat, edge, at)
-            known = np.repeat(train, lengths)
-            n += np.bincount(at[known], minlength=len(n))
+        for i, (doc_ids, held_out, m, w) in enumerate(zip(column("doc_id"), column("held_out"), lengths, at, strict=True)):
+            ids, each = _in_turn(flat, edge, w)
+            train = ~held_out.to_numpy(zero_copy_only=False).astype(bool)
+            ends += int(train.sum())
+            n += np.bincount(w[np.repeat(train, m)], minlength=len(n))
             marks = train.astype(np.uint8) + 2 * doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            packed = (doc_ids.fill_null(0).to_numpy(), marks, lengths, ids.astype(np.min_scalar_type(size)), each.astype(np.int32), number[at])
+            packed = (doc_ids.fill_null(0).to_numpy(), marks, m, ids.astype(np.min_scalar_type(size)), each.astype(np.int32), number[w])
             out.append((3, 0, part, None, None, i, *map(pack, packed)))
         n_ids += np.bincount(flat, weights=np.repeat(n, np.diff(edge)), minlength=size).astype(np.int64)
         n = n[order]
-        words = [words[i] for i in order.tolist()]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bound, pa.int32()), vocabulary.take(pa.array(order))), "\n").cast(pa.binary()).to_pylist()
         blank = (None,) * 6
-        out += [(0, i, part, zlib.compress(b"\n".join(words[a:b]), 1), pack(n[a:b]), 0, *blank) for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
+        out += [(0, i, part, zlib.compress(joined[i], 1), pack(n[a:b]), 0, *blank) for i, (a, b) in enumerate(zip(bound[:-1], bound[1:], strict=True)) if b > a]
         out.append((1, 0, part, pack(n_ids), pack(n_ids[:0]), ends, *blank))
         return _table(out, _PACKED)
 
