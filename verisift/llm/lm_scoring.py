@@ -6,7 +6,8 @@ and are told apart by their corpus frequency. Corpus-wide counts of neighbouring
 and the attention layer learns what they leave open.
 
 All training documents take part: each part of the corpus counts its words and neighbouring ids, and trains the network
-further from a common start on all its windows; counts are summed and weights averaged over parts. For scoring, a text is cut into overlapping windows; each token is scored once, in the window that gives it most context.
+further from a common start on all its windows; counts are summed and weights averaged over parts. Texts are
+taken apart once: each part is packed as word numbers and subword ids, which all later steps read. For scoring, a text is cut into overlapping windows; each token is scored once, in the window that gives it most context.
 The score of a word is a mixture of the network and, for words known from training, their share of all tokens.
 
 Beside it stands a unigram base score over words, whose counts are exchanged as packed word lists: each part asks for
